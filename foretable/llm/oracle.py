@@ -23,3 +23,93 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+
+def _op2() -> str:
+    from foretable.llm import quality as q
+
+    langs = ", ".join(f"'{k}'" for k in q.COMMON)
+    classes = " UNION ALL ".join(f"SELECT doc_id, lg, n_words, 'c' AS h, {i} AS bin, len(regexp_extract_all(t, '{c.replace(chr(39), chr(39) * 2)}')) AS x FROM w" for i, c in enumerate(q.CLASSES))
+    common = ", ".join(f"('{k}', {i}, '{w}')" for k, ws in q.COMMON.items() for i, w in enumerate(ws))
+    return f"""
+WITH w AS (
+  SELECT doc_id, CASE WHEN lang IN ({langs}) THEN lang ELSE '' END AS lg, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS n_words
+  FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(list_slice(ws, i + 1, i + 5), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(n_words - 4)) AS i FROM w WHERE n_words >= 5)),
+starts AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM grams) WHERE k > 1),
+rep AS (SELECT doc_id, sum(least(5, i - prev)) AS n FROM (SELECT doc_id, i, lag(i, 1, -10) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM starts) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '{_WORD}') GROUP BY doc_id),
+vocabulary(lg, bin, word) AS (VALUES {common}),
+tokens AS (SELECT doc_id, lg, unnest(ws) AS word FROM w),
+hits AS (SELECT t.doc_id, v.bin, count(*) AS x FROM tokens t JOIN vocabulary v ON v.lg = t.lg AND (t.word = v.word OR t.word = upper(v.word[1]) || v.word[2:]) GROUP BY ALL),
+classes AS ({classes}),
+bins AS (
+  SELECT * FROM classes
+  UNION ALL SELECT doc_id, any_value(lg), any_value(n_words), 'c', 99, (SELECT length(t) FROM w WHERE w.doc_id = classes.doc_id) - sum(x) FROM classes GROUP BY doc_id
+  UNION ALL SELECT w.doc_id, w.lg, n_words, 'w', v.bin, coalesce(x, 0) FROM w JOIN vocabulary v USING (lg) LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.bin = v.bin
+  UNION ALL SELECT w.doc_id, w.lg, n_words, 'w', 99, n_words - coalesce((SELECT sum(x) FROM hits h WHERE h.doc_id = w.doc_id), 0) FROM w WHERE lg <> ''),
+p AS (SELECT *, x / sum(x) OVER (PARTITION BY doc_id, h) AS a FROM bins WHERE n_words >= {q.MIN_WORDS}),
+r AS (SELECT lg, h, bin, sum(x) / sum(sum(x)) OVER (PARTITION BY lg, h) AS b FROM bins WHERE n_words >= {q.MIN_WORDS} GROUP BY lg, h, bin),
+js AS (
+  SELECT doc_id, h, round(sqrt(greatest(sum(CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END) / 2, 0)), 6) AS d
+  FROM p JOIN r USING (lg, h, bin) GROUP BY doc_id, h),
+f AS (
+  SELECT w.doc_id, n_words, length(t) - len(regexp_extract_all(t, '[\\x20\\x09-\\x0D]')) AS word_chars, len(regexp_extract_all(t, '{q.SYMBOLS}')) AS n_symbols,
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, c.d AS chars_distance, v.d AS words_distance,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(c.d, 0) <= {q.MAX_CHARS} AND coalesce(v.d, 0) <= {q.MAX_WORDS} AS kept
+FROM f LEFT JOIN js c ON c.doc_id = f.doc_id AND c.h = 'c' LEFT JOIN js v ON v.doc_id = f.doc_id AND v.h = 'w'
+"""
+
+
+def _op5() -> str:
+    from foretable.llm.secret_scan import BASE, MORE
+
+    def rule(no: int, r) -> str:
+        p = r.regex.replace("'", "''")
+        size = f"length(regexp_extract_all(t, '{p}', {r.group})[i])" if r.group else "length(m[i])"
+        return f"""SELECT doc_id, {no} AS no, '{r.kind}' AS kind, i, (list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0))::BIGINT AS s, length(m[i]) AS n, {size} AS counted, {r.least} AS least
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS gaps FROM d))"""
+
+    every = " UNION ALL ".join(rule(i, r) for i, r in enumerate(BASE + MORE))
+    n = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    joined = "coalesce(string_agg(kind || ':' || s || ':' || s + n, ',' ORDER BY s, no){}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT * FROM ({every}) WHERE counted >= least)
+SELECT doc_id, {n}, sha256({joined.format(f" FILTER (no < {len(BASE)})")}) AS base_sha256, {joined.format(" FILTER (kind IS NOT NULL)")} AS spans
+FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id
+"""
+
+
+def _op9() -> str:
+    from foretable.llm.url_filter import RULES, TRACKING
+
+    rules = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
+    host = lambda u: f"translate(regexp_extract({u}, '://([^/?#]*)', 1), '{_UP}', '{_LOW}')"
+    path = lambda u: f"regexp_extract({u}, '://[^/?#]*([^?#]*)', 1)"
+    query = lambda u: f"array_to_string([x for x in string_split(regexp_extract({u}, '\\?([^#]*)', 1), '&') if not regexp_matches(x, '^(({TRACKING})=.*)?$')], '&')"
+    form = lambda u: f"'//' || regexp_replace({host(u)}, '^www\\.', '') || regexp_replace({path(u)}, '/$', '') || CASE WHEN {query(u)} <> '' THEN '?' || {query(u)} ELSE '' END"
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, url, coalesce({host("url")}, '') AS host, coalesce({path("url")}, '') AS path, html FROM pages),
+rules(rh, rp, v) AS (VALUES {rules}),
+own AS (
+  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE contains(url, '://')),
+named AS (
+  SELECT url, CASE WHEN regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']canonical') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']([^"'']*)', 1)
+                   WHEN regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']refresh') THEN regexp_extract(tag, '(?i)url\\s*=\\s*([^\\s"'']+)', 1) END AS target FROM tags),
+e AS (SELECT url AS a, {form("url")} AS b FROM p WHERE contains(url, '://') UNION SELECT url, {form("target")} FROM named WHERE contains(target, '://')),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON seen = a),
+bad AS (SELECT DISTINCT node FROM reach JOIN p ON p.url = seen JOIN own USING (page_id) WHERE v = 'block')
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bad.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN own USING (page_id) LEFT JOIN bad ON bad.node = p.url
+"""
+
+
+OP2_QUALITY_RULES, OP5_SECRET_SCAN, OP9_URL_FILTER = _op2(), _op5(), _op9()
