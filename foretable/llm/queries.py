@@ -15,10 +15,13 @@ from foretable.llm.mixing import mix_sources
 from foretable.llm.piece_encoding import piece_encode, public_model
 from foretable.llm.quality import quality_rules
 from foretable.llm.secret_scan import BASE, secret_scan, written
+from foretable.llm.toxicity import held_out, toxicity
 from foretable.llm.url_filter import url_filter
 
 #: Production parameters of the mixture: no source is repeated more than this.
 MAX_REPETITION = 2.0
+#: Scores from here on count as toxic.
+TOXIC_FROM = 0.7
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +32,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), max_repetition=MAX_REPETITION)
     return mixed.select("doc_id", "source", "mix_epoch", "mix_position")
@@ -56,7 +64,7 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op4_source_mixing, op5_secret_scan, op6_line_dedup, op9_url_filter, op10_piece_encoding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_toxicity, op4_source_mixing, op5_secret_scan, op6_line_dedup, op9_url_filter, op10_piece_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
