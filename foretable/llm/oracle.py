@@ -113,3 +113,18 @@ FROM p LEFT JOIN own USING (page_id) LEFT JOIN bad ON bad.node = p.url
 
 
 OP2_QUALITY_RULES, OP5_SECRET_SCAN, OP9_URL_FILTER = _op2(), _op5(), _op9()
+
+OP7_NEAR_DEDUP = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i + 1, i + 5), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_in JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, seen) AS (SELECT doc_id, doc_id FROM w UNION SELECT node, b FROM reach JOIN both_ways ON seen = a),
+c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = w.doc_id AS kept
+FROM w JOIN c ON c.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""

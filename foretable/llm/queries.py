@@ -12,6 +12,7 @@ from foretable.llm.common import table
 from foretable.llm.exact_dedup import exact_dedup
 from foretable.llm.line_dedup import line_dedup
 from foretable.llm.mixing import mix_sources
+from foretable.llm.near_dedup import near_dedup
 from foretable.llm.piece_encoding import piece_encode, public_model
 from foretable.llm.quality import quality_rules
 from foretable.llm.secret_scan import BASE, secret_scan, written
@@ -54,6 +55,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -64,7 +69,7 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_toxicity, op4_source_mixing, op5_secret_scan, op6_line_dedup, op9_url_filter, op10_piece_encoding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_toxicity, op4_source_mixing, op5_secret_scan, op6_line_dedup, op7_near_dedup, op9_url_filter, op10_piece_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
