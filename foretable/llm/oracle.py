@@ -128,3 +128,16 @@ c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = w.doc_id AS kept
 FROM w JOIN c ON c.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
+
+OP8_SUBSTRING_DEDUP = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i + 1, i + 35), ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)),
+starts AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY g) AS k FROM v) WHERE k > 1),
+edges AS (SELECT doc_id, i AS place, 1 AS step FROM starts UNION ALL SELECT doc_id, i + 35, -1 FROM starts),
+t AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w),
+steps AS (SELECT doc_id, place, sum(step) AS step FROM edges GROUP BY ALL),
+c AS (SELECT t.doc_id, t.i, word, sum(coalesce(step, 0)) OVER (PARTITION BY t.doc_id ORDER BY t.i) > 0 AS gone FROM t LEFT JOIN steps s ON s.doc_id = t.doc_id AND s.place = t.i),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""

@@ -16,6 +16,7 @@ from foretable.llm.near_dedup import near_dedup
 from foretable.llm.piece_encoding import piece_encode, public_model
 from foretable.llm.quality import quality_rules
 from foretable.llm.secret_scan import BASE, secret_scan, written
+from foretable.llm.substring_dedup import substring_dedup
 from foretable.llm.toxicity import held_out, toxicity
 from foretable.llm.url_filter import url_filter
 
@@ -59,6 +60,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -69,7 +75,7 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_toxicity, op4_source_mixing, op5_secret_scan, op6_line_dedup, op7_near_dedup, op9_url_filter, op10_piece_encoding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_toxicity, op4_source_mixing, op5_secret_scan, op6_line_dedup, op7_near_dedup, op8_substring_dedup, op9_url_filter, op10_piece_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
