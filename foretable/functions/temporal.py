@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def at(moment: datetime | date | None) -> Column:
+    """A literal TIMESTAMP_NTZ. F.lit() of a datetime would go through time zones."""
+    return F.lit(None if moment is None else str(moment)).cast("timestamp_ntz")
+
+
 def hour_floor(ts: Column) -> Column:
     """The hour that ts is in. date_trunc would go through the session's time zone."""
     return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(ts), F.extract(F.lit("SECOND"), ts))

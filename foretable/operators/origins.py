@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foretable.functions.temporal import day, midnight, seconds
+from foretable.functions.temporal import at, day, midnight, seconds
 from foretable.protocol import Daily, Grid, Hourly
 
 
@@ -39,7 +39,7 @@ def origins(spark: SparkSession, grid: Grid) -> DataFrame:
 def origin_time(k: Column, grid: Grid) -> Column:
     hour = F.element_at(F.array(*map(F.lit, grid.hours)), (k % len(grid.hours)) + 1)
     week = F.floor(k / len(grid.hours)).cast("int")
-    return F.lit(grid.first).cast("timestamp_ntz") + F.make_dt_interval(week * grid.spacing_days, hour)
+    return at(grid.first) + F.make_dt_interval(week * grid.spacing_days, hour)
 
 
 def passed(ts: Column, grid: Grid) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretable.functions import measures, temporal
-from foretable.operators import baselines, calibrate, features, score
+from foretable.operators import baselines, calibrate, features, inference, models, score
 from foretable.operators import origins as og
 from foretable.plans import fixtures as fx
 from foretable.plans import sql
@@ -380,7 +380,7 @@ def hour_pattern(spark, d):
 def production_layers(spark, d):
     """First layer times the pooled ratio of all history times that of the last 5 days, at the last origin; clipped to 5..300."""
     panel, grid = fx.hourly_pair(spark, d)
-    at = F.lit(grid.times()[-len(grid.hours)] if grid.count else None).cast("timestamp_ntz")
+    at = temporal.at(grid.times()[-len(grid.hours)] if grid.count else None)
     past = fx.table(spark, d, "events").where((F.col("ts") < at) & (F.col("value") > 0)).select(F.col("event_type").alias("series_id"), F.col("ts"), F.hour("ts").alias("hour"), "value")
     sums = lambda df: df.groupBy("series_id", temporal.day(F.col("ts")).alias("date"), "hour").agg(F.count("*").alias("cnt"), F.sum("value").alias("total"))
     first = panel.where(F.col("ts") < at).groupBy("series_id", F.hour("ts").alias("hour")).agg(calibrate.clipped(F.avg("y")).alias("l1"))
@@ -448,6 +448,78 @@ def daily_scores(spark, d):
     return score.summarize(score.evaluate_daily(rows, panel, D), score.mean_scales(score.daily_scales(panel, grid, D)), ["method", "bucket"])
 
 
+@query
+def dm_test(spark, d):
+    return inference.dm_test(dm_day_diffs(spark, d), ["bucket"])
+
+
+@query
+def mcb_cd(spark, d):
+    return inference.mcb(mean_ranks(spark, d), ["bucket"], len(METHODS))
+
+
+@query
+def bootstrap_ci(spark, d):
+    return inference.bootstrap_ci(_daily_diffs(spark, d), ["bucket"])
+
+
+@query
+def block_bootstrap(spark, d):
+    return inference.bootstrap_ci(_daily_diffs(spark, d), ["bucket"], block=4)
+
+
+def _daily_diffs(spark, d):
+    """Day differences of two daily methods over all origins."""
+    panel, grid = fx.daily_pair(spark, d)
+    both = baselines.snaive7_extended(panel, grid, D).withColumn("method", F.lit("snaive7_ext")).unionByName(baselines.dow_mean(panel, grid, D, 8).withColumn("method", F.lit("dow_mean_8w")))
+    wide = score.by_method(score.evaluate_daily(both, panel, D), score.mean_scales(score.daily_scales(panel, grid, D)), ["snaive7_ext", "dow_mean_8w"], ["series_id", "origin", "date", "bucket"])
+    return score.day_differences(wide, "snaive7_ext", "dow_mean_8w", ["bucket"])
+
+
+def _hourly_split(spark, d):
+    """Encoded samples of pseudo-origins to learn from, and of the last origin day to forecast."""
+    panel = fx.hourly(spark, d)
+    grid = og.hourly_grid(panel, H, min_train_days=7)
+    rows = features.hourly_samples(panel, grid, H)
+    ready = models.encoded(rows, models.encoder(rows, models.HOURLY_NUMBERS), models.HOURLY_NUMBERS).cache()
+    last = temporal.at(grid.times()[-len(grid.hours)])
+    return ready.where(temporal.plus_hours(F.col("origin"), H.horizon) <= last), ready.where(F.col("origin") >= last)
+
+
+@query
+def gbt_l1(spark, d):
+    train, goal = _hourly_split(spark, d)
+    return models.predicted(models.boosted_trees(train, trees=10), goal).select("series_id", "origin", "ts", "y", "y_hat")
+
+
+@query
+def gbt_squared(spark, d):
+    """Daily samples: trees for the mean, on the spliced and calibrated panel."""
+    panel, grid = fx.daily_pair(spark, d)
+    panel = calibrate.splice_calibrated(panel, calibrate.level_ratio(panel, grid).where("k = 0"))
+    rows = features.daily_samples(panel, grid, D)
+    ready = models.encoded(rows, models.encoder(rows, models.DAILY_NUMBERS), models.DAILY_NUMBERS).cache()
+    cut = temporal.day(temporal.at(grid.times()[-1]))
+    model = models.boosted_trees(ready.where(F.col("date") < cut), "squared", trees=10)
+    return models.predicted(model, ready.where(F.col("origin") == cut)).select("series_id", "origin", "date", "y", "y_hat")
+
+
+@query
+def gbt_quantile(spark, d):
+    train, goal = _hourly_split(spark, d)
+    for q in (0.1, 0.5, 0.9):
+        goal = models.quantile_trees(train, q, rounds=3).predict(goal)
+    low, mid, high = measures.in_order([F.col("p10"), F.col("p50"), F.col("p90")])
+    return goal.select("series_id", "origin", "ts", "y", low.alias("p10"), mid.alias("p50"), high.alias("p90"))
+
+
+@query
+def regular_grid_theta(spark, d):
+    panel, grid = fx.hourly_pair(spark, d)
+    made = models.per_series(features.regular_grid(panel, grid), H.season, H.horizon)
+    return made.join(og.targets(panel, grid, H.horizon).select("series_id", "origin", "ts"), ["series_id", "origin", "ts"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretable.functions.temporal import day, hour_floor
+from foretable.functions.temporal import at, day, hour_floor
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,9 @@ def hourly_panel(readings: DataFrame, series: Column, ts: Column, value: Column,
     which on readings are not used."""
     rows = readings.select(series.alias("series_id"), ts.alias("__ts"), value.alias("__v")).where(F.col("__v").isNotNull())
     if since:
-        rows = rows.where(F.col("__ts") >= F.lit(since).cast("timestamp_ntz"))
+        rows = rows.where(F.col("__ts") >= at(since))
     if as_of:
-        rows = rows.where(F.col("__ts") < F.lit(as_of).cast("timestamp_ntz"))
+        rows = rows.where(F.col("__ts") < at(as_of))
     hours = rows.groupBy("series_id", hour_floor(F.col("__ts")).alias("ts")).agg(F.avg("__v").alias("y"), F.count("__v").alias("n_obs")).where(F.col("n_obs") >= min_obs)
     return classify(hours, rules).select("series_id", "park", "resort", "regime", "ts", "y", "n_obs")
 
