@@ -103,14 +103,15 @@ def mixing_plan(sources: DataFrame, exponent: float, budget: float | None) -> Da
     z, least = sources.agg(F.sum(raw), F.min(raw / share)).first()
     weight = F.coalesce(raw / F.lit(float(z or 1)), F.lit(0.0))
     passes = weight * F.lit(float(budget)) / F.col("tokens") if budget else raw / share / F.lit(float(least or 1))
-    return sources.withColumns({"weight": weight, "passes": F.coalesce(F.when(F.col("tokens") > 0, passes), F.lit(0.0 if budget else 1.0))})
+    return sources.withColumns({"weight": weight, "passes": F.coalesce(F.when(F.col("tokens") > 0, F.round(passes, 12)), F.lit(0.0 if budget else 1.0))})
 
 
 def mix_sources(
     docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget_tokens: int | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens_col: str | None = None, seed: int = 0, blocks: int = BLOCKS,
 ) -> DataFrame:
-    """The rows of docs in the mixture, each as often as it is used, with mix_epoch (the pass, from 0) and mix_position."""
+    """The rows of docs in the mixture, each as often as it is used, with mix_epoch (the pass, from 0) and mix_position. Sums of
+    doubles depend on their order in the last digits, so passes and positions are rounded to 12."""
     names = [c for c in docs.columns if c not in ("mix_epoch", "mix_position")]
     tokens = F.coalesce(F.col(tokens_col), F.lit(0)).cast("long") if tokens_col else token_count(text_or_empty(text_col))
     lot = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.sha2(text_or_empty(text_col), 256)))
@@ -130,5 +131,5 @@ def mix_sources(
     uses = uses.select(F.col("source").alias("__source"), F.col("block").alias("__block"), "passes", "uses")
     at = F.pmod(F.xxhash64(F.col("__lot"), F.col("__use.epoch")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     mixed = rows.join(uses, F.col(source_col).eqNullSafe(F.col("__source")) & (F.pmod("__lot", F.lit(blocks)).cast("int") == F.col("__block"))).withColumn("__use", F.explode("uses"))
-    position = F.least((F.col("__use.epoch") + F.col("__use.start") + at * F.col("__use.size")) / F.greatest(F.col("passes"), F.lit(1e-12)), F.lit(1.0))
+    position = F.least(F.round((F.col("__use.epoch") + F.col("__use.start") + at * F.col("__use.size")) / F.greatest(F.col("passes"), F.lit(1e-12)), 12), F.lit(1.0))
     return mixed.select(*(F.col(c) for c in names), F.col("__use.epoch").cast("int").alias("mix_epoch"), position.alias("mix_position"))
