@@ -60,7 +60,7 @@ f AS (
          coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
 SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, c.d AS chars_distance, v.d AS words_distance,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(c.d, 0) <= {q.MAX_CHARS} AND coalesce(v.d, 0) <= {q.MAX_WORDS} AS kept
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(c.d, 0) <= {q.MAX_CHARS} AND coalesce(v.d, 0) <= {q.MAX_WORDS} + {q.SLACK} / sqrt(greatest(n_words, 1)) AS kept
 FROM f LEFT JOIN js c ON c.doc_id = f.doc_id AND c.h = 'c' LEFT JOIN js v ON v.doc_id = f.doc_id AND v.h = 'w'
 """
 

@@ -30,7 +30,8 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Character classes; what is in none of them is the last class.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()-]", SYMBOLS)
 MIN_WORDS = 50
-MAX_CHARS, MAX_WORDS = 0.25, 0.6
+#: Distances above these are too far. A histogram of few words is far from any by chance: words may be SLACK / sqrt(n_words) further.
+MAX_CHARS, MAX_WORDS, SLACK = 0.25, 0.15, 1.1
 
 
 def repeat_words(grams: str = "grams") -> tuple[dict[str, Column], Column]:
@@ -90,7 +91,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS, slack: float = SLACK,
 ) -> DataFrame:
     """One row for each row of docs: id, the base counts, base_failed, chars_distance, words_distance, kept."""
     rows = stored(quality_features(docs, id_col, text_col, lang_col), "quality")
@@ -101,7 +102,7 @@ def quality_rules(
         "chars_distance": F.round(F.when(enough, js_distance(F.col("chars"), F.col("ref_chars"))), 6),
         "words_distance": F.round(F.when(enough, js_distance(F.col("common"), F.col("ref_common"))), 6),
     })
-    near = (F.coalesce("chars_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("words_distance", F.lit(0.0)) <= max_words)
+    near = (F.coalesce("chars_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("words_distance", F.lit(0.0)) <= max_words + slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", (~F.col("base_failed") & near).alias("kept")
     )
