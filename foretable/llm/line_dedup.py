@@ -6,7 +6,7 @@ a stream. A line may occur in a third of all documents: the range key therefore
 the document, which cuts every run into at most SLICES pieces; the pieces' first documents (at most SLICES rows a
 line) are then compared. What comes back is no text but, for each document that loses lines, a compressed bitmap:
 (word number, 64 bits) for those 64-line stretches only that lose something. Applying it to the text is a separate
-step.
+step. Texts are read twice: for the lines' keys, which are stored (a row of some 50 bytes a line), and to apply.
 
 Edge cases: null and empty text is one empty line. Rows that repeat document id and text share one bitmap; rows of one
 id with different texts are one document with several texts, and each has its own bitmap. A null id is one document
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretable.llm.common import SPACE, ascii_lower, text_or_empty
+from foretable.llm.common import SPACE, ascii_lower, stored, text_or_empty
 
 #: Pieces into which the run of one line is cut at most.
 SLICES = 64
@@ -42,10 +42,10 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, print, dropped): a row for each text that loses lines; dropped is an array of (word, bits), bit i of word w
     standing for line 64 * w + i. Lines that no bit names are kept."""
     spark = docs.sparkSession
-    lines = (
+    lines = stored(
         _identified(docs, id_col, text_col).select("__id", "__print", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line"))
         .withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-        .select(F.unhex(F.md5("key")).alias("hash"), (F.xxhash64("__id") % slices).cast("int").alias("slice"), F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id")).alias("doc"), "__print", "pos")
+        .select(F.unhex(F.md5("key")).alias("hash"), (F.xxhash64("__id") % slices).cast("int").alias("slice"), F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id")).alias("doc"), "__print", "pos"), "lines"
     )
     runs = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "hash", "slice").sortWithinPartitions("hash", "slice", "doc", "pos")
     heads = runs.groupBy("hash", "slice").agg(F.min("doc").alias("head"), F.max("doc").alias("tail"))
