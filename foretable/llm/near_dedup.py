@@ -6,11 +6,14 @@ the least rank plus fraction that any shingle puts there (SuperMinHash). Ranks a
 shingles of many documents at once, and a document stops when no later rank can lower a slot. Documents with equal
 sets (equal 128-bit digests of the sets) become one node. Nodes that agree in a band of ROWS slots are candidates.
 
-Verification is exact, on the words themselves, and in two steps, as a bucket may hold a very large group of copies.
-First each node is compared with one leader, the least node of any bucket it is in: that is one comparison a node, and
-connects nearly all of a group. Then, where a bucket still holds nodes of different components, all pairs between
-different components of the bucket are compared: members of the bucket's largest component meet only the others, never
-each other. No candidate is dropped, so the components are those of all candidates that pass.
+Verification is exact, on the words themselves, and goes in rounds, as a bucket may hold a very large group of copies.
+In a round each bucket has a leader, and members of other components than the leader's are compared with it: at most as
+many comparisons as the bucket has members. The first leaders are the nodes with the most neighbours in buckets, which
+stand in the middle of their groups; later ones are drawn by hash. Components are joined after each round, and rounds
+go on while what is left to compare far outnumbers the members and a round lessens it. Then all pairs that share a
+bucket and no component are compared, without those that cannot pass by a bitmap of each set: a bit that one set has and
+the other lacks stands for a shingle outside the intersection. No candidate that could pass is left out, so the
+components are those of all candidates that pass.
 
 With 32 bands of 4 slots, two documents at the threshold of 0.75 miss each other with probability 5e-6.
 
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretable.llm.common import WORD, ascii_lower, ship, stored, text_or_empty, words
@@ -37,6 +40,10 @@ from foretable.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
+#: Rounds with leaders end when they leave fewer pairs than MANY for each member, or more than LESSENED of those before.
+MANY, LESSENED, MOST_ROUNDS = 8, 0.8, 12
+#: A bitmap is so many columns of 64 bits: few enough that the JVM compiles what compares two.
+BITMAP = tuple(f"bits{i}" for i in range(16))
 _U = np.uint64
 #: Odd multipliers and shifts of a common 64-bit mixer.
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
@@ -156,19 +163,17 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept."""
     seen = stored(sketches(docs, id_col, text_col, bands, rows), "sketches")
-    nodes = stored(seen.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.min_by("bands", F.struct("id", "print")).alias("bands"), F.min(F.struct("id", "print")).alias("at")), "nodes")
-    buckets = nodes.select("digest", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("digest").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    members = stored(buckets.join(shared.select("key", "leader"), "key").select("key", "leader", "digest"), "members")
-    leaders = stored(members.groupBy("digest").agg(F.min("leader").alias("leader")), "leaders")
+    nodes = stored(seen.where("digest IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.min_by("bands", F.struct("id", "print")).alias("bands"), F.min(F.struct("id", "print")).alias("at")), "nodes")
+    buckets = nodes.select("digest", "n", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(buckets.join(shared, "key"), "members")
     # whoever is in a bucket of two nodes may be compared: their texts, once each
-    wanted = nodes.join(leaders.select("digest"), "digest", "left_semi").select("digest", "at.*").toDF("digest", "of", "as")
+    met = stored(members.groupBy("digest").agg(F.sum("size").alias("neighbours")), "met")
+    wanted = nodes.join(met.select("digest"), "digest", "left_semi").select("digest", "at.*").toDF("digest", "of", "as")
     source = docs.select(F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("print"))
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as")))
     texts = stored(texts.select("digest", "text").dropDuplicates(["digest"]), "texts")
-    first = stored(verified(leaders.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")), texts, percent), "links")
-    links = first.unionByName(stored(verified(_between(members, connected_components(first)), texts, percent), "more-links"))
-    component = stored(connected_components(links), "components")
+    component = stored(_components(members.join(met, "digest"), texts, percent), "components")
     group = nodes.join(component, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("component", "digest").alias("component"), "least")
     group = stored(group, "groups")
     least = stored(group.groupBy("component").agg(F.min("least").alias("component_id")), "least")
@@ -178,15 +183,78 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"))
 
 
-def _between(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket but no component. Of each bucket all nodes outside its largest
-    component meet all nodes of other components."""
-    component = stored(component.toDF("node", "component"), "first-components")
-    placed = members.join(component, F.col("digest") == F.col("node"), "left").select("key", "digest", F.coalesce("component", "digest").alias("component"))
-    placed = stored(placed, "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_ = stored(sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")).where("parts > 1").select("key", "main"), "open")
-    rows = stored(placed.join(open_, "key"), "rows")
-    others = rows.where("component <> main").select("key", F.col("digest").alias("b"), F.col("component").alias("c"))
-    pairs = rows.join(others, "key").where((F.col("component") != F.col("c")) & ((F.col("component") == F.col("main")) | (F.col("digest") < F.col("b"))))
-    return pairs.select(F.col("digest").alias("a"), "b").distinct()
+def _components(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of all nodes that are linked, from members (key, digest, n, size, neighbours) of buckets."""
+    placed = members.select("key", "digest", "n", "neighbours", F.col("digest").alias("component"))
+    links, before = None, None
+    for k in range(MOST_ROUNDS):
+        rank = F.struct("neighbours", "digest") if k == 0 else F.struct(F.xxhash64("digest", F.lit(k)), F.col("digest"))
+        own = [c for c in placed.columns if c in ("digest", "n", "component", "excess", *BITMAP)]
+        leaders = placed.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), *own)).alias("leader")).select("key", *(F.col("leader")[c].alias(f"{c}_2") for c in own))
+        asked = placed.join(leaders, "key").where((F.col("component") != F.col("component_2")) & _could_pass(percent, bitmaps=k > 0)).select(F.col("digest").alias("a"), F.col("digest_2").alias("b"))
+        new = stored(verified(asked.distinct(), texts, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        component = stored(connected_components(links), "round")
+        placed = placed.drop("component").join(component, F.col("digest") == F.col("node"), "left").withColumn("component", F.coalesce("component", "digest")).drop("node")
+        placed = _open(stored(placed, "placed"))
+        if k == 0:
+            placed = stored(placed, "placed")
+            placed = placed.join(_bitmaps(placed, texts), "digest")
+        placed = stored(placed, "open")
+        rows, left = placed.agg(F.count("*"), F.sum(F.col("rest") * (F.col("all") + F.col("most")) / 2 / F.col("all"))).first()
+        if not rows or left <= MANY * rows or before and left > LESSENED * before:
+            break
+        before = left
+    if not rows:
+        return component
+    more = stored(verified(_open_pairs(placed, percent), texts, percent), "more-links")
+    return connected_components(links.unionByName(more))
+
+
+def _could_pass(percent: int, bitmaps: bool) -> Column:
+    """Whether the sets of a node and of a second one (columns with _2) can overlap enough, by their sizes and bitmaps."""
+    most = F.least("n", "n_2")
+    if bitmaps:
+        both = F.bit_count(F.col(BITMAP[0]).bitwiseAND(F.col(f"{BITMAP[0]}_2")))
+        for c in BITMAP[1:]:
+            both = both + F.bit_count(F.col(c).bitwiseAND(F.col(f"{c}_2")))
+        most = both + F.least("excess", "excess_2")
+    return (100 + percent) * most >= percent * (F.col("n") + F.col("n_2"))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with main, the largest component, and the numbers of all
+    members, of those in main (most) and of the others (rest)."""
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
+    parts = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("most")).where("parts > 1")
+    parts = parts.select("key", "all", F.col("most.k").alias("most"), (F.col("all") - F.col("most.k")).alias("rest"), F.col("most.component").alias("main"))
+    return placed.drop("all", "most", "rest", "main").join(parts, "key")
+
+
+def _bitmaps(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of each node in placed digest, BITMAP (a bit for each shingle's hash) and excess (shingles beyond the bits that are set)."""
+    hashed = texts.join(placed.select("digest").distinct(), "digest").select("digest", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    size = 64 * len(BITMAP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            bits, excess = np.zeros((batch.num_rows, size), np.uint8), []
+            for i in range(batch.num_rows):
+                found = shingle_hashes(flat[ends[i] : ends[i + 1]])
+                bits[i, (found % _U(size)).astype(np.int64)] = 1
+                excess.append(len(found) - int(bits[i].sum()))
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(excess, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in packed.T)], names=["digest", "excess", *BITMAP])
+
+    return hashed.mapInArrow(run, "digest binary, excess long, " + ", ".join(f"{c} long" for c in BITMAP))
+
+
+def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket but no component and could pass. Of each bucket all nodes outside its
+    largest component meet all nodes of other components."""
+    own = ["digest", "n", "component", "excess", *BITMAP]
+    others = placed.where("component <> main").select("key", *(F.col(c).alias(f"{c}_2") for c in own))
+    meets = (F.col("component") != F.col("component_2")) & ((F.col("component") == F.col("main")) | (F.col("digest") < F.col("digest_2")))
+    return placed.select("key", "main", *own).join(others, "key").where(meets & _could_pass(percent, bitmaps=True)).select(F.col("digest").alias("a"), F.col("digest_2").alias("b")).distinct()
