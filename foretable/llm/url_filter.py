@@ -3,8 +3,8 @@
 A url is judged by the longest rule (host with its subdomains, and path prefix) that fits it. Where no rule fits, the
 url's aliases decide: edges join a page to the target of its redirect (a refresh element), to its declared canonical
 link, and to its url's canonical form (no scheme, fragment, www. or tracking parameters); connected components of
-these edges are sets of aliases. If a rule blocks a url of the set, those without a rule are blocked too; a url that
-a rule allows stays allowed, whatever its aliases are. Rules are a parameter, a list of a length that was chosen by
+these edges are sets of aliases. If a rule blocks a url of the set, be it a page or only the end of a redirect or
+canonical link, those without a rule are blocked too; a url that a rule allows stays allowed, whatever its aliases are. Rules are a parameter, a list of a length that was chosen by
 whoever wrote it, and are evaluated in the row. Edges and components are tables throughout; urls stand in them as
 128-bit hashes.
 
@@ -77,11 +77,17 @@ def declared_targets(html: Column) -> Column:
     return F.filter(F.concat(canonical, refresh), lambda u: F.contains(u, F.lit("://")))
 
 
-def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): 128-bit hashes of a page's url and of an alias, for urls that have a host."""
+def alias_edges(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(a, b, bad): 128-bit hashes of a page's url and of an alias, for urls that have a host; bad where b stands for a
+    declared target that a rule blocks, as it is written (a canonical form has lost its www. and is never judged)."""
     url = F.col(url_col)
-    aliases = F.concat(F.array(canonical_form(url)), F.transform(F.coalesce(declared_targets(F.col(html_col)), F.array().cast("array<string>")), canonical_form))
-    return pages.where(F.contains(url, F.lit("://"))).select(_key(url).alias("a"), F.explode(aliases).alias("alias")).select("a", _key(F.col("alias")).alias("b")).distinct()
+    targets = F.transform(F.coalesce(declared_targets(F.col(html_col)), F.array().cast("array<string>")), lambda t: F.struct(canonical_form(t).alias("form"), _blocked(t, rules).alias("bad")))
+    aliases = F.concat(F.array(F.struct(canonical_form(url).alias("form"), F.lit(False).alias("bad"))), targets)
+    return pages.where(F.contains(url, F.lit("://"))).select(_key(url).alias("a"), F.explode(aliases).alias("alias")).select("a", _key(F.col("alias.form")).alias("b"), "alias.bad").distinct()
+
+
+def _blocked(url: Column, rules: tuple[UrlRule, ...]) -> Column:
+    return F.coalesce(longest_rule(host(url), path(url), rules)["verdict"] == "block", F.lit(False))
 
 
 def _key(url: Column) -> Column:
@@ -90,18 +96,23 @@ def _key(url: Column) -> Column:
 
 def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of pages: id, host, path, rule, verdict. redirects: (from, to), more edges between urls."""
-    edges = alias_edges(pages, url_col, html_col)
+    edges = alias_edges(pages, rules, url_col, html_col)
     if redirects is not None:
         start, end = (F.col(c) for c in redirects.columns[:2])
         more = redirects.select(start.alias("f"), end.alias("t")).where("f IS NOT NULL AND t IS NOT NULL")
-        pairs = F.array(*(F.struct(_key(x).alias("a"), _key(y).alias("b")) for x, y in ((F.col("f"), F.col("t")), (F.col("f"), canonical_form(F.col("f"))), (F.col("t"), canonical_form(F.col("t"))))))
+        f, t = F.col("f"), F.col("t")
+        # the judged end of each pair stands in b
+        pairs = F.array(*(F.struct(_key(x).alias("a"), _key(y).alias("b"), bad.alias("bad")) for x, y, bad in ((f, t, _blocked(t, rules)), (canonical_form(f), f, _blocked(f, rules)), (t, canonical_form(t), F.lit(False)))))
         edges = edges.unionByName(more.select(F.inline(pairs)))
-    component = stored(connected_components(edges), "aliases")
+    edges = stored(edges, "links")
+    component = stored(connected_components(edges.select("a", "b")), "aliases")
     url = F.col(url_col)
     judged = pages.select(F.col(id_col).alias("id"), host(url).alias("host"), path(url).alias("path"), F.when(F.contains(url, F.lit("://")), _key(url)).alias("node"))
     judged = judged.withColumn("own", longest_rule(F.col("host"), F.col("path"), rules))
     judged = judged.join(component, "node", "left")
-    blocked = stored(judged.where("own.verdict = 'block' AND component IS NOT NULL").select("component").distinct(), "blocked").select(F.col("component").alias("bad"))
+    named = edges.where("bad").select(F.col("b").alias("node")).distinct().join(component, "node").select("component")
+    blocked = judged.where("own.verdict = 'block' AND component IS NOT NULL").select("component").unionByName(named)
+    blocked = stored(blocked.distinct(), "blocked").select(F.col("component").alias("bad"))
     judged = judged.join(blocked, F.col("component") == F.col("bad"), "left")
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("bad").isNotNull(), F.lit("block")), F.lit("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))

@@ -342,3 +342,16 @@ def test_urls_and_their_aliases(spark):
     assert out[4][2:] == ("net/es/", "block") and out[5][2:] == (None, "block") and out[6][2:] == (None, "block") and out[9][2:] == (None, "allow")
     assert out[7] == out[8] == ("", "", None, "allow") and out[10][2:] == ("net/fr/", "block") and out[11] == ("com", "", None, "allow")
     assert out[13][2:] == ("com/", "allow") and out[14][3] == out[15][3] == "block"
+
+
+def test_a_blocked_target_that_is_no_page_blocks_its_aliases(spark):
+    rows = [
+        (1, "http://b.org/canonical", '<link rel="canonical" href="https://bad.net/es/x">'), (2, "http://b.org/refresh", '<meta http-equiv="refresh" content="0; url=https://bad.net/fr/y">'),
+        (3, "http://b.org/from", ""), (4, "http://b.org/to", ""), (5, "http://b.org/free", '<link rel="canonical" href="https://ok.net/en/x">'), (6, "http://b.org/www", '<link rel="canonical" href="https://www.example.com/en/x">'),
+        (7, "http://ok.com/z", '<link rel="canonical" href="https://bad.net/es/x">'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    redirects = spark.createDataFrame([("http://b.org/from", "http://bad.net/es/z"), ("http://example.com/en/old", "http://b.org/to")], "f string, t string")
+    out = {r.page_id: r.verdict for r in url_filter(pages, redirects=redirects).collect()}
+    assert out == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
+    assert {r.verdict for r in url_filter(pages.where("page_id IN (3, 4)")).collect()} == {"allow"}
