@@ -65,23 +65,55 @@ def canonical_form(url: Column) -> Column:
     return F.concat(F.lit("//"), F.regexp_replace(host(url), r"^www\.", ""), F.regexp_replace(path(url), "/$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
+def resolved(target: Column, base: Column) -> Column:
+    """target as an absolute url, taken from a page at base (which has a scheme); null where it is empty, a fragment, or of
+    a scheme without a host. Segments . and .. of relative targets are worked out."""
+    at = lambda i: F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)([^?#]*)", i)
+    cut = F.regexp_extract(target, r"^([^?#]*)(.*)$", 1)
+    rest = F.regexp_extract(target, r"(?s)^([^?#]*)(.*)$", 2)
+    whole = F.when(cut.startswith("/"), cut).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract(at(3), r"^(.*/)", 1), F.lit("")), F.lit("/")), cut))
+    steps = F.split(F.concat(whole, F.when(F.rlike(whole, F.lit(r"/\.\.?$")), F.lit("/")).otherwise(F.lit(""))), "/")
+    up = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.array_append(done, x))
+    clean = F.when(F.contains(whole, F.lit("/.")), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/")).otherwise(whole)
+    return (
+        F.when(F.rlike(target, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), target)
+        .when(F.rlike(target, F.lit("^([A-Za-z][A-Za-z0-9+.-]*:|#|$)")), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(at(1), target))
+        .when(target.startswith("?"), F.concat(at(1), at(2), at(3), target))
+        .otherwise(F.concat(at(1), at(2), clean, rest))
+    )
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"""(?i)\b{name}\s*=\s*["']([^"']*)["']""", 1)
+    """The value of a tag's attribute (in either quotes, or in none), '' if it has none. Attributes are read from left to
+    right, so that nothing within another one's value counts."""
+    parts = F.regexp_extract_all(tag, F.lit(r"""((?<![^\s"'/])[^\s"'<>/=]++\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))"""), 1)
+    held = F.filter(parts, lambda x: F.rlike(x, F.lit(rf"(?i)^{name}\s*=")))
+    value = F.regexp_extract(F.coalesce(F.try_element_at(held, F.lit(1)), F.lit("")), r"(?s)^[^=]*=\s*(.*)$", 1)
+    return F.trim(F.when(F.rlike(value, F.lit("""^["']""")), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+
+
+#: The target in the content of a refresh: after the seconds, with url= or without it, in quotes of its own or in none.
+_REFRESH = r"""(?is)^(?:\s*[0-9.]*+[\s;,]++(?:url\s*+=\s*+)?+|.*?\burl\s*=\s*)(?:"([^"]*)|'([^']*)|([^\s"']\S*))"""
 
 
-def declared_targets(html: Column) -> Column:
-    """Absolute urls that a page names as its canonical link or redirects to."""
-    tags = F.regexp_extract_all(html, F.lit("(?i)(<(?:link|meta)\\b[^>]*>)"), 1)
-    canonical = F.transform(F.filter(tags, lambda t: F.rlike(t, F.lit("(?i)^<link")) & (F.lower(_attribute(t, "rel")) == "canonical")), lambda t: _attribute(t, "href"))
-    refresh = F.transform(F.filter(tags, lambda t: F.rlike(t, F.lit("(?i)^<meta")) & (F.lower(_attribute(t, "http-equiv")) == "refresh")), lambda t: F.regexp_extract(_attribute(t, "content"), r"(?i)url\s*=\s*(\S+)", 1))
-    return F.filter(F.concat(canonical, refresh), lambda u: F.contains(u, F.lit("://")))
+def declared_targets(html: Column, url: Column) -> Column:
+    """Absolute urls that a page at url names as its canonical link or redirects to. Relative ones start from its base element, if it has one."""
+    tags = F.regexp_extract_all(html, F.lit("(?i)(<(?:link|meta|base)\\b[^>]*>)"), 1)
+    of = lambda start: F.filter(tags, lambda t: F.rlike(t, F.lit(start)))
+    canonical = F.filter(of(r"(?is)^<link\b.*canonical"), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    refresh = F.filter(of(r"(?is)^<meta\b.*refresh"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+    content = F.transform(refresh, lambda t: _attribute(t, "content"))
+    targets = F.concat(F.transform(canonical, lambda t: _attribute(t, "href")), F.transform(content, lambda c: F.trim(F.concat(*(F.regexp_extract(c, _REFRESH, i) for i in (1, 2, 3))))))
+    base = F.coalesce(resolved(_attribute(F.try_element_at(of(r"(?is)^<base\b.*href"), F.lit(1)), "href"), url), url)
+    return F.filter(F.transform(targets, lambda t: resolved(t, base)), lambda u: u.isNotNull())
 
 
 def alias_edges(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b, bad): 128-bit hashes of a page's url and of an alias, for urls that have a host; bad where b stands for a
     declared target that a rule blocks, as it is written (a canonical form has lost its www. and is never judged)."""
     url = F.col(url_col)
-    targets = F.transform(F.coalesce(declared_targets(F.col(html_col)), F.array().cast("array<string>")), lambda t: F.struct(canonical_form(t).alias("form"), _blocked(t, rules).alias("bad")))
+    targets = F.transform(F.coalesce(declared_targets(F.col(html_col), url), F.array().cast("array<string>")), lambda t: F.struct(canonical_form(t).alias("form"), _blocked(t, rules).alias("bad")))
     aliases = F.concat(F.array(F.struct(canonical_form(url).alias("form"), F.lit(False).alias("bad"))), targets)
     return pages.where(F.contains(url, F.lit("://"))).select(_key(url).alias("a"), F.explode(aliases).alias("alias")).select("a", _key(F.col("alias.form")).alias("b"), "alias.bad").distinct()
 
@@ -95,11 +127,12 @@ def _key(url: Column) -> Column:
 
 
 def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row for each row of pages: id, host, path, rule, verdict. redirects: (from, to), more edges between urls."""
+    """One row for each row of pages: id, host, path, rule, verdict. redirects: (from, to), more edges between urls;
+    to may be relative to from, which has a scheme."""
     edges = alias_edges(pages, rules, url_col, html_col)
     if redirects is not None:
         start, end = (F.col(c) for c in redirects.columns[:2])
-        more = redirects.select(start.alias("f"), end.alias("t")).where("f IS NOT NULL AND t IS NOT NULL")
+        more = redirects.select(start.alias("f"), resolved(F.trim(end), start).alias("t")).where("contains(f, '://') AND t IS NOT NULL")
         f, t = F.col("f"), F.col("t")
         # the judged end of each pair stands in b
         pairs = F.array(*(F.struct(_key(x).alias("a"), _key(y).alias("b"), bad.alias("bad")) for x, y, bad in ((f, t, _blocked(t, rules)), (canonical_form(f), f, _blocked(f, rules)), (t, canonical_form(t), F.lit(False)))))

@@ -24,7 +24,7 @@ from foretable.llm.near_dedup import near_dedup, signatures
 from foretable.llm.piece_encoding import Decoder, MergeModel, WordEncoder, encode_text, piece_encode, public_model
 from foretable.llm.quality import quality_rules
 from foretable.llm.substring_dedup import substring_dedup
-from foretable.llm.url_filter import url_filter
+from foretable.llm.url_filter import UrlRule, url_filter
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -355,3 +355,22 @@ def test_a_blocked_target_that_is_no_page_blocks_its_aliases(spark):
     out = {r.page_id: r.verdict for r in url_filter(pages, redirects=redirects).collect()}
     assert out == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
     assert {r.verdict for r in url_filter(pages.where("page_id IN (3, 4)")).collect()} == {"allow"}
+
+
+def test_every_form_of_a_declared_target_counts(spark):
+    link = lambda href, more="": f"{more}<link rel=canonical href={href}>"
+    refresh = lambda content: f"<meta http-equiv=refresh content={content}>"
+    forms = [
+        link("/en/goal"), link("'/en/goal'"), link('"//b.org/en/goal"'), link('"goal"'), link("./goal"), link('"../en/goal"'), link('"/x/../en/./goal#f"'), link("goal", '<base href="/en/">'), link("http://b.org/en/goal"),
+        '<link data-href="/no" href="/en/goal" rel="nofollow Canonical">', "<link title=\"a rel='x' href='/no'\" rel='canonical'href='/en/goal' />",
+        refresh("\"0; url='https://b.org/en/goal'\""), refresh("'0;URL=\"/en/goal\"'"), refresh('"5, goal"'), refresh('"0;url = //b.org/en/goal"'), refresh("0;url=/en/goal"), refresh("url=goal"),
+    ]
+    no = [link('"#goal"'), link('""'), link('"mailto:x@b.org"'), refresh("5"), '<link rel="alternate" href="/en/goal">']
+    rows = [(i, f"http://b.org/en/from{i}", html) for i, html in enumerate(forms + no)]
+    bad = (UrlRule("b.org", "/en/goal", "block"),)
+    pages = spark.createDataFrame([*rows, (99, "http://b.org/en/page?id=1", '<link rel="canonical" href="?id=2">'), (98, "http://b.org/en/page?id=2", link("/en/goal"))], "page_id long, url string, html string")
+    out = {r.page_id: r.verdict for r in url_filter(pages, bad).collect()}
+    assert {i for i in out if out[i] == "block"} == {*range(len(forms)), 98, 99}
+    redirects = spark.createDataFrame([("http://c.org/a/b", "../goal"), ("http://c.org/x", "/a/y"), ("c.org/no", "http://b.org/en/goal"), ("http://c.org/z", "mailto:x@c.org")], "f string, t string")
+    pages = spark.createDataFrame([(i, f"http://c.org/{x}", None) for i, x in enumerate(("a/b", "x", "z", "goal"))], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter(pages, (UrlRule("c.org", "/goal", "block"),), redirects).collect()} == {0: "block", 1: "allow", 2: "allow", 3: "block"}
