@@ -234,10 +234,17 @@ def ratio_table_l2(spark, d):
 
 @query
 def nearest_hour_fill(spark, d):
+    """The fill over gaps made on purpose, as its SQL has them. every_hour_ratio is the fill of the whole table."""
     table = ratio_table_l2(spark, d).where(F.col("hour") % 5 != 0)
     return calibrate.every_hour(table, ["origin", "series_id"])
 
 
+@query
+def every_hour_ratio(spark, d):
+    """All 24 hours of every series and origin: each real ratio as it is, the nearest one where there is none."""
+    return calibrate.every_hour(ratio_table_l2(spark, d), ["origin", "series_id"])
+
+
 @query
 def two_ratio_layers(spark, d):
     panel, grid, pool = _pool(spark, d)

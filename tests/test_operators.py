@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foretable.functions import measures, temporal
 from foretable.operators import baselines, calibrate, features, inference, models, origins, score
+from foretable.plans import catalogue
 from foretable.protocol import Daily, Grid, Hourly
 from foretable.sources import files, panels
 from foretable.streaming.hourly import streaming_hourly_panel
@@ -198,3 +199,10 @@ def test_files(spark, tmp_path):
     files.write_csv(frame, str(tmp_path / "c"), compressed=True, order=["y"])
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
     assert list((tmp_path / "c").glob("*.csv.gz"))
+
+
+def test_every_real_ratio_stays(spark, monkeypatch):
+    have = {h: 1.0 + h / 100 for h in range(24) if h != 11}
+    table = spark.createDataFrame([("s", DAY0, h, r) for h, r in have.items()], "series_id string, origin timestamp_ntz, hour int, ratio double")
+    monkeypatch.setattr(catalogue, "ratio_table_l2", lambda spark, d: table)
+    assert {r.hour: r.ratio for r in catalogue.queries()["every_hour_ratio"](spark, "").collect()} == pytest.approx(have | {11: have[10]})
