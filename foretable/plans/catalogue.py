@@ -483,41 +483,57 @@ def _daily_diffs(spark, d):
     return score.day_differences(wide, "snaive7_ext", "dow_mean_8w", ["bucket"])
 
 
-def _hourly_split(spark, d):
-    """Encoded samples of pseudo-origins to learn from, and of the last origin day to forecast."""
-    panel = fx.hourly(spark, d)
-    grid = og.hourly_grid(panel, H, min_train_days=7)
-    rows = features.hourly_samples(panel, grid, H)
+def _refitted(splits, forecast: Callable[[DataFrame, DataFrame], DataFrame], none: DataFrame) -> DataFrame:
+    """The forecasts of all evaluation days, each by a fit of its own; a day that nothing is known for has none. splits: (day, train, goal)."""
+    out = none
+    for _, train, goal in splits:
+        if not train.isEmpty():
+            out = out.unionByName(forecast(train, goal).select(*none.columns))
+    return out
+
+
+def _days(grid) -> list:
+    return sorted({t.replace(hour=0) for t in grid.times()})
+
+
+def _hourly_splits(spark, d):
+    """Encoded samples of all pseudo-origins, and of each origin day those to learn from and those to forecast."""
+    panel, grid = fx.hourly_pair(spark, d)
+    rows = features.hourly_samples(panel, og.hourly_grid(panel, H, min_train_days=7), H)
     ready = models.encoded(rows, models.encoder(rows, models.HOURLY_NUMBERS), models.HOURLY_NUMBERS).cache()
-    last = temporal.at(grid.times()[-len(grid.hours)])
-    return ready.where(temporal.plus_hours(F.col("origin"), H.horizon) <= last), ready.where(F.col("origin") >= last)
+    return ready, models.refits(ready, _days(grid), H.horizon // 24)
 
 
 @query
 def gbt_l1(spark, d):
-    train, goal = _hourly_split(spark, d)
-    return models.predicted(models.boosted_trees(train, trees=10), goal).select("series_id", "origin", "ts", "y", "y_hat")
+    ready, splits = _hourly_splits(spark, d)
+    none = ready.limit(0).select("series_id", "origin", "ts", "y", F.lit(0.0).alias("y_hat"))
+    return _refitted(splits, lambda train, goal: models.predicted(models.boosted_trees(train), goal), none)
 
 
 @query
 def gbt_squared(spark, d):
-    """Daily samples: trees for the mean, on the spliced and calibrated panel."""
+    """Daily samples: trees for the mean, on the spliced and calibrated panel, fitted for each origin on the days before it."""
     panel, grid = fx.daily_pair(spark, d)
     panel = calibrate.splice_calibrated(panel, calibrate.level_ratio(panel, grid).where("k = 0"))
     rows = features.daily_samples(panel, grid, D)
     ready = models.encoded(rows, models.encoder(rows, models.DAILY_NUMBERS), models.DAILY_NUMBERS).cache()
-    cut = temporal.day(temporal.at(grid.times()[-1]))
-    model = models.boosted_trees(ready.where(F.col("date") < cut), "squared", trees=10)
-    return models.predicted(model, ready.where(F.col("origin") == cut)).select("series_id", "origin", "date", "y", "y_hat")
+    splits = ((day, ready.where(F.col("date") < temporal.day(temporal.at(day))), ready.where(F.col("origin") == temporal.day(temporal.at(day)))) for day in _days(grid))
+    none = ready.limit(0).select("series_id", "origin", "date", "y", F.lit(0.0).alias("y_hat"))
+    return _refitted(splits, lambda train, goal: models.predicted(models.boosted_trees(train, "squared"), goal), none)
 
 
 @query
 def gbt_quantile(spark, d):
-    train, goal = _hourly_split(spark, d)
-    for q in (0.1, 0.5, 0.9):
-        goal = models.quantile_trees(train, q, rounds=3).predict(goal)
-    low, mid, high = measures.in_order([F.col("p10"), F.col("p50"), F.col("p90")])
-    return goal.select("series_id", "origin", "ts", "y", low.alias("p10"), mid.alias("p50"), high.alias("p90"))
+    def forecast(train: DataFrame, goal: DataFrame) -> DataFrame:
+        for q in (0.1, 0.5, 0.9):
+            goal = models.quantile_trees(train, q).predict(goal)
+        low, mid, high = measures.in_order([F.col("p10"), F.col("p50"), F.col("p90")])
+        return goal.select("series_id", "origin", "ts", "y", low.alias("p10"), mid.alias("p50"), high.alias("p90"))
+
+    ready, splits = _hourly_splits(spark, d)
+    none = ready.limit(0).select("series_id", "origin", "ts", "y", *(F.lit(0.0).alias(p) for p in ("p10", "p50", "p90")))
+    return _refitted(splits, forecast, none)
 
 
 @query
