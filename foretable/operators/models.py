@@ -110,10 +110,10 @@ def theta_forecast(y: np.ndarray, season: int, horizon: int) -> np.ndarray:
     return np.maximum(0.0, 0.5 * (base + slope * ahead + best[1]) + seasonal[ahead % season])
 
 
-def per_series(grid: DataFrame, season: int, horizon: int, method=theta_forecast, context: int = 2048) -> DataFrame:
+def per_series(grid: DataFrame, season: int, horizon: int, method=theta_forecast, context: int | None = None) -> DataFrame:
     """(series_id, origin, ts, y_hat): a forecast of every hour of the horizon from a regular grid (series_id, origin, ts, y), of which
-    the last context hours are used. method: any function of values, season and horizon (a pretrained model may be one).
-    Groups are one series at one origin, of at most context rows."""
+    the last context hours are used, or all. method: any function of values, season and horizon (a pretrained model may be one,
+    with a context of 2,048, say). Groups are one series at one origin: a few numbers an hour."""
     from foretable.operators.features import truncated_context
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -121,7 +121,8 @@ def per_series(grid: DataFrame, season: int, horizon: int, method=theta_forecast
         ahead = method(frame["y"].to_numpy(float), season, horizon)
         return pd.DataFrame({"series_id": key[0], "origin": key[1], "ts": [key[1] + pd.Timedelta(hours=i) for i in range(horizon)], "y_hat": ahead})
 
-    return truncated_context(grid, context).groupBy("series_id", "origin").applyInPandas(run, "series_id string, origin timestamp_ntz, ts timestamp_ntz, y_hat double")
+    rows = grid if context is None else truncated_context(grid, context)
+    return rows.groupBy("series_id", "origin").applyInPandas(run, "series_id string, origin timestamp_ntz, ts timestamp_ntz, y_hat double")
 
 
 def refits(samples: DataFrame, days: list, horizon_days: int) -> Iterator[tuple[object, DataFrame, DataFrame]]:

@@ -229,3 +229,9 @@ def test_fitted_models_forecast_every_origin_with_default_rounds(spark, sf_dir,
     _, grid = fixtures.daily_pair(spark, d)
     got = sorted(r.origin for r in catalogue.queries()["gbt_squared"](spark, d).select("origin").distinct().collect())
     assert got == [t.date() for t in grid.times()[1:]]  # before the first origin no sample is known
+
+
+def test_per_series_methods_see_the_whole_grid(spark):
+    rows = spark.range(2100).select(F.lit("a").alias("series_id"), F.lit(DAY0).cast("timestamp_ntz").alias("origin"), temporal.plus_hours(temporal.at(DAY0), -1 - F.col("id").cast("int")).alias("ts"), F.lit(1.0).alias("y"))
+    count = lambda y, season, horizon: np.full(horizon, float(len(y)))
+    assert [models.per_series(rows, 168, 1, count, **more).first().y_hat for more in ({}, {"context": 2048})] == [2100.0, 2048.0]
