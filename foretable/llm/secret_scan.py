@@ -85,7 +85,9 @@ def trigram_query(pattern: str) -> list[set[frozenset[str]]]:
                 if kind is C.LITERAL:
                     found.add(chr(x).lower())
                 elif kind is C.RANGE:
-                    found |= {chr(c).lower() for c in range(x[0], min(x[1], x[0] + ALTERNATIVES) + 1)}
+                    if x[1] - x[0] >= ALTERNATIVES:
+                        return None
+                    found |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
                 else:
                     return None
             return found if len(found) <= ALTERNATIVES else None

@@ -24,6 +24,7 @@ from foretable.llm.near_dedup import near_dedup, signatures
 from foretable.llm.piece_encoding import Decoder, MergeModel, WordEncoder, encode_text, piece_encode, public_model
 from foretable.llm.quality import quality_rules
 from foretable.llm.substring_dedup import substring_dedup
+from foretable.llm.secret_scan import Rule, secret_scan, trigram_query
 from foretable.llm.url_filter import UrlRule, url_filter
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -374,3 +375,10 @@ def test_every_form_of_a_declared_target_counts(spark):
     redirects = spark.createDataFrame([("http://c.org/a/b", "../goal"), ("http://c.org/x", "/a/y"), ("c.org/no", "http://b.org/en/goal"), ("http://c.org/z", "mailto:x@c.org")], "f string, t string")
     pages = spark.createDataFrame([(i, f"http://c.org/{x}", None) for i, x in enumerate(("a/b", "x", "z", "goal"))], "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in url_filter(pages, (UrlRule("c.org", "/goal", "block"),), redirects).collect()} == {0: "block", 1: "allow", 2: "allow", 3: "block"}
+
+
+@pytest.mark.parametrize(("pattern", "text"), [("[!-~]key", "a {key"), ("[\u0400-\u04ff]key", "a \u04ffkey")])
+def test_wide_ranges_are_never_cut(pattern, text, spark):
+    assert trigram_query(pattern) == [{frozenset({"key"})}]
+    out = secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), more=(Rule("wide", pattern),)).first()
+    assert [(s.start, s.end) for s in out.found] == [(2, 6)]
