@@ -1,10 +1,9 @@
 """Line deduplication across documents, in DataFrame operations only.
 
-Lines become (key hash, document, position). They are range-partitioned by hash and sorted within the partitions by
-hash, document and position, so that the first occurrence of a line is the first row of its run, and a run is read as
-a stream. A line may occur in a third of all documents: the range key therefore also holds a slice number taken from
-the document, which cuts every run into at most SLICES pieces; the pieces' first documents (at most SLICES rows a
-line) are then compared. What comes back is no text but, for each document that loses lines, a compressed bitmap:
+Lines become (key hash, document, position). They are range-partitioned by hash, and the first occurrence of a line is
+found by a minimum over its documents, which needs no order within the partitions. A line may occur in a third of all
+documents: the range key therefore also holds a slice number taken from the document, which cuts every run into at most
+SLICES pieces; the pieces' first documents (at most SLICES rows a line) are then compared. What comes back is no text but, for each document that loses lines, a compressed bitmap:
 (word number, 64 bits) for those 64-line stretches only that lose something. Applying it to the text is a separate
 step. Texts are read twice: for the lines' keys, which are stored (a row of some 50 bytes a line), and to apply.
 
@@ -47,7 +46,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
         .select(F.unhex(F.md5("key")).alias("hash"), (F.xxhash64("__id") % slices).cast("int").alias("slice"), F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id")).alias("doc"), "__print", "pos"), "lines"
     )
-    runs = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "hash", "slice").sortWithinPartitions("hash", "slice", "doc", "pos")
+    runs = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "hash", "slice")
     heads = runs.groupBy("hash", "slice").agg(F.min("doc").alias("head"), F.max("doc").alias("tail"))
     first = heads.groupBy("hash").agg(F.min("head").alias("first"), F.max("tail").alias("final"), F.collect_set("slice").alias("slices")).where(F.col("first") != F.col("final"))
     repeated = first.select("hash", "first", F.explode("slices").alias("slice"))
