@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -35,19 +36,52 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a folder of our own if driver and
+    executors are one process; on a cluster there is no folder to fall back on, and the setting is asked for."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foretable-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
+class Scratch:
+    """Tables that an operator writes to the shared folder. Each ends its lineage, so that a lost executor costs a retry.
+    Those that nothing reads any more are dropped by the operator; the others, which its result still reads, are deleted
+    when the application ends."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/foretable-{name}-{uuid.uuid4().hex}"
+        path = self._path("")
+        self.files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files.mkdirs(path)
+        self.files.deleteOnExit(path)
+        self.names: set[str] = set()
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written once and read back."""
+        self.names.add(name)
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in self.names.intersection(names):
+            self.files.delete(self._path(name), True)
+        self.names.difference_update(names)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*self.names.difference(names))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: its lineage ends there, and a lost executor costs no work."""
-    path = f"{shared_dir(df.sparkSession)}/foretable-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df in a table of its own: for what a result reads."""
+    return Scratch(df.sparkSession, name).store(df, name)
 
 
 def ship(spark: SparkSession) -> None:

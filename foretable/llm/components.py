@@ -1,11 +1,12 @@
 """Connected components of a graph whose edges are a table, for graphs of any size.
 
 Edges are first contracted within each partition by union-find, which leaves a forest of at most as many edges as
-nodes. Then rounds of two steps run until nothing changes: each node's larger neighbours are linked to its least
-neighbour (large star), then its smaller neighbours and itself to the least of them (small star). Rounds grow with the
-logarithm of the node count. A node with very many neighbours costs no long task: minima combine before the exchange,
-and the joins' sides are both exchanged for the join, so that adaptive execution splits a hot node. Every step's edges
-are written to the shared folder; neither edges nor components reach the driver, only a count and a checksum do.
+nodes. Then rounds of two steps run until the forest's trees are stars: each node's smaller neighbours and itself are
+linked to the least of them (small star), then its larger neighbours to its least neighbour (large star). Rounds grow
+with the logarithm of the node count; a graph of stars whose centres are the least nodes takes none. A node with very
+many neighbours costs no long task: minima combine before the exchange and are stored, so that the joins' two sides are
+both exchanged for the join and adaptive execution splits a hot node. Every step's edges are written to the shared
+folder; neither edges nor components reach the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretable.llm.common import ship, stored
+from foretable.llm.common import Scratch, ship
 
 MOST_ROUNDS = 60
 
@@ -44,26 +45,31 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some, kind.field(0).type), pa.array(map(root, some), kind.field(0).type)], schema=kind)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node is linked to one smaller node at most, and none to a node that is itself linked to a smaller one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(node, component) for every node of an edge (two columns of one type, in any direction); component is the least
-    node that can be reached. Edges with a null end and from a node to itself add nothing."""
-    spark = edges.sparkSession
-    ship(spark)
+    node that can be reached. Edges with a null end and from a node to itself add nothing. The result is the table name
+    of scratch; the steps before it are dropped."""
+    ship(edges.sparkSession)
     edges = edges.toDF("a", "b").where("a <> b")
-    now = stored(edges.mapInArrow(_forest, edges.schema).distinct(), "edges")
-    before = None
-    for _ in range(MOST_ROUNDS):
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large, "large")
-        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), "down")
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        now = stored(small.distinct(), "small")
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    now = scratch.store(edges.mapInArrow(_forest, edges.schema).distinct(), f"{name}-0")
+    k = 0
+    while not _all_stars(now):
+        if (k := k + 1) > MOST_ROUNDS:
+            raise RuntimeError("components did not settle")
+        down = scratch.store(now.groupBy("a").agg(F.min("b").alias("m")), f"{name}-down-{k}")
+        small = now.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        small = scratch.store(small.distinct(), f"{name}-small-{k}")
+        both = small.unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = scratch.store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least-{k}")
+        now = scratch.store(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}", *(f"{name}-{step}-{k}" for step in ("down", "small", "least")))
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    out = scratch.store(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), name)
+    scratch.drop(f"{name}-{k}")
+    return out

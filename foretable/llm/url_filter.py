@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretable.llm.common import ascii_lower, stored
+from foretable.llm.common import Scratch, ascii_lower
 from foretable.llm.components import connected_components
 
 
@@ -137,15 +137,17 @@ def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects:
         # the judged end of each pair stands in b
         pairs = F.array(*(F.struct(_key(x).alias("a"), _key(y).alias("b"), bad.alias("bad")) for x, y, bad in ((f, t, _blocked(t, rules)), (canonical_form(f), f, _blocked(f, rules)), (t, canonical_form(t), F.lit(False)))))
         edges = edges.unionByName(more.select(F.inline(pairs)))
-    edges = stored(edges, "links")
-    component = stored(connected_components(edges.select("a", "b")), "aliases")
+    scratch = Scratch(pages.sparkSession, "urls")
+    edges = scratch.store(edges, "links")
+    component = connected_components(edges.select("a", "b"), scratch, "aliases")
     url = F.col(url_col)
     judged = pages.select(F.col(id_col).alias("id"), host(url).alias("host"), path(url).alias("path"), F.when(F.contains(url, F.lit("://")), _key(url)).alias("node"))
     judged = judged.withColumn("own", longest_rule(F.col("host"), F.col("path"), rules))
     judged = judged.join(component, "node", "left")
     named = edges.where("bad").select(F.col("b").alias("node")).distinct().join(component, "node").select("component")
     blocked = judged.where("own.verdict = 'block' AND component IS NOT NULL").select("component").unionByName(named)
-    blocked = stored(blocked.distinct(), "blocked").select(F.col("component").alias("bad"))
+    blocked = scratch.store(blocked.distinct(), "blocked").select(F.col("component").alias("bad"))
+    scratch.drop("links")
     judged = judged.join(blocked, F.col("component") == F.col("bad"), "left")
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("bad").isNotNull(), F.lit("block")), F.lit("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))

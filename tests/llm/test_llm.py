@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from foretable.llm import queries as q
 from foretable.llm import secret_scan as secrets
 from foretable.llm import toxicity as tox
+from foretable.llm.common import Scratch
 from foretable.llm.components import connected_components
 from foretable.llm.exact_dedup import exact_dedup
 from foretable.llm.line_dedup import line_bitmaps, line_dedup
@@ -194,7 +195,7 @@ def test_components_of_a_random_graph_and_a_long_path(spark):
         if a is not None and a != b:
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7), Scratch(spark, "test")).collect()
     assert {r.node: r.component for r in got} == {x: root(x) for x in parent} and len(got) == len(parent)
 
 
