@@ -22,7 +22,8 @@ With 32 bands of 4 slots, two documents at the threshold of 0.75 miss each other
 Texts are read twice, and the second time only those in some bucket of two nodes are kept. A leader's text goes to a
 task once for each slice of about SLICE members, which are then streamed past it. A hot bucket, leader or component
 goes through minima that combine before the exchange and are stored, and through joins whose two sides are both
-exchanged for them, so that adaptive execution can split it.
+exchanged for them, so that adaptive execution can split it. Nothing bounds what is joined with texts, so it is never
+broadcast.
 
 Edge cases: null text and text without words has no shingles, is linked to nothing, and is its own component.
 component_id is the least id reachable; a null id counts as larger than any other. Rows that repeat an id are nodes of
@@ -48,7 +49,7 @@ BANDS, ROWS = 32, 4
 #: fewer pairs than MANY for each member, or more than LESSENED of those before.
 MANY, LESSENED, MOST_ROUNDS = 256, 0.8, 12
 #: A leader's text is sent once for about so many of those that are compared with it.
-SLICE = 256
+SLICE = 64
 #: A bitmap is so many columns of 64 bits: few enough that the JVM compiles what compares two.
 BITMAP = tuple(f"bits{i}" for i in range(16))
 _U = np.uint64
@@ -152,9 +153,9 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     """Of the pairs (a, b, size, c, c_2) of nodes the (c, c_2) of those whose sets overlap enough: 100 * intersection >=
     percent * union. size: about how many pairs b may have. b's text is sent once for each slice of its pairs."""
     sliced = pairs.select("a", "b", "c", "c_2", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / SLICE)).cast("int").alias("slice"))
-    asked = sliced.join(texts.toDF("a", "text"), "a")
+    asked = sliced.hint("shuffle_merge").join(texts.toDF("a", "text"), "a")
     none = F.lit(None).cast("binary")
-    leaders = sliced.select("b", "slice").distinct().join(texts.toDF("b", "text"), "b").select(none.alias("a"), "b", none.alias("c"), none.alias("c_2"), "slice", "text")
+    leaders = sliced.select("b", "slice").distinct().hint("shuffle_merge").join(texts.toDF("b", "text"), "b").select(none.alias("a"), "b", none.alias("c"), none.alias("c_2"), "slice", "text")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = leaders.unionByName(asked).repartition(n, "b", "slice").sortWithinPartitions("b", "slice", F.col("a").asc_nulls_first())
 
@@ -193,7 +194,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop("members", "shared")
     source = docs.select(F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("print"))
     wanted = names.select("node", F.col("at.id").alias("of"), F.col("at.print").alias("as"))
-    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as"))).select("node", "text")
+    texts = source.join(wanted.hint("shuffle_merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as"))).select("node", "text")
     texts = scratch.store(texts.dropDuplicates(["node"]), "texts")
     merged = _merged(placed, texts, percent, scratch)
     label = names.select("digest", "node", "least")
@@ -267,7 +268,7 @@ def _open(placed: DataFrame, scratch: Scratch, k: int) -> DataFrame:
 
 def _bitmaps(placed: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Of each node in placed: node, BITMAP (a bit for each shingle's hash) and excess (shingles beyond the bits that are set)."""
-    hashed = texts.join(placed.select("node").distinct(), "node").select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    hashed = texts.join(placed.select("node").distinct().hint("shuffle_merge"), "node").select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     size = 64 * len(BITMAP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
