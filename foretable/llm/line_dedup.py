@@ -1,23 +1,28 @@
 """Line deduplication across documents, in DataFrame operations only.
 
-Lines become (key hash, document, position). They are range-partitioned by hash, and the first occurrence of a line is
-found by a minimum over its documents, which needs no order within the partitions. A line may occur in a third of all
+Lines become (key hash, document, position). They are range-partitioned by hash and sorted within the partitions by
+document and position, and a window that only looks back streams through each line's run: its first occurrence names
+the document that keeps the line, every later document in the run loses it. A line may occur in a third of all
 documents: the range key therefore also holds a slice number taken from the document, which cuts every run into at most
-SLICES pieces; the pieces' first documents (at most SLICES rows a line) are then compared. What comes back is no text but, for each document that loses lines, a compressed bitmap:
-(word number, 64 bits) for those 64-line stretches only that lose something. Applying it to the text is a separate
-step. Texts are read twice: for the lines' keys, which are stored (a row of some 50 bytes a line), and to apply.
+SLICES pieces; the first occurrences of the pieces (at most SLICES documents a line) are then compared, and the others
+never leave their partition. What comes back is no text but, for each document that loses lines, a compressed bitmap of
+the lines that it keeps: (word number, 64 bits) for those 64-line stretches only that lose something. Applying it to the
+text is a separate step. Texts are read twice: for the lines' keys, which are stored (a row of some 50 bytes a line), and
+to apply.
 
 Edge cases: null and empty text is one empty line. Rows that repeat document id and text share one bitmap; rows of one
 id with different texts are one document with several texts, and each has its own bitmap. A null id is one document
-that comes after all others. Keys shorter than min_chars never count. An empty table gives an empty result.
+that comes after all others. Keys shorter than min_chars never count. Columns of the caller keep their values, whatever
+their names, but for n_lines, n_dropped and kept_text, which are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foretable.llm.common import SPACE, ascii_lower, stored, text_or_empty
+from foretable.llm.common import SPACE, Scratch, ascii_lower, text_or_empty
 
 #: Pieces into which the run of one line is cut at most.
 SLICES = 64
@@ -32,43 +37,47 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with what tells texts apart: the id, which may be null or repeated, and a fingerprint of the text."""
-    return docs.withColumns({"__id": F.col(id_col), "__text": text_or_empty(text_col)}).withColumn("__print", F.xxhash64("__text"))
+def _prints(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What tells texts apart: the id, which may be null or repeated, and a fingerprint of the text."""
+    return F.col(id_col), F.xxhash64(text_or_empty(text_col))
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, slices: int = SLICES) -> DataFrame:
-    """(id, print, dropped): a row for each text that loses lines; dropped is an array of (word, bits), bit i of word w
-    standing for line 64 * w + i. Lines that no bit names are kept."""
+    """(id, print, kept): a row for each text that loses lines; kept is an array of (word, bits), bit i of word w standing for
+    line 64 * w + i. Lines of words that aren't named are kept."""
     spark = docs.sparkSession
-    lines = stored(
-        _identified(docs, id_col, text_col).select("__id", "__print", F.posexplode(lines_of(F.col("__text"))).alias("pos", "line"))
-        .withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-        .select(F.unhex(F.md5("key")).alias("hash"), (F.xxhash64("__id") % slices).cast("int").alias("slice"), F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id")).alias("doc"), "__print", "pos"), "lines"
-    )
+    scratch = Scratch(spark, "lines")
+    id_, print_ = _prints(id_col, text_col)
+    lines = docs.select(id_.alias("id"), print_.alias("print"), F.posexplode(lines_of(text_or_empty(text_col))).alias("pos", "line")).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
+    lines = scratch.store(lines.select(F.unhex(F.md5("key")).alias("hash"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.struct(F.col("id").isNull().alias("last"), "id").alias("doc"), "print", "pos"), "lines")
     runs = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "hash", "slice")
-    heads = runs.groupBy("hash", "slice").agg(F.min("doc").alias("head"), F.max("doc").alias("tail"))
-    first = heads.groupBy("hash").agg(F.min("head").alias("first"), F.max("tail").alias("final"), F.collect_set("slice").alias("slices")).where(F.col("first") != F.col("final"))
-    repeated = first.select("hash", "first", F.explode("slices").alias("slice"))
-    lost = lines.join(repeated, ["hash", "slice"]).where(F.col("doc") != F.col("first"))
+    # the range partitions already hold each run together: this adds a sort, and no exchange
+    run = Window.partitionBy("hash", "slice").orderBy("doc", "pos", "print")
+    runs = runs.withColumns({"head": F.first("doc").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "no": F.row_number().over(run)})
+    runs = scratch.store(runs, "runs")
+    first = runs.where("no = 1").groupBy("hash").agg(F.min("head").alias("first"), F.count("*").alias("pieces")).where("pieces > 1").drop("pieces")
+    place = ["doc", "print", "pos"]
+    later = runs.where(F.col("doc") != F.col("head")).select(*place)
+    lost = later.unionByName(runs.where(F.col("doc") == F.col("head")).join(first, "hash").where(F.col("head") != F.col("first")).select(*place))
     word = F.floor(F.col("pos") / 64).cast("int")
     bits = F.expr("shiftleft(1L, pos % 64)")
-    return (
-        lost.groupBy(F.col("doc.id").alias("id"), F.col("__print").alias("print"), word.alias("word")).agg(F.bit_or(bits).alias("bits"))
-        .groupBy("id", "print").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
-    )
+    marks = lost.groupBy(F.col("doc.id").alias("id"), "print", word.alias("word")).agg(F.bitwise_not(F.bit_or(bits)).alias("bits"))
+    out = scratch.store(marks.groupBy("id", "print").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("kept")), "bitmaps")
+    scratch.drop("lines", "runs")
+    return out
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_lines, n_dropped and kept_text."""
-    marks = bitmaps.select(F.col("id").alias("__of"), F.col("print").alias("__as"), F.map_from_entries("dropped").alias("__bits"))
-    rows = _identified(docs, id_col, text_col)
-    rows = rows.join(marks, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__print") == F.col("__as")), "left").withColumn("__lines", lines_of(F.col("__text")))
-    kept = F.expr("filter(__lines, (line, i) -> coalesce(shiftright(try_element_at(__bits, int(i div 64)), i % 64) & 1L, 0L) = 0L)")
-    rows = rows.withColumn("__kept", F.when(F.col("__bits").isNull(), F.col("__lines")).otherwise(kept))
-    n, k = F.size("__lines").cast("long"), F.size("__kept").cast("long")
-    rows = rows.withColumns({"n_lines": n, "n_dropped": n - k, "kept_text": F.concat_ws("\n", "__kept")})
-    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+    id_, print_ = _prints(id_col, text_col)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    rows = docs.select(F.struct(*dict.fromkeys([*names, text_col])).alias("row"), id_.alias("id"), print_.alias("print"))
+    marks = bitmaps.select(F.col("id").alias("of"), F.col("print").alias("as"), F.map_from_entries("kept").alias("bits"))
+    rows = rows.join(marks, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as")), "left").withColumn("lines", lines_of(text_or_empty(F.col("row")[text_col])))
+    kept = F.expr("filter(lines, (line, i) -> coalesce(shiftright(try_element_at(bits, int(i div 64)), i % 64) & 1L, 1L) = 1L)")
+    rows = rows.withColumn("kept", F.when(F.col("bits").isNull(), F.col("lines")).otherwise(kept))
+    n, k = F.size("lines").cast("long"), F.size("kept").cast("long")
+    return rows.select(*(F.col("row")[c].alias(c) for c in names), n.alias("n_lines"), (n - k).alias("n_dropped"), F.concat_ws("\n", "kept").alias("kept_text"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, slices: int = SLICES) -> DataFrame:
