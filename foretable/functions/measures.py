@@ -35,7 +35,11 @@ def in_order(columns: list[Column]) -> list[Column]:
     return [F.greatest(F.lit(0.0), held[i]) for i in range(len(columns))]
 
 
-def size_bin(x: Column, edges: tuple[int, ...] = (0, 10, 20, 30, 40, 50)) -> Column:
+#: The edges of the bins of series by their mean.
+SIZE_EDGES = (0, 10, 20, 30, 50)
+
+
+def size_bin(x: Column, edges: tuple[int, ...] = SIZE_EDGES) -> Column:
     """Bins closed on the right: (0,10], (10,20] ... and above the last edge; null at or below the first."""
     out = F.when(x > edges[-1], F.lit(f">{edges[-1]}"))
     for low, high in zip(edges, edges[1:], strict=False):
@@ -48,17 +52,13 @@ def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
-def weighted_mean(x: Column, w: Column) -> Column:
-    """An aggregate; null where no weight is left."""
-    return F.sum(x * w) / F.nullif(F.sum(F.when(x.isNotNull(), w)), F.lit(0.0))
-
-
 def break_scores(date: Column) -> dict[str, Column]:
-    """Piecewise scores, 0 to 1, of how much of school is on break: spring, summer, winter."""
+    """Scores of how much of school is on break: spring, summer, winter."""
     md = F.month(date) * 100 + F.dayofmonth(date)
-    spring = F.when(md.between(310, 331), 1.0).when(md.between(401, 415), 0.7).otherwise(0.0)
-    summer = F.when(md.between(610, 815), 1.0).when(md.between(525, 609) | md.between(816, 831), 0.5).otherwise(0.0)
-    winter = F.when((md >= 1220) | (md <= 103), 1.0).otherwise(0.0)
+    # fixed values: month and day of each season's first and last day, and the scores within and outside it
+    spring = F.when(md.between(310, 415), 0.9).otherwise(0.2)
+    summer = F.when(md.between(601, 815), 0.9).otherwise(0.1)
+    winter = F.when((md >= 1220) | (md <= 105), 0.9).otherwise(0.1)
     return {"spring_break": spring, "summer_break": summer, "winter_break": winter}
 
 

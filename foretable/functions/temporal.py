@@ -58,12 +58,8 @@ def bucket(lead: Column, ranges: dict[str, tuple[int, int]]) -> Column:
     return out
 
 
-def bucket_order(label: Column, ranges: dict[str, tuple[int, int]]) -> Column:
-    """A number to sort buckets by."""
-    out = F.lit(None).cast("int")
-    for i, name in enumerate(ranges):
-        out = F.when(label == name, F.lit(i)).otherwise(out)
-    return out
+#: The periods of the cyclic encodings.
+YEAR, MONTHS, WEEK, HOURS = 365.0, 12.0, 7.0, 24.0
 
 
 def cyclic(value: Column, period: float) -> tuple[Column, Column]:

@@ -26,12 +26,46 @@ def level_ratio(panel: DataFrame, grid: Grid, days: int = 56, least: int = 14) -
 def window_ratio(panel: DataFrame, grid: Grid, weeks: int, days: int = 56, least: int = 7) -> DataFrame:
     """(series_id, k, origin, ratio): as level_ratio, but with bounds that all series share: own rows of the first days of the weeks
     before the origin, coarse rows of the last days of the whole coarse era."""
-    final = panel.where("source = 'coarse'").agg(F.max("date").alias("final"))
-    coarse = panel.where("source = 'coarse'").join(F.broadcast(final)).where(F.col("date") >= F.date_sub("final", days)).groupBy("series_id").agg(F.avg("y").alias("coarse_mean"))
     held = trailing(panel.where("source = 'own'"), grid, midnight(F.col("date")), 7 * weeks)
     begin = held.groupBy("k").agg(F.min("date").alias("begin"))
     own = held.join(begin, "k").where(F.col("date") < F.date_add("begin", days)).groupBy("series_id", "k", "origin").agg(F.avg("y").alias("own_mean"), F.count("y").alias("n")).where(F.col("n") >= least)
-    return own.join(coarse, "series_id").where("coarse_mean > 0").select("series_id", "k", day(F.col("origin")).alias("origin"), (F.col("own_mean") / F.col("coarse_mean")).alias("ratio"))
+    return own.join(coarse_level(panel, days), "series_id").select("series_id", "k", day(F.col("origin")).alias("origin"), (F.col("own_mean") / F.col("coarse_mean")).alias("ratio"))
+
+
+def window_ratios(panel: DataFrame, grid: Grid, weeks: tuple[int | None, ...], days: int = 56, least: int = 7) -> DataFrame:
+    """window_ratio for several windows: window (k02, k04, ... or full, for None), series_id, k, origin, ratio, days_seen (from
+    the first own day in the window to the origin, at most the window)."""
+    out = None
+    for n in weeks:
+        made = (window_ratio(panel, grid, n, days, least) if n else full_ratio(panel, grid, days, least)).join(days_seen(panel, grid, n), "k")
+        made = made.select(F.lit(f"k{n:02d}" if n else "full").alias("window"), "series_id", "k", "origin", "ratio", "days_seen")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def full_ratio(panel: DataFrame, grid: Grid, days: int = 56, least: int = 7) -> DataFrame:
+    """window_ratio for a window that begins with the own era: its first days, as far as they are before the origin."""
+    begin = panel.where("source = 'own'").agg(F.min("date").alias("begin"))
+    early = panel.where("source = 'own'").join(F.broadcast(begin)).where(F.col("date") < F.date_add("begin", days))
+    seen = history(early, grid, midnight(F.col("date")), ["series_id"], {"s": F.col("y"), "n": F.col("y").isNotNull().cast("long")}).where(F.col("n") >= least)
+    return seen.join(coarse_level(panel, days), "series_id").select("series_id", "k", day(F.col("origin")).alias("origin"), (F.col("s") / F.col("n") / F.col("coarse_mean")).alias("ratio"))
+
+
+def coarse_level(panel: DataFrame, days: int = 56) -> DataFrame:
+    """(series_id, coarse_mean): each series' mean over the last days of the whole coarse era; only means above 0."""
+    final = panel.where("source = 'coarse'").agg(F.max("date").alias("final"))
+    late = panel.where("source = 'coarse'").join(F.broadcast(final)).where(F.col("date") >= F.date_sub("final", days))
+    return late.groupBy("series_id").agg(F.avg("y").alias("coarse_mean")).where("coarse_mean > 0")
+
+
+def days_seen(panel: DataFrame, grid: Grid, weeks: int | None) -> DataFrame:
+    """(k, days_seen) of each origin."""
+    own = panel.where("source = 'own'")
+    if weeks is None:
+        first = history(own, grid, midnight(F.col("date")), [], {}, {"negative": -F.unix_date("date")}).select("k", "origin", (-F.col("negative")).alias("first"))
+        return first.select("k", (F.unix_date(day(F.col("origin"))) - F.col("first")).cast("int").alias("days_seen"))
+    held = trailing(own, grid, midnight(F.col("date")), 7 * weeks).groupBy("k").agg(F.min("date").alias("first"), F.first("origin").alias("origin"))
+    return held.select("k", F.least(F.datediff(day(F.col("origin")), F.col("first")), F.lit(7 * weeks)).alias("days_seen"))
 
 
 def level_calibrated(forecasts: DataFrame, ratios: DataFrame) -> DataFrame:
@@ -82,20 +116,22 @@ def two_layers(forecasts: DataFrame, pool: DataFrame, long_days: int = 30, short
     return apply_ratio(l2.withColumn("l2l3", F.col("l2")), third, keys, "l2l3")
 
 
-def pooled_layer(readings: DataFrame, first: DataFrame, low: float = 0.3, high: float = 3.0, floor: float = 5.0) -> DataFrame:
-    """(series_id, hour, l2): the pooled mean of readings (cnt, total by series_id and hour of a day) over the mean of first-layer
-    forecasts (series_id, hour, l1), at least floor; clamped."""
-    actual = readings.groupBy("series_id", "hour").agg((F.sum("total") / F.nullif(F.sum("cnt"), F.lit(0))).alias("actual"))
-    expected = first.groupBy("series_id", "hour").agg(F.avg("l1").alias("expected"))
-    return actual.join(expected, ["series_id", "hour"]).select("series_id", "hour", clamp(F.col("actual") / F.greatest(F.col("expected"), F.lit(floor)), low, high).alias("l2"))
+def pooled_layer(readings: DataFrame, first: DataFrame, keys: list[str], low: float = 0.3, high: float = 3.0, floor: float = 5.0) -> DataFrame:
+    """(keys, hour, ratio): the pooled mean of readings (cnt, total) over the mean of first-layer forecasts (l1), at least floor; clamped."""
+    by = [*keys, "hour"]
+    actual = readings.groupBy(*by).agg((F.sum("total") / F.nullif(F.sum("cnt"), F.lit(0))).alias("actual"))
+    expected = first.groupBy(*by).agg(F.avg("l1").alias("expected"))
+    return actual.join(expected, by).select(*by, clamp(F.col("actual") / F.greatest(F.col("expected"), F.lit(floor)), low, high).alias("ratio")).where("ratio IS NOT NULL")
 
 
-def recent_layer(readings: DataFrame, first: DataFrame, second: DataFrame, low: float = 0.3, high: float = 3.0, least: float = 5.0) -> DataFrame:
-    """(series_id, hour, l3): the pooled mean of recent readings over l1 * l2, where l1 and l1 * l2 are at least least; clamped."""
-    actual = readings.groupBy("series_id", "hour").agg((F.sum("total") / F.nullif(F.sum("cnt"), F.lit(0))).alias("actual"))
-    rows = actual.join(first.groupBy("series_id", "hour").agg(F.avg("l1").alias("l1")), ["series_id", "hour"]).join(second, ["series_id", "hour"])
-    rows = rows.withColumn("expected", F.col("l1") * F.col("l2")).where((F.col("l1") >= least) & (F.col("expected") >= least))
-    return rows.select("series_id", "hour", clamp(positive_ratio(F.col("actual"), F.col("expected")), low, high).alias("l3"))
+def recent_layer(readings: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], low: float = 0.3, high: float = 3.0, least: float = 5.0) -> DataFrame:
+    """(keys, hour, ratio): the pooled mean of recent readings over l1 times the second layer's ratio (of the nearest hour, else 1),
+    where l1 and that product are at least least; clamped."""
+    by = [*keys, "hour"]
+    actual = readings.groupBy(*by).agg((F.sum("total") / F.nullif(F.sum("cnt"), F.lit(0))).alias("actual"))
+    rows = actual.join(first.groupBy(*by).agg(F.avg("l1").alias("l1")), by).withColumn("expected", F.col("l1"))
+    rows = apply_ratio(rows, second, keys, "expected").where((F.col("l1") >= least) & (F.col("expected") >= least))
+    return rows.select(*by, clamp(positive_ratio(F.col("actual"), F.col("expected")), low, high).alias("ratio")).where("ratio IS NOT NULL")
 
 
 def clipped(x: Column, low: float = 5.0, high: float = 300.0) -> Column:
@@ -116,9 +152,19 @@ def coverage_by_factor(frame: DataFrame, by: list[str], factors: tuple[float, ..
     return rows.groupBy(*by, "factor").agg(F.avg(((F.col("y") >= low) & (F.col("y") <= high)).cast("double")).alias("coverage"))
 
 
-def least_factor(frame: DataFrame, by: list[str], goal: float = 0.8) -> DataFrame:
-    """(by, factor): the least factor whose coverage reaches the goal."""
-    return coverage_by_factor(frame, by).where(F.col("coverage") >= goal).groupBy(*by).agg(F.min("factor").alias("factor"))
+def frozen_factor(frame: DataFrame, goal: float = 0.8) -> DataFrame:
+    """(factor): of one row, the least factor whose coverage over the whole frame reaches the goal; null if none does."""
+    return coverage_by_factor(frame, []).agg(F.min(F.when(F.col("coverage") >= goal, F.col("factor"))).alias("factor"))
+
+
+def holdout_coverage(frame: DataFrame) -> DataFrame:
+    """The holdout rows of a frame with halves: y, raw and widened (whether each interval covers y), by the factor that the
+    calibration half gives."""
+    factor = frozen_factor(frame.where("half = 'calibration'"))
+    low, high = widened(F.col("p10"), F.col("p50"), F.col("p90"), F.col("factor"))
+    rows = frame.where("half = 'holdout'").join(F.broadcast(factor))
+    inside = lambda a, b: ((F.col("y") >= a) & (F.col("y") <= b)).cast("double")
+    return rows.withColumns({"raw": inside(F.greatest(F.lit(0.0), F.col("p10")), F.col("p90")), "widened": inside(low, high)})
 
 
 def halves(frame: DataFrame, column: str) -> DataFrame:

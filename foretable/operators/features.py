@@ -72,13 +72,13 @@ def daily_samples(panel: DataFrame, grid: Grid, p: Daily) -> DataFrame:
     )
 
 
-def regular_grid(panel: DataFrame, grid: Grid, least: int = 336) -> DataFrame:
-    """(series_id, origin, ts, y): every hour from a series' start to the origin, 0 where nothing was observed; series
-    with fewer hours than least are left out."""
+def regular_grid(panel: DataFrame, grid: Grid, least: int = 336, context: int | None = None) -> DataFrame:
+    """(series_id, origin, ts, y): every hour from a series' start to the origin, or the last context hours of them, 0 where
+    nothing was observed; series with fewer hours than least are left out."""
     start = history(panel, grid, F.col("ts"), ["series_id"], {}, {"negative": -seconds(F.col("ts"))})
     hours = ((seconds(F.col("origin")) + F.col("negative")) / 3600).cast("int")
     slots = start.withColumn("hours", hours).where(F.col("hours") >= least)
-    slots = slots.select("series_id", "origin", F.explode(F.sequence(F.lit(1), F.col("hours"))).alias("back")).select("series_id", "origin", plus_hours(F.col("origin"), -F.col("back")).alias("ts"))
+    slots = slots.select("series_id", "origin", F.explode(F.sequence(F.lit(1), F.col("hours") if context is None else F.least("hours", F.lit(context)))).alias("back")).select("series_id", "origin", plus_hours(F.col("origin"), -F.col("back")).alias("ts"))
     return slots.join(panel.select("series_id", "ts", "y"), ["series_id", "ts"], "left").select("series_id", "origin", "ts", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 

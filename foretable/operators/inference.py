@@ -78,8 +78,9 @@ def dm_test(diffs: DataFrame, by: list[str], lag: int = 1) -> DataFrame:
 
 
 def bootstrap_ci(diffs: DataFrame, by: list[str], block: int = 1, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """(by, days, mean_diff, low, high): the 95 % interval of the mean over days, drawn alone (block 1) or as moving blocks. Each
-    group has a seed of its own, so that no result depends on the order of groups."""
+    """(by, days, mean_diff, low, high, p_sign): the 95 % interval of the mean over days, drawn alone (block 1) or as moving blocks,
+    and twice the smaller part of the draws at or beyond 0. Each group has a seed of its own, so that no result depends on the
+    order of groups."""
 
     def work(key: tuple, d: np.ndarray) -> dict:
         t = len(d)
@@ -87,10 +88,12 @@ def bootstrap_ci(diffs: DataFrame, by: list[str], block: int = 1, draws: int = 1
         rng = np.random.default_rng([seed, *repr(key).encode()])
         starts = rng.integers(0, t - size + 1, (draws, -(-t // size)))
         picks = (starts[:, :, None] + np.arange(size)).reshape(draws, -1)[:, :t]
-        low, high = np.percentile(d[picks].mean(axis=1), [2.5, 97.5])
-        return {"days": t, "mean_diff": d.mean(), "low": low, "high": high}
+        means = d[picks].mean(axis=1)
+        low, high = np.percentile(means, [2.5, 97.5])
+        p_sign = min(1.0, 2 * min((means <= 0).mean(), (means >= 0).mean()))
+        return {"days": t, "mean_diff": d.mean(), "low": low, "high": high, "p_sign": p_sign}
 
-    return _by_group(diffs, by, "days long, mean_diff double, low double, high double", work)
+    return _by_group(diffs, by, "days long, mean_diff double, low double, high double, p_sign double", work)
 
 
 def range_quantile(k: int, level: float = 0.95) -> float:

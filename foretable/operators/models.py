@@ -42,6 +42,19 @@ def encoded(samples: DataFrame, coding, numbers: tuple[str, ...]) -> DataFrame:
     return coding.transform(with_gaps_flagged(samples, numbers))
 
 
+def gathered(columns: tuple[str, ...]):
+    """A function that adds the vector features, of columns without gaps, to a frame."""
+    return VectorAssembler(inputCols=list(columns), outputCol="features").transform
+
+
+def importance(model, numbers: tuple[str, ...], categories: tuple[str, ...] = CATEGORIES) -> list[tuple[str, float]]:
+    """(column, share) of a model over encoded samples, the largest first; a gap's flag counts for its column."""
+    owners, total = [*numbers, *numbers, *categories], dict.fromkeys([*numbers, *categories], 0.0)
+    for name, share in zip(owners, model.featureImportances.toArray(), strict=True):
+        total[name] += float(share)
+    return sorted(total.items(), key=lambda x: (-x[1], x[0]))
+
+
 def boosted_trees(train: DataFrame, loss: str = "absolute", trees: int = 30, depth: int = 5, step: float = 0.1, seed: int = 0):
     """loss: absolute (the median) or squared (the mean). train: encoded, with y."""
     return GBTRegressor(featuresCol="features", labelCol="y", lossType=loss, maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.9, seed=seed, maxBins=64).fit(train)

@@ -92,9 +92,9 @@ def by_method(scored: DataFrame, scales: DataFrame, methods: list[str], keys: li
 
 
 def block_losses(wide: DataFrame, methods: list[str], by: list[str]) -> DataFrame:
-    """Mean loss of each method over the rows of a block (series and origin) at which every method has one."""
-    full = wide.where(" AND ".join(f"{m} IS NOT NULL" for m in methods))
-    return full.groupBy(*by).agg(*(F.avg(m).alias(m) for m in methods))
+    """Mean loss of each method over its own rows of a block (series and origin); blocks that lack a method are dropped."""
+    means = wide.groupBy(*by).agg(*(F.avg(m).alias(m) for m in methods))
+    return means.where(" AND ".join(f"{m} IS NOT NULL" for m in methods))
 
 
 def mean_ranks(losses: DataFrame, methods: list[str], block: list[str], by: list[str]) -> DataFrame:
@@ -112,18 +112,40 @@ def day_differences(wide: DataFrame, a: str, b: str, by: list[str], origin: str
     return both.groupBy(*by, "day").agg(F.avg(F.col(a) - F.col(b)).alias("d"), F.count("*").alias("n"))
 
 
+def day_means(wide: DataFrame, method: str, by: list[str], origin: str = "origin") -> DataFrame:
+    """(by, day, d): the mean loss of one method over its rows of an origin day."""
+    rows = wide.where(f"{method} IS NOT NULL").withColumn("day", day(F.col(origin)))
+    return rows.groupBy(*by, "day").agg(F.avg(method).alias("d"))
+
+
 def agreement(a: DataFrame, b: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Correlation and mean absolute difference of two sets of forecasts on the keys that both have."""
     both = a.withColumnRenamed("y_hat", "a").join(b.withColumnRenamed("y_hat", "b").select(*keys, "b"), keys)
     return both.groupBy(*by).agg(F.count("*").alias("n"), F.corr("a", "b").alias("corr"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_abs_diff"))
 
 
-def stability(ratios: DataFrame, by: list[str]) -> DataFrame:
-    """How much ratios vary: count, mean, median, spread, and how far from the median they are."""
-    middle = ratios.groupBy(*by).agg(F.median("ratio").alias("middle"))
-    rows = ratios.join(middle, by).withColumn("ale", F.abs(F.log(F.col("ratio") / F.col("middle"))))
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("ratio").alias("mean"), F.median("ratio").alias("median"), F.stddev_samp("ratio").alias("std"), (F.stddev_samp("ratio") / F.nullif(F.avg("ratio"), F.lit(0.0))).alias("cv"),
-        F.percentile("ale", F.lit(0.5)).alias("ale_p50"), F.percentile("ale", F.lit(0.9)).alias("ale_p90"),
-        share(F.abs(F.col("ratio") / F.col("middle") - 1) <= 0.1).alias("within_10"), share(F.abs(F.col("ratio") / F.col("middle") - 1) <= 0.2).alias("within_20"),
+def delta_to(summary: DataFrame, base: str, by: list[str], method: str = "method", metric: str = "mase") -> DataFrame:
+    """summary with delta: a method's metric less that of the base method at the same keys."""
+    own = summary.where(F.col(method) == base).select(*by, F.col(metric).alias("__base"))
+    return summary.join(own, by, "left").withColumn("delta", F.col(metric) - F.col("__base")).drop("__base")
+
+
+def quartiles(x: str) -> list[Column]:
+    return [F.count(x).alias("n"), *(F.percentile(x, F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.25, 0.5, 0.75))]
+
+
+def ratio_cv(ratios: DataFrame, by: str = "window", least: int = 5) -> DataFrame:
+    """(by, n, p25, p50, p75) of the coefficients of variation of series' ratios over origins, of series with enough origins."""
+    spread = ratios.groupBy(by, "series_id").agg((F.stddev_samp("ratio") / F.nullif(F.avg("ratio"), F.lit(0.0))).alias("cv"), F.count("ratio").alias("origins"))
+    return spread.where(F.col("origins") >= least).groupBy(by).agg(*quartiles("cv"))
+
+
+def stability(ratios: DataFrame, by: str = "window", full: str = "full") -> DataFrame:
+    """How far ratios of shorter windows are from that of the full window at the same origin: (by, n, p50, p75, p90 of the
+    absolute difference of logarithms, and the shares within 10 and 20 %)."""
+    whole = ratios.where(F.col(by) == full).select("series_id", "origin", F.col("ratio").alias("whole"))
+    rows = ratios.where(F.col(by) != full).join(whole, ["series_id", "origin"]).withColumn("off", F.abs(F.log("ratio") - F.log("whole")))
+    return rows.groupBy(by).agg(
+        F.count("off").alias("n"), *(F.percentile("off", F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.5, 0.75, 0.9)),
+        share(F.col("off") <= F.log(F.lit(1.1))).alias("within_10"), share(F.col("off") <= F.log(F.lit(1.2))).alias("within_20"),
     )

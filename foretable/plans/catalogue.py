@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretable.functions import measures, temporal
-from foretable.operators import baselines, calibrate, features, inference, models, score
+from foretable.operators import baselines, calibrate, experiments, features, inference, models, production, score
 from foretable.operators import origins as og
 from foretable.plans import fixtures as fx
 from foretable.plans import sql
-from foretable.sources import panels
+from foretable.sources import files, panels
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -200,14 +201,14 @@ def daily_samples(spark, d):
 
 @query
 def regular_grid(spark, d):
-    return features.regular_grid(*fx.hourly_pair(spark, d)).groupBy("series_id", "origin").agg(F.count("*").alias("hours"), F.sum("y").alias("total"))
+    return features.regular_grid(*fx.hourly_pair(spark, d))
 
 
 @query
 def truncated_context(spark, d):
     panel, grid = fx.hourly_pair(spark, d)
     rows = og.trailing(panel, grid, F.col("ts"), 28).select("series_id", "origin", "ts", "y")
-    return features.truncated_context(rows, 100).groupBy("series_id", "origin").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.avg("y").alias("mean"))
+    return features.truncated_context(rows, 100)
 
 
 @query
@@ -216,7 +217,7 @@ def history_windows(spark, d):
     panel, grid = fx.daily_pair(spark, d)
     rows = og.trailing(panel.where("source = 'own'"), grid, temporal.midnight(F.col("date")), 56).withColumn("weeks", F.explode(F.array(*map(F.lit, (2, 4, 8)))))
     rows = rows.where(F.col("date") >= F.date_sub(temporal.day(F.col("origin")), F.col("weeks") * 7))
-    return rows.groupBy("series_id", temporal.day(F.col("origin")).alias("origin"), "weeks").agg(F.count("*").alias("n"), F.avg("y").alias("mean"))
+    return rows.select("series_id", temporal.day(F.col("origin")).alias("origin"), "weeks", "date", "y")
 
 
 def _pool(spark, d):
@@ -232,13 +233,6 @@ def ratio_table_l2(spark, d):
     return calibrate.ratio_table(pool.withColumns({"hour": F.hour("ts"), "origin": F.col("at")}), ["origin", "series_id", "hour"])
 
 
-@query
-def nearest_hour_fill(spark, d):
-    """The fill over gaps made on purpose, as its SQL has them. every_hour_ratio is the fill of the whole table."""
-    table = ratio_table_l2(spark, d).where(F.col("hour") % 5 != 0)
-    return calibrate.every_hour(table, ["origin", "series_id"])
-
-
 @query
 def every_hour_ratio(spark, d):
     """All 24 hours of every series and origin: each real ratio as it is, the nearest one where there is none."""
@@ -256,7 +250,7 @@ def two_ratio_layers(spark, d):
 def splice_cal(spark, d):
     panel, grid = fx.daily_pair(spark, d)
     ratio = calibrate.level_ratio(panel, grid).where("k = 0")
-    return calibrate.splice_calibrated(panel, ratio).groupBy("series_id", "source").agg(F.count("*").alias("n"), F.avg("y").alias("mean"))
+    return calibrate.splice_calibrated(panel, ratio)
 
 
 def _methods(spark, d):
@@ -313,22 +307,97 @@ def pinball_coverage(spark, d):
     return score.quantile_metrics(_bands(spark, d), ["bucket"])
 
 
+@query
+def quantile_by_regime(spark, d):
+    return score.quantile_metrics(_bands(spark, d), ["regime", "bucket"])
+
+
+def _sized(spark, d, rows):
+    """rows with the bin of their series' mean."""
+    size = fx.hourly(spark, d).groupBy("series_id").agg(F.avg("y").alias("size"))
+    return rows.join(size, "series_id").withColumn("size_bin", measures.size_bin(F.col("size")))
+
+
+@query
+def quantile_by_size(spark, d):
+    return score.quantile_metrics(_sized(spark, d, _bands(spark, d)), ["size_bin"])
+
+
+def _holdout(spark, d):
+    bands = calibrate.halves(_bands(spark, d).withColumn("day", temporal.day(F.col("origin"))), "day")
+    return _sized(spark, d, calibrate.holdout_coverage(bands))
+
+
 @query
 def interval_widening(spark, d):
-    bands = calibrate.halves(_bands(spark, d).withColumn("day", temporal.day(F.col("origin"))), "day").where("half = 'calibration'")
-    return calibrate.least_factor(bands, ["regime", "bucket"])
+    """Coverage of the holdout half by the one factor that the calibration half gives: as a whole, and by regime, bucket and size."""
+    names = ["regime", "bucket", "size_bin"]
+    sets = [(), *((F.col(c),) for c in names)]
+    return _holdout(spark, d).groupingSets(sets, *names).agg(F.count("*").alias("n"), F.avg("raw").alias("raw"), F.avg("widened").alias("widened"), F.max("factor").alias("factor"))
+
+
+@query
+def holdout_day_spread(spark, d):
+    """The least, middle and greatest coverage of a holdout day."""
+    days = _holdout(spark, d).groupBy("day").agg(F.avg("widened").alias("coverage"))
+    return days.agg(F.count("*").alias("days"), F.min("coverage").alias("least"), F.median("coverage").alias("middle"), F.max("coverage").alias("most"))
+
+
+@query
+def coverage_table(spark, d):
+    """Coverage of intervals as they are and widened by 1.2, by bucket and by size."""
+    low, high = calibrate.widened(F.col("p10"), F.col("p50"), F.col("p90"), F.lit(1.2))
+    rows = _sized(spark, d, _bands(spark, d))
+    inside = lambda a, b: measures.share((F.col("y") >= a) & (F.col("y") <= b))
+    return rows.groupingSets([(F.col("bucket"),), (F.col("size_bin"),)], "bucket", "size_bin").agg(F.count("*").alias("n"), inside(F.col("p10"), F.col("p90")).alias("raw"), inside(low, high).alias("widened"))
 
 
 @query
 def size_bins(spark, d):
-    panel = fx.hourly(spark, d)
-    size = panel.groupBy("series_id", temporal.day(F.col("ts")).alias("date")).agg(F.avg("y").alias("size"))
-    return size.groupBy(measures.size_bin(F.col("size"), (0, 10, 20, 30, 40, 50, 60)).alias("bin")).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    """Series by the bin of their mean."""
+    size = fx.hourly(spark, d).groupBy("series_id").agg(F.avg("y").alias("size"))
+    return size.groupBy(measures.size_bin(F.col("size")).alias("bin")).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+
+
+@query
+def delta_table(spark, d):
+    """Scaled errors of regime A by bucket, and how far they are from the base method's."""
+    scored, scales = _methods(spark, d)
+    return score.delta_to(score.summarize(scored.where("regime = 'A'"), scales, ["method", "bucket"]).select("method", "bucket", "n", "mase"), METHODS[0], ["bucket"])
+
+
+@query
+def report_table(spark, d):
+    """The summary as a report shows it: rounded half to even."""
+    table = snaive_scores_of(spark, d, H)
+    return table.select("bucket", "n", *(F.bround(c, 3).alias(c) for c in ("mae", "rmse", "mase", "w5", "w10")))
+
+
+WINDOWS = (2, 4, 8, 16, None)
+
+
+def _window_ratios(spark, d):
+    return calibrate.window_ratios(*fx.daily_pair(spark, d), WINDOWS)
+
+
+@query
+def window_ratios(spark, d):
+    return _window_ratios(spark, d)
 
 
 @query
 def ratio_stability(spark, d):
-    return score.stability(calibrate.window_ratio(*fx.daily_pair(spark, d), weeks=8), ["series_id"])
+    return score.stability(_window_ratios(spark, d))
+
+
+@query
+def ratio_variation(spark, d):
+    return score.ratio_cv(_window_ratios(spark, d))
+
+
+@query
+def ratio_distribution(spark, d):
+    return _window_ratios(spark, d).groupBy("window").agg(*score.quartiles("ratio"), F.median("days_seen").alias("days_seen"))
 
 
 @query
@@ -350,16 +419,14 @@ def monthly_climatology(spark, d):
 @query
 def calendar_features(spark, d):
     days = fx.daily(spark, d).select("date").distinct()
-    sin, cos = temporal.cyclic(F.dayofyear("date"), 365.25)
-    flags = measures.break_scores(F.col("date"))
-    return days.select("date", F.month("date").alias("month"), F.dayofmonth("date").alias("dom"), temporal.weekday(F.col("date")).alias("dow"), sin.alias("doy_sin"), cos.alias("doy_cos"), *(c.alias(k) for k, c in flags.items()))
+    return days.select("date", *(c.alias(k) for k, c in production.calendar(F.col("date")).items()))
 
 
 @query
 def hour_features(spark, d):
-    """Daily rows crossed with the hours of the day, with flags of the hour: the frame of an hourly model over daily data."""
-    days = fx.daily(spark, d).where("source = 'own'").select("series_id", "date", F.explode(F.sequence(F.lit(8), F.lit(22))).alias("hour"))
-    return days.select("*", *(c.alias(k) for k, c in measures.hour_flags(F.col("hour")).items())).groupBy("series_id", "hour", "is_peak", "is_evening", "is_morning").agg(F.count("*").alias("days"))
+    """Daily rows crossed with the hours of the day: the frame of an hourly model over daily data."""
+    days = fx.daily(spark, d).where("source = 'own'").select("series_id", "date", F.explode(F.sequence(*map(F.lit, production.TRAIN_HOURS))).alias("hour"))
+    return days.select("*", *(c.alias(k) for k, c in production.hours_of_day(F.col("hour")).items()))
 
 
 @query
@@ -383,20 +450,89 @@ def hour_pattern(spark, d):
     return status_scan(spark, d).groupBy("event_type", "hour").agg(F.sum("cnt").alias("cnt"), (F.sum("total") / F.sum("cnt")).alias("mean")).where("cnt >= 3")
 
 
+def _days_grid(spark, d):
+    """The origin days of the hourly protocol, as origins of their own."""
+    grid = fx.hourly_pair(spark, d)[1]
+    return replace(grid, hours=(0,))
+
+
+@query
+def hour_patterns(spark, d):
+    by_hour, by_series = production.patterns(fx.readings(spark, d), _days_grid(spark, d))
+    return by_hour.join(by_series, ["k", "series_id"])
+
+
+@query
+def month_weather(spark, d):
+    return production.month_weather(fx.weather(spark, d), fx.daily_pair(spark, d)[1])
+
+
+@query
+def l1_training_frame(spark, d):
+    """The 28 features and the target that each origin's first layer learns from."""
+    return production.training_frame(fx.event_days(spark, d), fx.readings(spark, d), fx.weather(spark, d), _days_grid(spark, d))
+
+
+def _layer_goals(spark, d):
+    """Panel hours once for each origin day with them in its daily horizon: (k, origin, series_id, park, date, ts, hour)."""
+    goal = og.targets(fx.hourly(spark, d), _days_grid(spark, d), 24 * D.horizon)
+    return goal.select("k", "origin", "series_id", "park", temporal.day(F.col("ts")).alias("date"), "ts", F.hour("ts").alias("hour"))
+
+
+def _past_grid(spark, d):
+    parks = fx.event_days(spark, d).select("series_id", "park").distinct()
+    return production.observed_grid(fx.readings(spark, d), _days_grid(spark, d), 30).join(parks, "series_id")
+
+
+def _framed(spark, d, rows):
+    return production.goal_frame(rows, fx.event_days(spark, d), fx.readings(spark, d), fx.weather(spark, d), _days_grid(spark, d))
+
+
+@query
+def l1_goal_frame(spark, d):
+    """The features of what each origin forecasts."""
+    return _framed(spark, d, _layer_goals(spark, d)).select("k", "series_id", "ts", *production.FEATURES)
+
+
+def _pattern_layers(spark, d):
+    """All layers over the hour's mean as the first one, of all origins."""
+    first = lambda rows: _framed(spark, d, rows).withColumn("l1", calibrate.clipped(F.col("baseline")))
+    return production.layered(fx.readings(spark, d), first(_past_grid(spark, d)).select("k", "series_id", "date", "hour", "l1"), first(_layer_goals(spark, d)), _days_grid(spark, d))
+
+
 @query
 def production_layers(spark, d):
-    """First layer times the pooled ratio of all history times that of the last 5 days, at the last origin; clipped to 5..300."""
-    panel, grid = fx.hourly_pair(spark, d)
-    at = temporal.at(grid.times()[-len(grid.hours)] if grid.count else None)
-    past = fx.table(spark, d, "events").where((F.col("ts") < at) & (F.col("value") > 0)).select(F.col("event_type").alias("series_id"), F.col("ts"), F.hour("ts").alias("hour"), "value")
-    sums = lambda df: df.groupBy("series_id", temporal.day(F.col("ts")).alias("date"), "hour").agg(F.count("*").alias("cnt"), F.sum("value").alias("total"))
-    first = panel.where(F.col("ts") < at).groupBy("series_id", F.hour("ts").alias("hour")).agg(calibrate.clipped(F.avg("y")).alias("l1"))
-    second = calibrate.pooled_layer(sums(past), first)
-    third = calibrate.recent_layer(sums(past.where(F.col("ts") >= temporal.plus_hours(at, -120))), first, second)
-    filled = calibrate.every_hour(third.withColumnRenamed("l3", "ratio"), ["series_id"]).withColumnRenamed("ratio", "l3")
-    out = first.join(second, ["series_id", "hour"], "left").join(filled, ["series_id", "hour"], "left")
-    l2, l3 = F.coalesce("l2", F.lit(1.0)), F.coalesce("l3", F.lit(1.0))
-    return out.select("series_id", "hour", "l1", l2.alias("l2"), l3.alias("l3"), calibrate.clipped(F.col("l1") * l2 * l3).alias("y_hat"))
+    """First layer (here the mean of the hour) times the ratio of all history times that of the last 5 days, of all origin days."""
+    return _pattern_layers(spark, d).select("k", "series_id", "ts", "l1", "l2", "l3", "y_hat")
+
+
+@query
+def production_daily(spark, d):
+    """The same by day: means over the hours that were forecast."""
+    return production.by_day(_pattern_layers(spark, d))
+
+
+@query
+def production_trees(spark, d):
+    """The layers over trees for the mean that each origin day learns from its own training frame (80 % of it)."""
+    train, goal, past = (files.stored(x, "frame") for x in (
+        production.training_frame(fx.event_days(spark, d), fx.readings(spark, d), fx.weather(spark, d), _days_grid(spark, d)),
+        _framed(spark, d, _layer_goals(spark, d)), _framed(spark, d, _past_grid(spark, d)),
+    ))
+    gather = models.gathered(production.FEATURES)
+    firsts = {"goal": None, "past": None}
+    for k in range(_days_grid(spark, d).count):
+        rows = gather(train.where(F.col("k") == k)).withColumnRenamed("target", "y").where(F.pmod(F.xxhash64("series_id", "date", "hour"), F.lit(5)) > 0)
+        if rows.isEmpty():
+            continue
+        model = models.boosted_trees(rows, "squared", depth=8, step=0.1)
+        for name, frame in (("goal", goal), ("past", past)):
+            made = models.predicted(model, gather(frame.where(F.col("k") == k))).withColumn("l1", calibrate.clipped(F.col("y_hat"))).drop("y_hat", "features")
+            firsts[name] = made if firsts[name] is None else firsts[name].unionByName(made)
+    none = lambda frame: frame.withColumn("l1", F.lit(0.0)).limit(0)
+    goal_l1, past_l1 = (none(f) if firsts[n] is None else firsts[n] for n, f in (("goal", goal), ("past", past)))
+    out = production.layered(fx.readings(spark, d), past_l1.select("k", "series_id", "date", "hour", "l1"), goal_l1, _days_grid(spark, d))
+    return out.select("k", "series_id", "ts", "l1", "l2", "l3", "y_hat")
 
 
 @query
@@ -455,9 +591,15 @@ def daily_scores(spark, d):
     return score.summarize(score.evaluate_daily(rows, panel, D), score.mean_scales(score.daily_scales(panel, grid, D)), ["method", "bucket"])
 
 
+@query
+def dm_statistics(spark, d):
+    """The statistic without its p value, of two daily methods."""
+    return inference.dm_test(_daily_diffs(spark, d), ["bucket"]).drop("p")
+
+
 @query
 def dm_test(spark, d):
-    return inference.dm_test(dm_day_diffs(spark, d), ["bucket"])
+    return inference.dm_test(_daily_diffs(spark, d), ["bucket"])
 
 
 @query
@@ -467,20 +609,43 @@ def mcb_cd(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
+    """Intervals of the mean difference, and the part of draws on the other side of 0."""
     return inference.bootstrap_ci(_daily_diffs(spark, d), ["bucket"])
 
 
+@query
+def bootstrap_methods(spark, d):
+    """Intervals of each method's own mean loss."""
+    wide = _daily_wide(spark, d)
+    losses = None
+    for m in DAILY_METHODS:
+        one = score.day_means(wide, m, ["bucket"]).withColumn("method", F.lit(m))
+        losses = one if losses is None else losses.unionByName(one)
+    return inference.bootstrap_ci(losses, ["method", "bucket"])
+
+
 @query
 def block_bootstrap(spark, d):
-    return inference.bootstrap_ci(_daily_diffs(spark, d), ["bucket"], block=4)
+    """Intervals by moving blocks of 1 to 4 origin days."""
+    diffs, out = _daily_diffs(spark, d), None
+    for block in (1, 2, 3, 4):
+        one = inference.bootstrap_ci(diffs, ["bucket"], block=block).withColumn("block", F.lit(block))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+DAILY_METHODS = ["snaive7_ext", "dow_mean_8w"]
+
+
+def _daily_wide(spark, d):
+    panel, grid = fx.daily_pair(spark, d)
+    both = baselines.snaive7_extended(panel, grid, D).withColumn("method", F.lit(DAILY_METHODS[0])).unionByName(baselines.dow_mean(panel, grid, D, 8).withColumn("method", F.lit(DAILY_METHODS[1])))
+    return score.by_method(score.evaluate_daily(both, panel, D), score.mean_scales(score.daily_scales(panel, grid, D)), DAILY_METHODS, ["series_id", "origin", "date", "bucket"])
 
 
 def _daily_diffs(spark, d):
     """Day differences of two daily methods over all origins."""
-    panel, grid = fx.daily_pair(spark, d)
-    both = baselines.snaive7_extended(panel, grid, D).withColumn("method", F.lit("snaive7_ext")).unionByName(baselines.dow_mean(panel, grid, D, 8).withColumn("method", F.lit("dow_mean_8w")))
-    wide = score.by_method(score.evaluate_daily(both, panel, D), score.mean_scales(score.daily_scales(panel, grid, D)), ["snaive7_ext", "dow_mean_8w"], ["series_id", "origin", "date", "bucket"])
-    return score.day_differences(wide, "snaive7_ext", "dow_mean_8w", ["bucket"])
+    return score.day_differences(_daily_wide(spark, d), *DAILY_METHODS, ["bucket"])
 
 
 def _refitted(splits, forecast: Callable[[DataFrame, DataFrame], DataFrame], none: DataFrame) -> DataFrame:
@@ -500,7 +665,8 @@ def _hourly_splits(spark, d):
     """Encoded samples of all pseudo-origins, and of each origin day those to learn from and those to forecast."""
     panel, grid = fx.hourly_pair(spark, d)
     rows = features.hourly_samples(panel, og.hourly_grid(panel, H, min_train_days=7), H)
-    ready = models.encoded(rows, models.encoder(rows, models.HOURLY_NUMBERS), models.HOURLY_NUMBERS).cache()
+    ready = models.encoded(rows, models.encoder(rows, models.HOURLY_NUMBERS), models.HOURLY_NUMBERS)
+    ready = files.stored(ready, "encoded")
     return ready, models.refits(ready, _days(grid), H.horizon // 24)
 
 
@@ -517,7 +683,8 @@ def gbt_squared(spark, d):
     panel, grid = fx.daily_pair(spark, d)
     panel = calibrate.splice_calibrated(panel, calibrate.level_ratio(panel, grid).where("k = 0"))
     rows = features.daily_samples(panel, grid, D)
-    ready = models.encoded(rows, models.encoder(rows, models.DAILY_NUMBERS), models.DAILY_NUMBERS).cache()
+    ready = models.encoded(rows, models.encoder(rows, models.DAILY_NUMBERS), models.DAILY_NUMBERS)
+    ready = files.stored(ready, "encoded")
     splits = ((day, ready.where(F.col("date") < temporal.day(temporal.at(day))), ready.where(F.col("origin") == temporal.day(temporal.at(day)))) for day in _days(grid))
     none = ready.limit(0).select("series_id", "origin", "date", "y", F.lit(0.0).alias("y_hat"))
     return _refitted(splits, lambda train, goal: models.predicted(models.boosted_trees(train, "squared"), goal), none)
@@ -536,6 +703,209 @@ def gbt_quantile(spark, d):
     return _refitted(splits, forecast, none)
 
 
+@query
+def backward_origins(spark, d):
+    """The origins of each data condition, carried back through its history."""
+    panel, grid = fx.daily_pair(spark, d)
+    out = None
+    for name, frame in experiments.grain_panels(panel, grid).items():
+        one = og.origins(spark, experiments.backward_grid(grid, experiments.begin(frame))).select(F.lit(name).alias("condition"), "k", temporal.day(F.col("origin")).alias("origin"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def some_origins(spark, d):
+    """The first two and the last two weeks of origins."""
+    panel, grid = fx.daily_pair(spark, d)
+    part = lambda g, name: og.origins(spark, g).select(F.lit(name).alias("part"), temporal.day(F.col("origin")).alias("origin"))
+    return part(experiments.first_origins(grid, 2), "first").unionByName(part(experiments.last_origins(grid, 2), "last"))
+
+
+@query
+def grain_samples(spark, d):
+    return experiments.grain_samples(*fx.daily_pair(spark, d), D)
+
+
+@query
+def train_masks(spark, d):
+    """How many samples each evaluation day may learn from, and how many it forecasts: whole horizons known (hourly), dates passed (daily)."""
+    hourly, grid = fx.hourly_pair(spark, d)
+    daily, weekly = fx.daily_pair(spark, d)
+
+    def counts(kind, rows, days, known):
+        dates = F.array(*(F.lit(x.date()) for x in days)).cast("array<date>")
+        rows = rows.withColumn("day", F.explode(dates))
+        return rows.groupBy(F.lit(kind).alias("kind"), "day").agg(F.count_if(known).alias("train"), F.count_if(temporal.day(F.col("origin")) == F.col("day")).alias("goal"))
+
+    last = F.col("origin") + F.make_dt_interval(F.lit(H.horizon // 24)) <= temporal.midnight(F.col("day"))
+    one = counts("hourly", og.targets(hourly, og.hourly_grid(hourly, H, min_train_days=7), H.horizon), _days(grid), last)
+    return one.unionByName(counts("daily", og.daily_targets(daily, weekly, D.horizon), _days(weekly), F.col("date") < F.col("day")))
+
+
+@query
+def curve_samples(spark, d):
+    return experiments.curve_samples(*fx.daily_pair(spark, d), D, WINDOWS)
+
+
+@query
+def scaled_coarse_samples(spark, d):
+    """Of the last two origins: each has all coarse samples once for each window."""
+    panel, grid = fx.daily_pair(spark, d)
+    return experiments.scaled_coarse_samples(panel, grid, D, (8, None)).where(F.col("k") >= grid.count - 2)
+
+
+@query
+def coldstart_samples(spark, d):
+    panel, grid = fx.hourly_pair(spark, d)
+    return experiments.coldstart_samples(panel, grid, H, "B", (1, 2, None))
+
+
+@query
+def covariate_scan(spark, d):
+    return fx.covariates(spark, d)
+
+
+def _covariate_samples(spark, d):
+    panel, grid = fx.daily_pair(spark, d)
+    frame = experiments.grain_panels(panel, grid)["splice_cal"]
+    begin = experiments.begin(frame)
+    return experiments.with_covariates(features.daily_samples(frame, experiments.backward_grid(grid, begin) if begin else grid, D), fx.covariates(spark, d))
+
+
+@query
+def covariate_samples(spark, d):
+    return _covariate_samples(spark, d)
+
+
+def _daily_refits(samples, grid, numbers, keep=("series_id", "origin", "date", "y")):
+    """Forecasts of each origin by trees that learned from the dates before it."""
+    ready = files.stored(models.encoded(samples, models.encoder(samples, numbers), numbers), "encoded")
+    splits = ((day, ready.where(F.col("date") < temporal.day(temporal.at(day))), ready.where(F.col("origin") == temporal.day(temporal.at(day)))) for day in _days(grid))
+    return _refitted(splits, lambda train, goal: models.predicted(models.boosted_trees(train, trees=5), goal), ready.limit(0).select(*keep, F.lit(0.0).alias("y_hat")))
+
+
+@query
+def gbt_grain(spark, d):
+    """Forecasts from the last origins of models that learned from the own era, from both as they are, and from both at one level."""
+    panel, grid = fx.daily_pair(spark, d)
+    samples, goal = files.stored(experiments.grain_samples(panel, grid, D), "grain"), experiments.last_origins(grid, 1)
+    out = None
+    for name in ("fine", "splice", "splice_cal"):
+        one = _daily_refits(samples.where(F.col("condition") == name), goal, models.DAILY_NUMBERS).withColumn("condition", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def gbt_covariates(spark, d):
+    """Forecasts from the last origins by feature set: the base, without recency, and with each group of covariates and all."""
+    grid, base = experiments.last_origins(fx.daily_pair(spark, d)[1], 1), models.DAILY_NUMBERS
+    sets = {"base": base, "no_recency": tuple(c for c in base if c not in experiments.RECENCY), "school": base + fx.SCHOOL, "events": base + fx.EVENTS, "weather": base + fx.WEATHER, "all": base + fx.SCHOOL + fx.EVENTS + fx.WEATHER}
+    samples, out = files.stored(_covariate_samples(spark, d), "covariates"), None
+    for name, numbers in sets.items():
+        one = _daily_refits(samples, grid, numbers).withColumn("condition", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def gbt_curve(spark, d):
+    """Forecasts from the last origin by window of own data, without and with the coarse era's part."""
+    panel, grid = fx.daily_pair(spark, d)
+    at = grid.count - 1
+    own = files.stored(experiments.curve_samples(panel, grid, D, WINDOWS).where(F.col("k") == at), "curve")
+    coarse = files.stored(experiments.scaled_coarse_samples(panel, grid, D, WINDOWS).where(F.col("k") == at), "coarse")
+    out, names = None, ["series_id", "park", "regime", "origin", "date", "y", *models.DAILY_NUMBERS]
+    for w in WINDOWS:
+        label = f"k{w:02d}" if w else "full"
+        held, more = own.where(F.col("window") == label), coarse.where(F.col("window") == label).select(*names)
+        for aug in (False, True):
+            numbers = models.DAILY_NUMBERS if aug else tuple(c for c in models.DAILY_NUMBERS if c not in ("lag364", "ann28"))
+            train = held.where("part = 'train'").select(*names)
+            train = train.unionByName(more) if aug else train
+            if train.isEmpty():
+                continue
+            coding = models.encoder(train.unionByName(held.select(*names)), numbers)
+            made = models.predicted(models.boosted_trees(models.encoded(train, coding, numbers), trees=5), models.encoded(held.where("part = 'goal'"), coding, numbers))
+            one = made.select(F.lit(f"{label}_{'aug' if aug else 'fine'}").alias("cell"), "series_id", "origin", "date", "y", "y_hat")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def gbt_coldstart(spark, d):
+    """Forecasts of new series from the last origin day, by weeks of own data and by whose data is learned from."""
+    panel, grid = fx.hourly_pair(spark, d)
+    days = _days(grid)
+    day = F.lit(days[-1].date())
+    new = files.stored(experiments.coldstart_samples(panel, grid, H, "B", (1, 2, None)).where(F.col("day") == day), "new")
+    rest = features.hourly_samples(panel.where("regime <> 'B'"), og.hourly_grid(panel, H, min_train_days=7), H)
+    rest = rest.where(F.col("origin") + F.make_dt_interval(F.lit(H.horizon // 24)) <= temporal.at(days[-1]))
+    names = ["series_id", "park", "regime", "origin", "ts", "y", *models.HOURLY_NUMBERS]
+    out = None
+    for window in ("k01", "k02", "full"):
+        held = new.where(F.col("window") == window)
+        local = held.where("part = 'train'").select(*names)
+        for scope, train in (("local", local), ("global", local.unionByName(rest.select(*names)))):
+            if train.isEmpty():
+                continue
+            coding = models.encoder(train.unionByName(held.select(*names)), models.HOURLY_NUMBERS)
+            made = models.predicted(models.boosted_trees(models.encoded(train, coding, models.HOURLY_NUMBERS), trees=5), models.encoded(held.where("part = 'goal'"), coding, models.HOURLY_NUMBERS))
+            one = made.select(F.lit(f"{window}_{scope}").alias("cell"), "series_id", "origin", "ts", "y", "y_hat")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def feature_importance(spark, d):
+    """Each feature's share of what the trees gained, of trees over all hourly samples; a category's or a gap's part counts for its column."""
+    panel, grid = fx.hourly_pair(spark, d)
+    rows = features.hourly_samples(panel, og.hourly_grid(panel, H, min_train_days=7), H)
+    ready = files.stored(models.encoded(rows, models.encoder(rows, models.HOURLY_NUMBERS), models.HOURLY_NUMBERS), "encoded")
+    return spark.createDataFrame(models.importance(models.boosted_trees(ready), models.HOURLY_NUMBERS), "feature string, share double")
+
+
+@query
+def series_rules(spark, d):
+    """Classification by prefix, with what a name must contain, may not contain and may not end with."""
+    names = fx.table(spark, d, "orders").select(F.col("o_orderpriority").alias("series_id")).distinct()
+    rules = tuple(panels.SeriesRule(f"{i}-", f"P{i}", "east" if i < 4 else "west", "ABC"[i % 3]) for i in range(1, 6))
+    return panels.classify(names, rules, must_contain="-", never=("SPEC",), never_ends=("LOW",))
+
+
+@query
+def era_splice(spark, d):
+    """Both eras in one panel: coarse means above 0 before the own era, the own panel from then on."""
+    panel = fx.daily(spark, d)
+    return panels.spliced(panel.where("source = 'own'"), panel.drop("source"), D.own_start)
+
+
+@query
+def history_scan(spark, d):
+    """Daily history of the series of two prefixes, and the weather of its days."""
+    rows = fx.daily(spark, d).where(F.col("series_id").startswith("A-") | F.col("series_id").startswith("N-")).select("series_id", "date", "y")
+    return rows.join(fx.weather(spark, d).select("date", "temp_max", "rain"), "date", "left")
+
+
+@query
+def ordered_export(spark, d):
+    """What a gzip CSV export in the order of series and time holds, read back."""
+    path = files.scratch_path(spark, "csv") + "/panel"
+    files.write_csv(fx.daily(spark, d).select("series_id", "date", "source", F.round("y", 6).alias("y")), path, compressed=True, order=["series_id", "date"])
+    return spark.read.csv(path, header=True, schema="series_id string, date date, source string, y double")
+
+
+@query
+def forecasts_by_method(spark, d):
+    """Forecasts of two methods, written by method and read back."""
+    panel, grid = fx.hourly_pair(spark, d)
+    both = baselines.snaive_hourly(panel, grid, H).withColumn("method", F.lit("snaive")).unionByName(baselines.hourly_average(panel, grid, H).withColumn("method", F.lit("hourly_avg")))
+    path = files.scratch_path(spark, "forecasts") + "/table"
+    files.write_forecasts(both, path)
+    return files.read_parquet(spark, path, ["method", "series_id", "origin", "ts", "y_hat"], like=both)
+
+
 @query
 def regular_grid_theta(spark, d):
     panel, grid = fx.hourly_pair(spark, d)

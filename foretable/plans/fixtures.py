@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foretable.functions.measures import break_scores
 from foretable.functions.temporal import day
 from foretable.operators.origins import daily_grid, hourly_grid
 from foretable.protocol import Daily, Grid, Hourly
@@ -49,3 +50,36 @@ def hourly_pair(spark: SparkSession, sf_dir: str, p: Hourly = HOURLY) -> tuple[D
 def daily_pair(spark: SparkSession, sf_dir: str, min_count: int = 3) -> tuple[DataFrame, Grid]:
     panel = daily(spark, sf_dir, min_count)
     return panel, daily_grid(panel, DAILY)
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of events by series, day and hour: (series_id, date, hour, cnt, total)."""
+    events = table(spark, sf_dir, "events").where(F.col("value") > 0)
+    return events.groupBy(F.col("event_type").alias("series_id"), day(F.col("ts")).alias("date"), F.hour("ts").alias("hour")).agg(F.count("*").alias("cnt"), F.sum("value").alias("total"))
+
+
+def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily means of events: (series_id, park, date, avg)."""
+    events = table(spark, sf_dir, "events").where(F.col("value") > 0)
+    days = events.groupBy(F.col("event_type").alias("series_id"), day(F.col("ts")).alias("date")).agg(F.avg("value").alias("avg"))
+    return classify(days, EVENT_RULES).select("series_id", "park", "date", "avg")
+
+
+def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for weather by day, made from line items."""
+    items = table(spark, sf_dir, "lineitem").groupBy(day(F.col("l_shipdate")).alias("date"))
+    return items.agg((F.avg("l_quantity") + 60).alias("temp_max"), (F.avg("l_quantity") + 40).alias("temp_min"), (F.avg("l_discount") * 1000).alias("humidity"), (F.avg("l_tax") * 1000).alias("rain"))
+
+
+def crowd_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for a calendar of breaks and events by day: order days, with the break scores of their dates."""
+    days = table(spark, sf_dir, "orders").groupBy(day(F.col("o_orderdate")).alias("date")).agg(F.count("*").cast("double").alias("event_score"), F.max("o_totalprice").alias("peak_week_score"))
+    return days.select("date", *(c.alias(f"{k}_score") for k, c in break_scores(F.col("date")).items()), "event_score", "peak_week_score")
+
+
+def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar and weather by date; either may lack a day."""
+    return crowd_calendar(spark, sf_dir).join(weather(spark, sf_dir), "date", "full_outer")
+
+
+SCHOOL, EVENTS, WEATHER = ("spring_break_score", "summer_break_score", "winter_break_score"), ("event_score", "peak_week_score"), ("temp_max", "temp_min", "humidity", "rain")

@@ -1,4 +1,4 @@
-"""The parameters of the two forecasting protocols, hourly and daily."""
+"""The parameters of the two forecasting protocols, hourly and daily. The defaults are fixed values of the protocols."""
 
 from __future__ import annotations
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    frame = spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, like: DataFrame | None = None) -> DataFrame:
+    """like: a frame with the table's schema, for a table that may have no files."""
+    frame = spark.read.schema(like.schema).parquet(path) if like else spark.read.parquet(path)
     return frame.select(*columns) if columns else frame
 
 
@@ -28,3 +33,26 @@ def write_csv(frame: DataFrame, path: str, compressed: bool = False, order: list
     """CSV with a header; order sorts the whole export, over as many files as there are partitions."""
     out = frame.orderBy(*order) if order else frame
     out.write.mode("overwrite").option("header", True).option("compression", "gzip" if compressed else "none").csv(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foretable-"))
+        where = spark.sparkContext.getCheckpointDir()
+    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(held)
+    files.deleteOnExit(held)
+    return path
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """frame, written to the shared folder and read back, which ends its lineage; deleted when the application ends."""
+    path = f"{scratch_path(frame.sparkSession, name)}/table"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

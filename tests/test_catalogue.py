@@ -2,7 +2,7 @@ import pytest
 from conftest import same_rows
 
 import __spark_entry__ as entry
-from foretable.plans import catalogue
+from foretable.plans import catalogue, fixtures
 
 NAMES = sorted(catalogue.oracle_sql())
 
@@ -22,6 +22,9 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["dm_test", "mcb_cd", "bootstrap_ci", "block_bootstrap"])
+@pytest.mark.parametrize("name", ["dm_test", "bootstrap_ci", "bootstrap_methods", "block_bootstrap"])
 def test_inference_queries_run(name, spark, sf_dir):
-    assert catalogue.queries()[name](spark, sf_dir).columns
+    rows = catalogue.queries()[name](spark, sf_dir.replace("sf0.001", "sf0.01")).collect()
+    assert {r.bucket for r in rows} == set(fixtures.DAILY.buckets)
+    for r in rows:
+        assert 0 <= r.p <= 1 if name == "dm_test" else r.low <= r.mean_diff <= r.high and 0 <= r.p_sign <= 1

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foretable.functions import measures, temporal
-from foretable.operators import baselines, calibrate, features, inference, models, origins, score
+from foretable.operators import baselines, calibrate, experiments, features, inference, models, origins, score
 from foretable.plans import catalogue, fixtures
 from foretable.protocol import Daily, Grid, Hourly
 from foretable.sources import files, panels
@@ -37,7 +37,7 @@ def test_bucket_edges(spark):
 
 def test_size_bins_are_closed_on_the_right(spark):
     x = spark.createDataFrame([(v,) for v in (0.0, 0.1, 10.0, 10.01, 50.0, 51.0, None)], "x double")
-    assert [r[0] for r in x.select(measures.size_bin(F.col("x"))).collect()] == [None, "0-10", "0-10", "10-20", "40-50", ">50", None]
+    assert [r[0] for r in x.select(measures.size_bin(F.col("x"))).collect()] == [None, "0-10", "0-10", "10-20", "30-50", ">50", None]
 
 
 def test_clamp_keeps_null(spark):
@@ -162,7 +162,61 @@ def test_bootstrap_of_blocks_and_days(spark):
 def test_widening_finds_the_least_factor(spark):
     rows = [("g", 10.0 + e, 9.0, 10.0, 11.0) for e in (0.0, 0.5, 1.0, 1.1, 1.2)]
     frame = spark.createDataFrame(rows, "g string, y double, p10 double, p50 double, p90 double")
-    assert calibrate.least_factor(frame, ["g"]).first().factor == pytest.approx(1.1)
+    assert calibrate.frozen_factor(frame).first().factor == pytest.approx(1.1)
+    assert calibrate.frozen_factor(frame.withColumn("y", F.lit(99.0))).first().factor is None
+
+
+def test_the_calibration_half_decides_for_the_other(spark):
+    rows = [(d, y, 9.0, 10.0, 11.0) for d in range(3) for y in ((10.0, 11.1) if d == 0 else (11.0, 11.2))]
+    frame = calibrate.halves(spark.createDataFrame(rows, "day int, y double, p10 double, p50 double, p90 double"), "day")
+    out = calibrate.holdout_coverage(frame).collect()
+    assert {r.day for r in out} == {1, 2} and {round(r.factor, 2) for r in out} == {1.1}
+    assert sum(r.raw for r in out) == 2 and sum(r.widened for r in out) == 2
+
+
+def test_blocks_average_each_method_over_its_own_rows(spark):
+    wide = spark.createDataFrame([("x", 1.0, None), ("x", 3.0, 2.0), ("x", 4.0, 5.0), ("y", 1.0, None)], "block string, a double, b double")
+    assert [tuple(r) for r in score.block_losses(wide, ["a", "b"], ["block"]).collect()] == [("x", pytest.approx(8 / 3), 3.5)]
+
+
+def test_third_layer_takes_the_nearest_second_ratio(spark):
+    readings = spark.createDataFrame([("s", 8, 2, 40.0), ("s", 12, 1, 30.0), ("s", 13, 1, 9.0), ("t", 8, 1, 12.0)], "series_id string, hour int, cnt long, total double")
+    first = spark.createDataFrame([("s", 8, 10.0), ("s", 12, 10.0), ("s", 13, 3.0), ("t", 8, 10.0)], "series_id string, hour int, l1 double")
+    second = spark.createDataFrame([("s", 9, 2.0)], "series_id string, hour int, ratio double")
+    got = {(r.series_id, r.hour): r.ratio for r in calibrate.recent_layer(readings, first, second, ["series_id"]).collect()}
+    assert got == {("s", 8): 1.0, ("s", 12): 1.5, ("t", 8): pytest.approx(1.2)}  # l1 of 3 is too small; t has no ratio, which counts as 1
+
+
+def test_break_scores_at_their_edges(spark):
+    dates = {"2024-03-09": (0.2, 0.1, 0.1), "2024-03-10": (0.9, 0.1, 0.1), "2024-04-15": (0.9, 0.1, 0.1), "2024-04-16": (0.2, 0.1, 0.1), "2024-06-01": (0.2, 0.9, 0.1), "2024-08-15": (0.2, 0.9, 0.1), "2024-08-16": (0.2, 0.1, 0.1), "2024-12-20": (0.2, 0.1, 0.9), "2024-01-05": (0.2, 0.1, 0.9), "2024-01-06": (0.2, 0.1, 0.1)}
+    frame = spark.createDataFrame([(dt.date.fromisoformat(x),) for x in dates], "date date")
+    got = {str(r[0]): tuple(r)[1:] for r in frame.select("date", *measures.break_scores(F.col("date")).values()).collect()}
+    assert got == dates
+
+
+def test_origins_go_backwards_and_are_cut_at_either_end():
+    grid = Grid(DAY0, 3)
+    back = experiments.backward_grid(grid, DAY0 - dt.timedelta(days=50))
+    assert back.times()[0] == DAY0 - dt.timedelta(days=21) and back.times()[-3:] == grid.times()
+    assert experiments.backward_grid(grid, DAY0) == grid
+    assert experiments.first_origins(grid, 2).times() == grid.times()[:2] and experiments.last_origins(grid, 2).times() == grid.times()[-2:] and experiments.last_origins(grid, 9) == grid
+
+
+def test_series_rules(spark):
+    frame = spark.createDataFrame([(x,) for x in ("click-1", "click-x-test", "click-2-end", "other-1", "click 3")], "series_id string")
+    rules = (panels.SeriesRule("click", "P1", "east", "A"),)
+    got = [r.series_id for r in panels.classify(frame, rules, must_contain="-", never=("test",), never_ends=("end",)).collect()]
+    assert got == ["click-1"]
+
+
+def test_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(100).selectExpr("id", "id % 7 AS v").write.jdbc(url, "readings", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    more = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    query = 'SELECT "v", COUNT(*) AS "n" FROM readings WHERE "v" > 4 GROUP BY "v"'
+    whole = {(r.v, r.n) for r in files.read_jdbc(spark, url, query, **more).collect()}
+    parts = files.read_jdbc(spark, url, query, partition=("v", 5, 7, 2), **more)
+    assert whole == {(5, 14), (6, 14)} == {(r.v, r.n) for r in parts.collect()} and parts.rdd.getNumPartitions() == 2
 
 
 def test_trees_and_theta(spark):
@@ -197,7 +251,7 @@ def test_files(spark, tmp_path):
     files.write_forecasts(frame, str(tmp_path / "p"))
     assert files.read_parquet(spark, str(tmp_path / "p"), ["y"]).count() == 2
     files.write_csv(frame, str(tmp_path / "c"), compressed=True, order=["y"])
-    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "c")).orderBy("y").collect()] == [("m1", "1.5"), ("m2", "2.5")]
     assert list((tmp_path / "c").glob("*.csv.gz"))
 
 
