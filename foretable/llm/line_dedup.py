@@ -73,7 +73,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     rows = docs.select(F.struct(*dict.fromkeys([*names, text_col])).alias("row"), id_.alias("id"), print_.alias("print"))
     marks = bitmaps.select(F.col("id").alias("of"), F.col("print").alias("as"), F.map_from_entries("kept").alias("bits"))
-    rows = rows.join(marks, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as")), "left").withColumn("lines", lines_of(text_or_empty(F.col("row")[text_col])))
+    # nothing bounds the bitmaps of all documents, so they are never broadcast
+    rows = rows.join(marks.hint("shuffle_merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as")), "left").withColumn("lines", lines_of(text_or_empty(F.col("row")[text_col])))
     kept = F.expr("filter(lines, (line, i) -> coalesce(shiftright(try_element_at(bits, int(i div 64)), i % 64) & 1L, 1L) = 1L)")
     rows = rows.withColumn("kept", F.when(F.col("bits").isNull(), F.col("lines")).otherwise(kept))
     n, k = F.size("lines").cast("long"), F.size("kept").cast("long")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foretable.llm.common import WORD, stored, text_or_empty
+from foretable.llm.common import WORD, Scratch, text_or_empty
 
 BLOCKS = 4096
 TRIES = 16
@@ -40,12 +40,7 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def source_tokens(docs: DataFrame, source_col: str = "source") -> DataFrame:
-    """(source, docs, tokens) of a table with a column __tokens."""
-    return docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("docs"), F.sum("__tokens").alias("tokens"))
-
-
-def _measure(sources: DataFrame, exponents: list[float], total: float, top: float, budget: float | None) -> list[tuple[float, float]]:
+def _measure(sources: DataFrame, exponents: list[float], total: float, budget: float | None) -> list[tuple[float, float]]:
     """For each exponent: the entropy of the weights, and the most that any source is repeated."""
     share = F.col("tokens") / F.lit(total)
     sums = []
@@ -65,7 +60,7 @@ def _measure(sources: DataFrame, exponents: list[float], total: float, top: floa
 def find_exponent(sources: DataFrame, target_entropy: float | None, max_repetition: float | None, budget: float | None, tries: int = TRIES) -> float:
     """Entropy falls and, with a budget, the most repeated source's passes fall as the exponent rises to 1. Both conditions
     given: entropy is served as far as the repetition limit allows. Where even 1 repeats too much, 1 is the answer."""
-    total, top = sources.agg(F.sum("tokens"), F.max("tokens")).first()
+    total = sources.agg(F.sum("tokens")).first()[0]
     if not total:
         return 1.0
     good = {
@@ -78,19 +73,19 @@ def find_exponent(sources: DataFrame, target_entropy: float | None, max_repetiti
         low, high = 0.0, 1.0
         while high - low > PRECISION:
             inner = [low + (high - low) * (k + 1) / (tries + 1) for k in range(tries)]
-            flags = [holds(*x) for x in _measure(sources, inner, total, top, budget)]
+            flags = [holds(*x) for x in _measure(sources, inner, total, budget)]
             edges = [low, *inner, high]
             k = next((i for i, f in enumerate(flags) if f is rising), len(inner))
             low, high = edges[k], edges[k + 1]
         return high if rising else low
 
     x = 1.0
-    if target_entropy is not None and not good["entropy"](*_measure(sources, [1.0], total, top, budget)[0]):
+    if target_entropy is not None and not good["entropy"](*_measure(sources, [1.0], total, budget)[0]):
         x = search(good["entropy"], rising=False)
     if max_repetition is not None:
         if target_entropy is None:
             x = 0.0
-        if not good["repetition"](*_measure(sources, [x], total, top, budget)[0]):
+        if not good["repetition"](*_measure(sources, [x], total, budget)[0]):
             x = max(x, search(good["repetition"], rising=True))
     return x
 
@@ -115,9 +110,12 @@ def mix_sources(
     names = [c for c in docs.columns if c not in ("mix_epoch", "mix_position")]
     tokens = F.coalesce(F.col(tokens_col), F.lit(0)).cast("long") if tokens_col else token_count(text_or_empty(text_col))
     lot = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.sha2(text_or_empty(text_col), 256)))
-    rows = docs.select(*names).withColumns({"__tokens": tokens, "__lot": lot})
-    dealt = stored(rows.groupBy(F.col(source_col).alias("source"), F.pmod("__lot", F.lit(blocks)).cast("int").alias("block")).agg(F.count("*").alias("docs"), F.sum("__tokens").alias("tokens")), "blocks")
-    sources = stored(dealt.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), "sources")
+    # the caller's columns travel in one struct, so that none of their names can clash
+    rows = docs.select(F.struct(*names).alias("row"), F.col(source_col).alias("of_source"), tokens.alias("tokens"), lot.alias("lot"))
+    rows = rows.withColumn("of_block", F.pmod("lot", F.lit(blocks)).cast("int"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    dealt = scratch.store(rows.groupBy(F.col("of_source").alias("source"), F.col("of_block").alias("block")).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")), "blocks")
+    sources = scratch.store(dealt.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), "sources")
     x = find_exponent(sources, target_entropy, max_repetition, budget_tokens)
     plan = mixing_plan(sources, x, budget_tokens)
     plan = plan.select(F.col("source").alias("of"), F.col("tokens").alias("all_tokens"), F.col("docs").alias("all_docs"), "passes")
@@ -127,9 +125,9 @@ def mix_sources(
     turns = turns.withColumn("size", size).withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0.0)))
     due = F.least(F.col("passes") - F.col("epoch"), F.lit(1.0))
     turns = turns.where((due >= 1 - 1e-9) | (F.col("start") + F.col("size") / 2 <= due)).where("passes > 0")
-    uses = stored(turns.groupBy("source", "block", "passes").agg(F.collect_list(F.struct("epoch", "start", "size")).alias("uses")), "uses")
-    uses = uses.select(F.col("source").alias("__source"), F.col("block").alias("__block"), "passes", "uses")
-    at = F.pmod(F.xxhash64(F.col("__lot"), F.col("__use.epoch")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    mixed = rows.join(uses, F.col(source_col).eqNullSafe(F.col("__source")) & (F.pmod("__lot", F.lit(blocks)).cast("int") == F.col("__block"))).withColumn("__use", F.explode("uses"))
-    position = F.least(F.round((F.col("__use.epoch") + F.col("__use.start") + at * F.col("__use.size")) / F.greatest(F.col("passes"), F.lit(1e-12)), 12), F.lit(1.0))
-    return mixed.select(*(F.col(c) for c in names), F.col("__use.epoch").cast("int").alias("mix_epoch"), position.alias("mix_position"))
+    uses = scratch.store(turns.groupBy("source", "block", "passes").agg(F.collect_list(F.struct("epoch", "start", "size")).alias("uses")), "uses")
+    scratch.drop("blocks", "sources")
+    at = F.pmod(F.xxhash64(F.col("lot"), F.col("use.epoch")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    mixed = rows.drop("tokens").join(uses.hint("shuffle_merge"), F.col("of_source").eqNullSafe(F.col("source")) & (F.col("of_block") == F.col("block"))).withColumn("use", F.explode("uses"))
+    position = F.least(F.round((F.col("use.epoch") + F.col("use.start") + at * F.col("use.size")) / F.greatest(F.col("passes"), F.lit(1e-12)), 12), F.lit(1.0))
+    return mixed.select(*(F.col("row")[c].alias(c) for c in names), F.col("use.epoch").cast("int").alias("mix_epoch"), position.alias("mix_position"))

@@ -8,8 +8,10 @@ the position is marked as failed in a bitfield and the last piece is given up. A
 so the search is linear.
 
 Pieces cross no word border (no piece has the space mark behind another character, which the constructor checks), so a
-text is encoded word by word, and a bounded table remembers the words seen. Runs of space marks, whose pieces share a
-score, are merged step by step instead. Characters without a piece become byte pieces.
+text is encoded word by word, and a table, bounded in entries and in their length, remembers the words seen. Pieces of
+several space marks hold nothing else and have the least of all scores (the constructor checks both), so they are made
+last: a word is searched for with the one mark before it, and the marks that it does not take are merged among
+themselves, step by step. Characters without a piece become byte pieces.
 
 The work is a mapInArrow stage: rows do not depend on each other, nothing is exchanged, memory is one Arrow batch and
 the word table, and a lost task is simply run again. The model reaches executors as a small table (its size is that of
@@ -33,8 +35,8 @@ from pyspark.sql import types as T
 from foretable.llm.common import ship
 
 MARK = "▁"
-#: Words that one worker remembers before it starts over.
-REMEMBERED = 1_000_000
+#: Words, and pairs of neighbours, that one worker remembers before it starts over; longer words than LONGEST it never remembers.
+REMEMBERED, LONGEST = 500_000, 64
 
 
 def public_model() -> str:
@@ -61,10 +63,15 @@ class MergeModel:
             raise ValueError(f"{path}: a model with byte pieces is needed")
         if odd := [p for p in self.id if MARK in p.lstrip(MARK)]:
             raise ValueError(f"{path}: pieces cross word borders: {odd[:3]}")
-        names = sorted((p for p in self.id if MARK * 2 not in p), key=lambda p: (-self.score[p], self.id[p]))
+        runs = {p for p in self.id if MARK * 2 in p}
+        if odd := [p for p in runs if p.strip(MARK)]:
+            raise ValueError(f"{path}: several space marks before other characters: {odd[:3]}")
+        names = sorted((p for p in self.id if p not in runs), key=lambda p: (-self.score[p], self.id[p]))
         merged = [p for p in names if len(p) > 1]
         if len({self.score[p] for p in merged}) < len(merged):
             raise ValueError(f"{path}: pieces share a score")
+        if runs and max(self.score[p] for p in runs) >= min(self.score[p] for p in merged):
+            raise ValueError(f"{path}: pieces of space marks come before others")
         self.rank = {p: k for k, p in enumerate(names)}
         #: For each piece that its own merging yields: the two that are joined last, or none for a character.
         self.halves: dict[str, tuple[str, str] | None] = {}
@@ -121,14 +128,29 @@ class WordEncoder(dict):
         m, out = self.model, []
         for part in self.unknown.split(word):
             if part:
-                for p in m.merge(part)[0] if MARK * 2 in part else self.search(part):
+                for p in self.pieces(part):
                     out += [m.id[p]] if p in m.id else [m.bytes[b] for b in p.encode()]
+        packed = struct.pack(f"<{len(out)}I", *out)
         if len(self) >= REMEMBERED:
             self.clear()
+        if len(self.fits) >= REMEMBERED:
             self.fits.clear()
-        self[word] = packed = struct.pack(f"<{len(out)}I", *out)
+        if len(word) <= LONGEST:
+            self[word] = packed
         return packed
 
+    def pieces(self, part: str) -> list[str]:
+        word = part.lstrip(MARK)
+        marks = len(part) - len(word)
+        if not word:
+            return self.model.merge(part)[0]
+        if marks < 2:
+            return self.search(part)
+        found = self.search(MARK + word)
+        if found[0] == MARK:
+            return self.model.merge(MARK * marks)[0] + found[1:]
+        return self.model.merge(MARK * (marks - 1))[0] + found
+
     def search(self, text: str) -> list[str]:
         """The pieces of text, by longest matches, checks of neighbours and a bitfield of positions that failed."""
         n, failed, taken, at = len(text), 0, [], 0

@@ -11,8 +11,8 @@ Scoring. Forward-backward gives each token's marginal. Recursions run over block
 products of 2 x 2 matrices within blocks, then along a document's blocks, then within blocks again, which is exact.
 Tokens of at least 0.5 are joined into spans.
 
-What is learned from is at most FIT_ROWS labelled rows (those of the lowest id hashes), of which FIELD_ROWS fit the
-field; the model is at most LEXICON entries. Scoring is a mapInArrow stage over all rows and whole texts: no exchange,
+What is learned from is at most FIT_ROWS labelled rows (those of the lowest id hashes), of which FIELD_ROWS with at most
+FIELD_CHARS characters fit the field; the lexicon has all entries of those rows that are frequent enough. Scoring is a mapInArrow stage over all rows and whole texts: no exchange,
 memory of one Arrow batch.
 
 Edge cases: null and empty texts have the score of a text without toxic tokens. A null id is never learned from and not
@@ -35,14 +35,16 @@ from pyspark.sql import types as T
 
 from foretable.llm.common import ship, stored, text_or_empty
 
-FIT_ROWS, FIELD_ROWS, LEXICON = 20_000, 400, 4096
+#: Bounds of what is learned from: labelled rows, those of them that fit the field, and their characters (whole rows only).
+FIT_ROWS, FIELD_ROWS, FIELD_CHARS = 20_000, 400, 8_000_000
 #: A word or beginning is listed from this many uses in toxic rows, and labels tokens from these log odds.
 LEAST_USES, LABEL_ODDS = 5, 2.5
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Limits of the classes of log odds; the first class is for words that aren't listed.
 CLASSES = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0)
 TOKEN = re.compile(r"\w+")
-BLOCK, REMEMBERED = 64, 1_000_000
+#: Tokens that a worker remembers; longer ones than LONGEST it never does.
+BLOCK, REMEMBERED, LONGEST = 64, 500_000, 64
 
 
 def held_out(id_: Column) -> Column:
@@ -57,7 +59,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(marks, "id")
 
 
-def lexicon(rows: DataFrame, size: int = LEXICON) -> DataFrame:
+def lexicon(rows: DataFrame) -> DataFrame:
     """(feature, odds): words ("=word") and beginnings ("^begin") with the log odds of their rates."""
     words = rows.select("toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1)).alias("w"))
     words = words.groupBy("w").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("n"))
@@ -69,7 +71,7 @@ def lexicon(rows: DataFrame, size: int = LEXICON) -> DataFrame:
         return features.select("feature", F.lit(0.0).alias("odds")).limit(0)
     odds = F.log((F.col("bad") + 0.5) / F.lit(float(bad))) - F.log((F.col("good") + 0.5) / F.lit(float(good)))
     known = features.where(F.col("bad") >= LEAST_USES).select("feature", odds.alias("odds"), "bad").where(F.col("odds") >= CLASSES[0])
-    return known.orderBy((F.col("odds") * F.sqrt("bad")).desc(), "feature").limit(size).select("feature", "odds")
+    return known.select("feature", "odds")
 
 
 @dataclass
@@ -93,9 +95,11 @@ class Classes(dict):
     def __missing__(self, token: str) -> int:
         w = token.lower()
         best = max(self.odds.get(f, 0.0) for f in ("=" + w, *("^" + w[:k] for k in BEGINNINGS if len(w) >= k)))
+        k = int(np.searchsorted(CLASSES, best, side="right"))
         if len(self) >= REMEMBERED:
             self.clear()
-        self[token] = k = int(np.searchsorted(CLASSES, best, side="right"))
+        if len(token) <= LONGEST:
+            self[token] = k
         return k
 
 
@@ -142,8 +146,8 @@ class Blocks:
         flat[self.first[sizes > 0] * BLOCK] += N_CODES  # a document's first token
         self.codes = flat.reshape(-1, BLOCK)
 
-    def marginals(self, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Of each token the probability of state 1; expected moves (0 to 1, 1 to 0, 1 to 1, started in 1); log likelihood's normaliser is not needed."""
+    def marginals(self, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token the probability of state 1; expected moves (0 to 1, 1 to 0, 1 to 1, started in 1)."""
         emit = np.exp(code_features() @ weights)
         table = np.zeros((2 * N_CODES + 1, 2, 2))
         move = np.exp(np.array([[0.0, moves[0]], [moves[1], moves[2]]]))
@@ -198,7 +202,7 @@ class Blocks:
             counts[3] += joint[first, 1, 1].sum()
             state = np.einsum("bij,bj->bi", table[codes], state)
             state /= state.sum(axis=1, keepdims=True)
-        return p.reshape(-1)[self.place], counts, 0.0
+        return p.reshape(-1)[self.place], counts
 
 
 def fit_field(codes: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +220,7 @@ def fit_field(codes: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, rounds: i
     theta = np.concatenate([np.full(N_CLASSES, -2.0), np.zeros(2), np.zeros(4)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for i in range(1, rounds + 1):
-        p, counts, _ = blocks.marginals(theta[: N_CLASSES + 2], theta[N_CLASSES + 2 :])
+        p, counts = blocks.marginals(theta[: N_CLASSES + 2], theta[N_CLASSES + 2 :])
         expected = features.T @ np.bincount(codes, weights=p, minlength=N_CODES)
         g = np.concatenate([seen - expected, seen_moves - counts]) - 0.5 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -255,7 +259,7 @@ def by_document(p: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return total, most
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, field_rows: int = FIELD_ROWS) -> Field | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, field_rows: int = FIELD_ROWS, chars: int = FIELD_CHARS) -> Field | None:
     """The model, learned from labelled rows that aren't held out; None if they are all alike."""
     training = training_rows(docs, labels, id_col, text_col, rows)
     training = stored(training, "training")
@@ -263,7 +267,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not odds:
         return None
     classes = Classes(odds)
-    sample = training.orderBy(F.xxhash64("id"), "id").limit(field_rows).collect()
+    sample = _field_sample(training, field_rows, chars)
     codes, sizes = tokens_of([r.text for r in sample], classes)
     weights, moves = fit_field(codes, sizes, np.array([r.toxic == 1 for r in sample]))
     field = Field(odds, weights, moves, np.zeros(4))
@@ -273,6 +277,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return field
 
 
+def _field_sample(training: DataFrame, rows: int, chars: int) -> list:
+    """Labelled rows for the field, in the order of their ids' hashes, with at most so many characters in all: a row that
+    would go beyond is left out as a whole. First only lengths reach the driver, then the texts that fit."""
+    sizes = training.select("id", F.char_length("text").alias("size")).orderBy(F.xxhash64("id"), "id").limit(rows).collect()
+    taken, total = [], 0
+    for r in sizes:
+        if total + r.size <= chars:
+            taken.append(r.id)
+            total += r.size
+    return training.where(F.col("id").isin(taken)).orderBy(F.xxhash64("id"), "id").collect()
+
+
 def _marginal_sums(rows: DataFrame, field: Field) -> DataFrame:
     schema = "toxic int, n long, expected double, largest double"
     ship(rows.sparkSession)
@@ -281,7 +297,7 @@ def _marginal_sums(rows: DataFrame, field: Field) -> DataFrame:
         classes = Classes(field.odds)
         for batch in batches:
             codes, sizes = tokens_of(batch.column(0).to_pylist(), classes)
-            p, _, _ = Blocks(codes, sizes).marginals(field.weights, field.moves)
+            p, _ = Blocks(codes, sizes).marginals(field.weights, field.moves)
             total, most = by_document(p, sizes)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes), pa.array(total), pa.array(most)], names=["toxic", "n", "expected", "largest"])
 
@@ -306,7 +322,7 @@ def score_toxicity(docs: DataFrame, field: Field | None, text_col: str = "text")
                 batch = whole.slice(i, step)
                 texts = [x or "" for x in batch.column(text_col).to_pylist()]
                 codes, sizes = tokens_of(texts, classes)
-                p, _, _ = Blocks(codes, sizes).marginals(field.weights, field.moves)
+                p, _ = Blocks(codes, sizes).marginals(field.weights, field.moves)
                 total, most = by_document(p, sizes)
                 score = 1 / (1 + np.exp(-np.clip(document_features(total, most, sizes) @ field.document, -30, 30)))
                 ends = np.cumsum(sizes)

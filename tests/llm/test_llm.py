@@ -289,14 +289,14 @@ def test_marginals_by_brute_force():
     weights, moves = rng.normal(size=tox.N_CLASSES + 2), rng.normal(size=4)
     sizes = np.array([3, 0, 1, 10, 2])
     codes = rng.integers(0, tox.N_CODES, sizes.sum())
-    p, _, _ = tox.Blocks(codes, sizes).marginals(weights, moves)
+    p, _ = tox.Blocks(codes, sizes).marginals(weights, moves)
     at = 0
     for n in sizes:
         if n:
             assert p[at : at + n] == pytest.approx(brute_marginals(codes[at : at + n], weights, moves))
         at += n
     long = rng.integers(0, tox.N_CODES, 1000)  # over many blocks: the same as one recursion from end to end
-    p, _, _ = tox.Blocks(long, np.array([1000])).marginals(weights, moves)
+    p, _ = tox.Blocks(long, np.array([1000])).marginals(weights, moves)
     emit, move = np.exp(tox.code_features() @ weights), np.exp(np.array([[0, moves[0]], [moves[1], moves[2]]]))
     f, b = [np.array([1.0, np.exp(moves[3]) * emit[long[0]]])], [np.ones(2)]
     for c in long[1:]:
