@@ -25,6 +25,10 @@ FROM m GROUP BY doc_id
 """
 
 
+#: Of rows with shares a and b in each bin.
+_JS = "sqrt(greatest(sum(CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END) / 2, 0))"
+
+
 def _op2() -> str:
     from foretable.llm import quality as q
 
@@ -50,15 +54,16 @@ bins AS (
   UNION ALL SELECT doc_id, any_value(lg), any_value(n_words), 'c', 99, (SELECT length(t) FROM w WHERE w.doc_id = classes.doc_id) - sum(x) FROM classes GROUP BY doc_id
   UNION ALL SELECT w.doc_id, w.lg, n_words, 'w', v.bin, coalesce(x, 0) FROM w JOIN vocabulary v USING (lg) LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.bin = v.bin
   UNION ALL SELECT w.doc_id, w.lg, n_words, 'w', 99, n_words - coalesce((SELECT sum(x) FROM hits h WHERE h.doc_id = w.doc_id), 0) FROM w WHERE lg <> ''),
-p AS (SELECT *, x / sum(x) OVER (PARTITION BY doc_id, h) AS a FROM bins WHERE n_words >= {q.MIN_WORDS}),
-r AS (SELECT lg, h, bin, sum(x) / sum(sum(x)) OVER (PARTITION BY lg, h) AS b FROM bins WHERE n_words >= {q.MIN_WORDS} GROUP BY lg, h, bin),
-js AS (
-  SELECT doc_id, h, round(sqrt(greatest(sum(CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END) / 2, 0)), 6) AS d
-  FROM p JOIN r USING (lg, h, bin) GROUP BY doc_id, h),
 f AS (
   SELECT w.doc_id, n_words, length(t) - len(regexp_extract_all(t, '[\\x20\\x09-\\x0D]')) AS word_chars, len(regexp_extract_all(t, '{q.SYMBOLS}')) AS n_symbols,
          coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
-  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+p AS (SELECT *, x / sum(x) OVER (PARTITION BY doc_id, h) AS a FROM bins WHERE n_words >= {q.MIN_WORDS}),
+good AS (SELECT p.* FROM p JOIN f USING (doc_id) WHERE 100 * n_repeat_words <= 20 * f.n_words),
+r0 AS (SELECT lg, h, bin, avg(a) AS b FROM good GROUP BY lg, h, bin),
+js0 AS (SELECT doc_id, h, {_JS} AS d FROM good JOIN r0 USING (lg, h, bin) GROUP BY doc_id, h),
+r AS (SELECT lg, h, bin, sum(a / (1 + (d / {q.UNLIKE}::DOUBLE) ** 2)) / sum(1 / (1 + (d / {q.UNLIKE}::DOUBLE) ** 2)) AS b FROM good JOIN js0 USING (doc_id, h) GROUP BY lg, h, bin),
+js AS (SELECT doc_id, h, round({_JS}, 6) AS d FROM p JOIN r USING (lg, h, bin) GROUP BY doc_id, h)
 SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, c.d AS chars_distance, v.d AS words_distance,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(c.d, 0) <= {q.MAX_CHARS} AND coalesce(v.d, 0) <= {q.MAX_WORDS} + {q.SLACK} / sqrt(greatest(n_words, 1)) AS kept
 FROM f LEFT JOIN js c ON c.doc_id = f.doc_id AND c.h = 'c' LEFT JOIN js v ON v.doc_id = f.doc_id AND v.h = 'w'

@@ -1,15 +1,17 @@
 """Quality rules: base counts, and the divergence of a text from its language, in DataFrame operations only.
 
 A text is reduced, within its row, to counts, a histogram of character classes and a histogram of its language's common
-words. The histograms of all texts of a language (of MIN_WORDS words or more) add up to that language's reference. A
-text is then judged by the Jensen-Shannon distance (the root of the divergence, base 2) of both histograms to the
-reference; below MIN_WORDS words a histogram says too little, and only the base rules judge. Texts are read once and
-never exchanged: what is stored between the two steps is some hundred bytes a row, and the references are one row for
-each language of COMMON and one for all others, so that broadcasting them is bounded.
+words. A language's reference is a mean of the histograms of its texts that has little to do with what is unlike the
+most of them: only texts of MIN_WORDS words or more that pass the base rules count, each as one whatever its length, and
+in a second pass with a weight that falls with the square of its distance to the first mean (UNLIKE). References may
+also be given, learned elsewhere. A text is then judged by the Jensen-Shannon distance (the root of the divergence, base
+2) of both histograms to the reference; below MIN_WORDS words a histogram says too little, and only the base rules
+judge. Texts are read once and never exchanged: what is stored between the steps is some hundred bytes a row, and the
+references are one row for each language of COMMON and one for all others, so that broadcasting them is bounded.
 
 Edge cases: null text has no words and fails the base rule. A null or unlisted language is compared, in its characters
 only, with the pooled reference of such languages. A language without any text of MIN_WORDS words has no reference, and
-its texts are judged by the base rules. Repeated rows are judged alike. An empty table gives an empty result.
+its texts are judged by the base rules; nor has one of which no such text passes the base rules. Repeated rows are judged alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ CLASSES = (r"\p{Ll}", r"\p{Lu}", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()-]"
 MIN_WORDS = 50
 #: Distances above these are too far. A histogram of few words is far from any by chance: words may be SLACK / sqrt(n_words) further.
 MAX_CHARS, MAX_WORDS, SLACK = 0.25, 0.15, 1.1
+#: A text at this distance from the first mean has half the weight in the second.
+UNLIKE = 0.1
 
 
 def repeat_words(grams: str = "grams") -> tuple[dict[str, Column], Column]:
@@ -73,34 +77,51 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def references(features: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(lang, ref_chars, ref_common): the sum of each bin over all texts of a language; at most one row for each
-    language of COMMON and one more."""
-    long_ones = features.where(F.col("n_words") >= min_words)
-    bins = lambda name, k: F.array(*(F.sum(F.try_element_at(F.col(name), F.lit(i + 1)).cast("long")) for i in range(k)))
-    most = max(map(len, COMMON.values())) + 1
-    return long_ones.groupBy("lang").agg(bins("chars", len(CLASSES) + 1).alias("ref_chars"), F.array_compact(bins("common", most)).alias("ref_common"))
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def shares(histogram: Column) -> Column:
+    """Counts over their sum; null if there are none."""
+    total = F.nullif(F.aggregate(histogram, F.lit(0).cast("double"), lambda a, b: a + b), F.lit(0.0))
+    return F.transform(histogram, lambda x: x / total)
+
+
+def references(features: DataFrame, min_words: int = MIN_WORDS, unlike: float = UNLIKE) -> DataFrame:
+    """(lang, ref_chars, ref_common): the reference of each language, shares by bin; at most one row for each language of
+    COMMON and one more."""
+    rows = features.where((F.col("n_words") >= min_words) & ~base_failed()).select("lang", shares(F.col("chars")).alias("chars"), shares(F.col("common")).alias("common"))
+    sizes = {"chars": len(CLASSES) + 1, "common": max(map(len, COMMON.values())) + 1}
+
+    def mean(weights: dict[str, Column]) -> list[Column]:
+        bins = lambda h, i: F.sum(F.try_element_at(F.col(h), F.lit(i + 1)) * weights[h]) / F.sum(F.when(F.col(h).isNotNull(), weights[h]))
+        return [F.array_compact(F.array(*(bins(h, i) for i in range(n)))).alias(f"ref_{h}") for h, n in sizes.items()]
+
+    first = rows.groupBy("lang").agg(*mean({h: F.lit(1.0) for h in sizes}))
+    held = rows.join(F.broadcast(first), "lang").withColumns({f"w_{h}": 1 / (1 + F.pow(js_distance(F.col(h), F.col(f"ref_{h}")) / F.lit(unlike), F.lit(2))) for h in sizes}).drop("ref_chars", "ref_common")
+    return held.groupBy("lang").agg(*mean({h: F.col(f"w_{h}") for h in sizes}))
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of counts, from 0 to 1; null if either is null or empty."""
-    total = lambda h: F.nullif(F.aggregate(h, F.lit(0).cast("double"), lambda a, b: a + b), F.lit(0.0))
+    """Jensen-Shannon distance of two arrays of shares, from 0 to 1; null if either is null or empty."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    pairs = F.zip_with(F.transform(p, lambda x: x / total(p)), F.transform(q, lambda x: x / total(q)), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
+    pairs = F.zip_with(p, q, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
+    distance = F.sqrt(F.greatest(F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
+    return F.when((F.size(p) > 0) & (F.size(q) > 0), distance)
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS, slack: float = SLACK,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS, slack: float = SLACK, known: DataFrame | None = None,
 ) -> DataFrame:
-    """One row for each row of docs: id, the base counts, base_failed, chars_distance, words_distance, kept."""
+    """One row for each row of docs: id, the base counts, base_failed, chars_distance, words_distance, kept. known: references of
+    a corpus that was judged before or is known to be clean, as references() gives them; by default those of docs itself."""
     rows = stored(quality_features(docs, id_col, text_col, lang_col), "quality")
-    judged = rows.join(F.broadcast(references(rows, min_words)), "lang", "left")
+    judged = rows.join(F.broadcast(references(rows, min_words) if known is None else known), "lang", "left")
     enough = F.col("n_words") >= min_words
     judged = judged.withColumns({
-        "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-        "chars_distance": F.round(F.when(enough, js_distance(F.col("chars"), F.col("ref_chars"))), 6),
-        "words_distance": F.round(F.when(enough, js_distance(F.col("common"), F.col("ref_common"))), 6),
+        "base_failed": base_failed(),
+        "chars_distance": F.round(F.when(enough, js_distance(shares(F.col("chars")), F.col("ref_chars"))), 6),
+        "words_distance": F.round(F.when(enough, js_distance(shares(F.col("common")), F.col("ref_common"))), 6),
     })
     near = (F.coalesce("chars_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("words_distance", F.lit(0.0)) <= max_words + slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
     return judged.select(
