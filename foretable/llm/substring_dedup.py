@@ -340,13 +340,13 @@ def remove_passages(docs: DataFrame, spans: DataFrame, text_col: str = "text") -
     docs = docs.drop(*[c for c in docs.columns if c in added and c != text_col])
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in added.items())])
     names = docs.columns
-    rows = docs.withColumn("__key", F.unhex(F.md5(text_or_empty(text_col))))
-    rows = rows.join(spans.select(F.col("text_key").alias("__of"), F.col("spans").alias("__spans")), F.col("__key") == F.col("__of"), "left")
+    rows = docs.select(F.struct(*names).alias("row"), F.unhex(F.md5(text_or_empty(text_col))).alias("key")).join(spans.select(F.col("text_key").alias("of"), "spans"), F.col("key") == F.col("of"), "left")
+    columns = [F.col("row")[c].alias(f"c{i}") for i, c in enumerate(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, cut in zip(batch.column(text_col), batch.column("__spans"), strict=True):
+            for text, cut in zip(batch.column(names.index(text_col)), batch.column("spans"), strict=True):
                 ws = _WORD.findall(text.as_py() or "")
                 total = len(ws)
                 if cut.is_valid:
@@ -359,9 +359,9 @@ def remove_passages(docs: DataFrame, spans: DataFrame, text_col: str = "text") -
                 gone.append(total - len(ws))
                 kept.append(" ".join(ws))
             new = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], names=[*names, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], names=[*names, *added])
 
-    return rows.select(*names, "__spans").mapInArrow(run, schema)
+    return rows.select(*columns, "spans").mapInArrow(run, schema)
 
 
 def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:

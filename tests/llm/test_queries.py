@@ -1,0 +1,283 @@
+"""The queries that SQL cannot express, and the pipeline, against brute force over whole tables; odd rows with what they give."""
+
+import hashlib
+import math
+import struct
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from conftest import DATA
+from test_llm import LONG, ODD, brute_lines, brute_near, brute_passages, frame, words
+from pyspark.sql import functions as F
+
+import corpus_pipeline as cp
+from foretable.llm import queries as q
+from foretable.llm import toxicity as tox
+from foretable.llm.common import shared_dir
+from foretable.llm.exact_dedup import exact_dedup
+from foretable.llm.line_dedup import line_dedup
+from foretable.llm.mixing import mix_sources
+from foretable.llm.near_dedup import near_dedup
+from foretable.llm.piece_encoding import piece_encode, public_model
+from foretable.llm.quality import quality_rules
+from foretable.llm.secret_scan import secret_scan
+from foretable.llm.substring_dedup import deep_nodes, substring_dedup, subtree
+from foretable.llm.url_filter import url_filter
+
+D = f"{DATA}/sf0.001"
+
+
+def documents(spark, d=D):
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_model())
+
+
+def encoded(sp, text):
+    ids = sp.encode(text or "", add_bos=True, add_eos=True)
+    return ids, struct.pack(f"<{len(ids)}I", *ids), sp.decode(ids)
+
+
+def test_op10_equals_the_library_on_every_row(spark):
+    sp = library()
+    texts = {r.doc_id: r.text for r in documents(spark).collect()}
+    out = q.op10_piece_encoding(spark, D).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        ids, packed, said = encoded(sp, texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_words_after_several_spaces_go_through_the_search(spark):
+    sp = library()
+    texts = [" " * a + w + " " * b + v + "\n" + " " * b + w for a in range(7) for b in range(20) for w in ("the", "x", "日本", "1", "▁") for v in ("end", "", "é")]
+    out = piece_encode(frame(spark, [(i, t, "", "") for i, t in enumerate(texts)]).select("doc_id", "text"), public_model()).collect()
+    for r in out:
+        assert (bytes(r.ids), r.decoded) == encoded(sp, r.text)[1:], repr(r.text)
+
+
+def test_op3_scores_by_a_plain_recursion(spark):
+    """The model that the query learns, applied token by token."""
+    docs = documents(spark).select("doc_id", "text")
+    field = tox.fit_toxicity(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    emit, move = np.exp(tox.code_features() @ field.weights), np.exp(np.array([[0.0, field.moves[0]], [field.moves[1], field.moves[2]]]))
+    classes = tox.Classes(field.odds)
+    out = {r.doc_id: r for r in q.op3_toxicity(spark, D).collect()}
+    rows = docs.collect()
+    assert len(out) == len(rows)
+    for row in rows:
+        text = row.text or ""
+        tokens = list(tox.TOKEN.finditer(text))
+        codes = tox.token_codes(np.array([classes[m[0]] for m in tokens], np.int64), np.array([len(tokens)]))
+        p = np.zeros(len(codes))
+        if len(codes):
+            f, b = [np.array([1.0, np.exp(field.moves[3]) * emit[codes[0]]])], [np.ones(2)]
+            for c in codes[1:]:
+                x = (f[-1] @ move) * np.array([1.0, emit[c]])
+                f.append(x / x.sum())
+            for c in codes[:0:-1]:
+                x = move @ (b[-1] * np.array([1.0, emit[c]]))
+                b.append(x / x.sum())
+            both = np.array([x * y for x, y in zip(f, b[::-1], strict=True)])
+            p = both[:, 1] / both.sum(axis=1)
+        total, most = p.sum(), p.max(initial=0.0)
+        x = np.array([1.0, math.log1p(total), most, math.log1p(1000 * total / max(len(codes), 20))]) @ field.document
+        got = out[row.doc_id]
+        assert got.score == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-6) and got.predicted == int(got.score >= 0.7)
+        hot = [m for m, v in zip(tokens, p, strict=True) if v >= 0.5]
+        spans = [tuple(map(int, s.split(":"))) for s in got.spans.split(",") if s]
+        assert [m.span() for m in hot] == [m.span() for a, e in spans for m in tokens if a <= m.start() and m.end() <= e]
+
+
+def test_op4_uses_by_brute_force(spark):
+    """Weights by a bisection of one's own; each source's copies are whole passes and one that ends where its budget does."""
+    rows = [(r.doc_id, len(words(r.text)), r.source) for r in documents(spark).collect()]
+    tokens = defaultdict(int)
+    for _, n, s in rows:
+        tokens[s] += n
+    total, live = sum(tokens.values()), [s for s in tokens if tokens[s]]
+
+    def passes(x):
+        raw = {s: (tokens[s] / total) ** x / (tokens[s] / total) for s in live}
+        return {s: v / min(raw.values()) for s, v in raw.items()}
+
+    low, high = 0.0, 1.0
+    if max(passes(0.0).values()) <= q.MAX_REPETITION:
+        high = 0.0
+    while high - low > 1e-10:
+        middle = (low + high) / 2
+        low, high = (low, middle) if max(passes(middle).values()) <= q.MAX_REPETITION else (middle, high)
+    want = passes(high)
+    used, times = defaultdict(int), defaultdict(list)
+    size = {i: n for i, n, _ in rows}
+    for r in q.op4_source_mixing(spark, D).collect():
+        used[r.source] += size[r.doc_id]
+        times[r.doc_id].append(r.mix_epoch)
+        assert 0 <= r.mix_position <= 1
+    assert set(times) == set(size) and all(sorted(v) == list(range(len(v))) for v in times.values())
+    largest = {s: max(n for _, n, t in rows if t == s) for s in live}
+    for s in live:
+        assert abs(used[s] - want[s] * tokens[s]) <= 2 * largest[s]
+        counts = {len(times[i]) for i, _, t in rows if t == s}
+        assert counts <= {math.floor(want[s] + 1e-9), math.ceil(want[s] - 1e-9)}
+
+
+def test_pipeline_run_by_brute_force(spark):
+    """run() against each stage done again without Spark, but for the learned score and the mixture's draws."""
+    docs = documents(spark).collect()
+    score = {r.doc_id: r.score for r in tox.toxicity(documents(spark), spark.read.parquet(f"{D}/labels.parquet")).collect()}
+    texts = brute_lines([(r.doc_id, r.text) for r in docs if score[r.doc_id] < q.TOXIC_FROM])
+    groups = brute_near(list(texts.items()))
+    texts = {i: t for i, t in texts.items() if groups[i][1] == i}
+    meta = {r.doc_id: (r.lang, r.source) for r in docs}
+    rows = [(i, t, *meta[i], len(t)) for i, t in texts.items()]
+    mixed = mix_sources(spark.createDataFrame(rows, documents(spark).select(*cp.COLUMNS).schema), max_repetition=q.MAX_REPETITION)
+    want = sorted(r.doc_id for r in mixed.collect())
+    sp = library()
+    out = cp.run(spark, D).collect()
+    assert sorted(r.doc_id for r in out) == want
+    for r in out:
+        ids, packed, said = encoded(sp, texts[r.doc_id])
+        assert (r.n_tokens, bytes(r.ids), r.decodes, r.lang, r.source) == (len(ids), packed, said == texts[r.doc_id], *meta[r.doc_id])
+
+
+def by_id(rows):
+    out = defaultdict(list)
+    for r in rows:
+        out[r.doc_id].append(r)
+    return out
+
+
+def test_what_odd_rows_give(spark):
+    docs = frame(spark, ODD)
+    r = by_id(exact_dedup(docs).collect())
+    assert [(x.keep_id, x.group_size, x.kept) for i in (1, 2, 4, 5, 6, 6) for x in r[i][:1]] == [(1, 3, True), (1, 3, False), (4, 2, True), (4, 2, False), (6, 2, True), (6, 2, True)]
+    assert sorted((x.keep_id, x.kept) for x in r[None] if x.keep_id) == [(1, False)]
+    r = by_id(quality_rules(docs).collect())
+    assert [(x.n_words, x.base_failed, x.kept) for i in (1, 2, 3) for x in r[i]] == [(0, True, False)] * 3 and r[4][0].n_words == 30_000
+    r = by_id(secret_scan(docs).collect())
+    assert all(not x.found for i in (1, 2, 3, 6, 7, 8, None) for x in r[i])
+    r = by_id(line_dedup(docs).collect())
+    assert [(x.n_lines, x.n_dropped, x.kept_text) for i in (1, 2, 5, 7) for x in r[i]] == [(1, 0, ""), (1, 0, ""), (1, 1, ""), (2, 1, "other things")]
+    assert [x.kept_text for x in r[6]] == [ODD[6][1]] * 2 and r[4][0].kept_text == LONG
+    r = by_id(near_dedup(docs).collect())
+    assert [(x.n_shingles, x.component_id, x.kept) for i in (1, 2, 3) for x in r[i]] == [(0, i, True) for i in (1, 2, 3)] and [x.component_id for i in (4, 5, 6) for x in r[i]] == [4, 4, 6, 6]
+    assert {(x.component_id, x.kept) for x in r[None]} == {(None, True)}
+    r = by_id(substring_dedup(docs).collect())
+    assert [(x.n_words, x.n_removed, x.kept_text) for i in (1, 4, 5) for x in r[i]] == [(0, 0, ""), (30_000, 30_000, ""), (30_000, 30_000, "")]
+    r = by_id(piece_encode(docs, public_model()).collect())
+    assert [(x.n_tokens, x.decoded) for i in (1, 2) for x in r[i]] == [(2, ""), (2, "")] and r[8][0].decoded == ODD[9][1]
+    r = by_id(mix_sources(docs, max_repetition=2.0).collect())
+    assert set(r) == {x[0] for x in ODD} and {x.mix_epoch for x in r[4]} == {0}
+    labels = spark.createDataFrame([(2, 0), (6, 1), (7, 0)], "doc_id long, toxic int")
+    r = by_id(tox.toxicity(docs, labels).collect())
+    assert r[1][0].score == r[2][0].score == r[3][0].score and len({x.score for x in r[6]}) == 1
+    none = by_id(tox.toxicity(docs, labels.where("toxic = 0")).collect())
+    assert {(x.score, len(x.spans)) for rows in none.values() for x in rows} == {(0.0, 0)}
+    r = url_filter(docs.withColumnsRenamed({"doc_id": "page_id", "text": "url", "lang": "html"})).collect()
+    assert {(x.host, x.path, x.rule, x.verdict) for x in r} == {("", "", None, "allow")}
+
+
+def test_callers_columns_stay_whatever_their_names(spark):
+    names = ("__tokens", "__lot", "__id", "__print", "__bits", "row", "lot", "tokens", "use", "bits", "print", "id", "of", "as", "head", "__spans", "__key")
+    docs = spark.createDataFrame([(i, f"some longer line {i % 2}\nanother line {i}", "s") for i in range(4)], "doc_id long, text string, source string")
+    docs = docs.select("*", *((F.col("doc_id") + k).alias(n) for k, n in enumerate(names)))
+    for out in (mix_sources(docs, max_repetition=2.0), line_dedup(docs), substring_dedup(docs), piece_encode(docs, public_model())):
+        rows = out.collect()
+        assert len(rows) == 4 and all(r[n] == r.doc_id + k for r in rows for k, n in enumerate(names))
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_pipeline_stages_on_odd_rows(spark, rows):
+    docs = spark.createDataFrame([(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows], documents(spark).select(*cp.COLUMNS).schema)
+    held = [docs.collect()]
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, D)
+        if name != cp.STAGES[-1][0]:
+            assert docs.columns == cp.COLUMNS
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        held.append(docs.collect())
+    key = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=repr)
+    toxic, lines, near, mixed, ids = held[1:]
+    if not rows:
+        assert not any(held)
+        return
+    assert {r.doc_id for r in toxic} >= {1, 2, 3}  # no text, no toxic word
+    assert {r.doc_id: r.text for r in lines}[7] == "other things" and len(lines) == len(toxic)
+    assert len([r for r in near if r.doc_id == 6]) == 1 and [(r.doc_id, r.text == "") for r in sorted(near, key=lambda r: r.doc_id or 0) if r.doc_id in (4, 5)] == [(4, False), (5, True)]  # 5 has lost its only line
+    assert {x for x in key(near)} == {x for x in key(mixed)} and len(ids) == len(mixed) and all(r.decodes for r in ids)
+
+
+def test_near_dedup_recall_on_many_rows(spark):
+    """2,400 documents at similarities on both sides of the threshold: the same groups as brute force."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(300):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(8, 160)))]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(int(rng.integers(0, max(2, len(w) // 14)))):
+                w[int(rng.integers(len(w)))] = f"n{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    want = {}
+    for g in range(300):
+        want |= brute_near(rows[8 * g : 8 * g + 8])
+    assert out == want and len({c for _, c in want.values()}) > 400
+
+
+def test_subtree_sorts_suffixes_and_gives_shared_lengths():
+    rng = np.random.default_rng(0)
+    for depth in (1, 2, 3, 5, 8, 9, 35, 80):
+        ids = rng.integers(0, 3, 400)
+        ids[100:200] = ids[210:310]
+        starts = rng.permutation(len(ids) - depth + 1)
+        suffixes = [tuple(ids[i : i + depth]) for i in starts]
+        order, shared = subtree(ids, starts, depth)
+        assert [suffixes[i] for i in order] == sorted(suffixes)
+        common = lambda a, b: next((k for k in range(depth) if a[k] != b[k]), depth)
+        assert list(shared) == [0, *(common(suffixes[a], suffixes[b]) for a, b in zip(order, order[1:], strict=False))]
+        assert list(deep_nodes(order, shared, depth)[1]) == [suffixes.count(x) for x in suffixes]
+
+
+def test_equal_hashes_of_unlike_words_remove_nothing(spark, monkeypatch):
+    """Every prefix hash collides: words are compared all the same."""
+    from foretable.llm import substring_dedup as sd
+
+    monkeypatch.setattr(sd, "mix", lambda x: x & np.uint64(1))
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"u{rng.integers(10**6)}" for _ in range(60))) for i in range(20)] + [(20, " ".join(f"p{i}" for i in range(50))), (21, "x " + " ".join(f"p{i}" for i in range(50)))]
+    suffixes = [(hash_, 0, str(i).encode(), 0, 60 - 34, t) for hash_ in (1,) for i, t in rows[:20]] + [(1, 0, b"20", 0, 50 - 34, rows[20][1]), (1, 0, b"21", 1, 50 - 34, rows[20][1])]
+    found = sd._repeats(spark.createDataFrame(suffixes, sd._SUFFIXES).coalesce(1), 35).collect()
+    assert sorted((bytes(r.text_key), r.start, r.stop) for r in found) == [(b"20", 0, 50), (b"21", 1, 51)]
+
+
+@pytest.mark.parametrize("held", [40, 10**6])
+def test_groups_of_any_size_are_settled_in_parts(spark, held):
+    """A window that very many rows share, and one that a hint says is repeated elsewhere."""
+    from foretable.llm import substring_dedup as sd
+
+    shared, lone, hinted = (" ".join(f"{c}{i}" for i in range(35)) for c in "abc")
+    rows = [(1, 1, f"{i}".encode(), i, 1, shared) for i in range(300)] + [(1, 2, b"lone", 5, 1, lone), (1, 3, b"one", 7, 1, hinted), (1, 3, None, 0, sd.HINT, hinted), (2, 2, b"known", 3, sd.KNOWN + 40, "")]
+    found = sd._repeats(spark.createDataFrame(rows, sd._SUFFIXES).coalesce(1), 35, held=held).collect()
+    assert sorted({(bytes(r.text_key), r.start, r.stop) for r in found}) == sorted({*((f"{i}".encode(), i, i + 35) for i in range(300)), (b"one", 7, 42), (b"known", 3, 43)})
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    class Away:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Away)
+
+
+def test_passages_of_documents_by_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    out = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(documents(spark).select("doc_id", "text"), group=2).collect()}
+    assert out == brute_passages(rows, 35)
