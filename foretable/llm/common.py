@@ -84,6 +84,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name).store(df, name)
 
 
+#: Keys of some 16 bytes that a broadcast may hold: some 30 MB.
+FEW = 400_000
+
+
+def sized(keys: DataFrame, few: int = FEW) -> DataFrame:
+    """keys, a stored table of short rows, as the side of a join with texts: broadcast where it has at most so many rows, which
+    are counted first; else both sides of the join are exchanged."""
+    return F.broadcast(keys) if keys.limit(few + 1).count() <= few else keys.hint("shuffle_merge")
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, for operators whose tasks run its Python code. Once for each application."""
     sc = spark.sparkContext

@@ -7,8 +7,10 @@ the pattern itself; a rule whose pattern forces no trigram (a run of hexadecimal
 all matches come from the lengths of what lies between them. Trigrams are looked up in lower-cased text, which can only
 add candidates.
 
-Postings and candidates carry the document's id and a fingerprint of its text, no text. The join that brings candidates
-to their texts matches that pair, of which no value is more frequent than the same document repeated.
+Texts are read twice and are not exchanged as long as the candidates are few (common.sized counts them): the first pass
+finds which of the queries' trigrams a text holds, and the spans of the rules that scan fully; the second verifies the
+candidates. Postings, candidates and spans carry the document's id and a fingerprint of its text, no text. Joins match
+that pair, of which no value is more frequent than the same document repeated.
 
 Edge cases: null text is the empty text and has no secrets. Null and repeated ids are fine: verification reads each
 row's own text. Columns of the input other than id and text are dropped. An empty table gives an empty result.
@@ -23,7 +25,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretable.llm.common import text_or_empty
+from foretable.llm.common import Scratch, sized, text_or_empty
 
 #: A stretch of literals is cut where it would have more alternatives than this.
 ALTERNATIVES = 64
@@ -120,11 +122,10 @@ def trigram_query(pattern: str) -> list[set[frozenset[str]]]:
     return query
 
 
-def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, id, print) of the rows of docs (id, print, text) for the trigrams given."""
-    low = docs.select("id", "print", F.lower("text").alias("low"))
-    held = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("low"), t))
-    return low.select("id", "print", F.explode(held).alias("trigram"))
+def held_trigrams(text: Column, trigrams: list[str]) -> Column:
+    """Those of the trigrams given that lower-cased text holds: a document's entries of the index."""
+    low = F.lower(text)
+    return F.filter(F.array(*map(F.lit, trigrams)).cast("array<string>"), lambda t: F.contains(low, t))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -165,21 +166,29 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, found): found is array<struct<start, kind, end>> in order of start, then of the rules; kind is the number of
     the rule in BASE + more."""
     rules = BASE + more
+    scratch = Scratch(docs.sparkSession, "secrets")
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("print", F.xxhash64("text"))
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
     trigrams = sorted({t for r in indexed for options in trigram_query(r.pattern) for need in options for t in need})
-    chosen = candidates(trigram_index(rows, trigrams), indexed).select(F.col("id").alias("of"), F.col("print").alias("as"), "rules")
-    rows = rows.join(chosen, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as")), "left")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
-    def found(no: int, rule: Rule) -> Column:
+    def found(rule: Rule, maybe: Column) -> Column:
         # any match is long enough for this one if the pattern is a single run: it saves the short matches' positions
         run = re.fullmatch(r"(\[[^\]]+\])\+", rule.pattern)
         verify = Rule(rule.kind, f"{run[1]}{{{rule.least},}}") if run else rule
-        maybe = F.array_contains("rules", rule.kind) if rule in indexed else F.lit(True)
         hit = F.when(maybe & F.rlike("text", F.lit(verify.regex)), spans(F.col("text"), verify))
-        return F.coalesce(F.transform(hit, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind"), s["end"].alias("end"))), F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-
-    return rows.select(F.col("id").alias(id_col), F.sort_array(F.concat(*(found(i, r) for i, r in enumerate(rules)))).alias("found"))
+        return F.coalesce(F.transform(hit, lambda s: F.struct(s["start"].alias("start"), F.lit(rules.index(rule)).alias("kind"), s["end"].alias("end"))), none)
+
+    full = F.concat(none, *(found(r, F.lit(True)) for r in rules if r not in indexed))
+    scanned = scratch.store(rows.select("id", "print", held_trigrams(F.col("text"), trigrams).alias("trigrams"), full.alias("full")), "scanned")
+    postings = scanned.select("id", "print", F.explode("trigrams").alias("trigram"))
+    chosen = scratch.store(candidates(postings, indexed).select(F.col("id").alias("of"), F.col("print").alias("as"), "rules"), "candidates")
+    pair = F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as"))
+    verified = rows.join(sized(chosen), pair).select("of", "as", F.concat(none, *(found(r, F.array_contains("rules", r.kind)) for r in indexed)).alias("more"))
+    verified = scratch.store(verified.where(F.size("more") > 0).dropDuplicates(["of", "as"]), "verified")
+    scratch.drop("candidates")
+    out = scanned.join(verified, pair, "left")
+    return out.select(F.col("id").alias(id_col), F.sort_array(F.concat("full", F.coalesce("more", none))).alias("found"))
 
 
 def written(found: Column, rules: tuple[Rule, ...] = BASE + MORE) -> Column:
