@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from foretable.functions.temporal import at
 from foretable.functions.temporal import day as day_of
+from foretable.sources.files import stored
 
 HOURLY_NUMBERS = ("lead", "hour", "dow", "is_weekend", "month", "lag168", "lag336", "lag504", "lag672", "sdhr4", "last_y", "hrs_since_last", "r24h", "r7d", "r28d")
 DAILY_NUMBERS = ("lead", "dow", "is_weekend", "month", "r7", "r28", "dow8w", "lag364", "ann28")
 CATEGORIES = ("series_id", "park", "regime")
+#: Rounds of boosting after which what they add up to is stored.
+STORED_EVERY = 5
 
 
 def with_gaps_flagged(samples: DataFrame, numbers: tuple[str, ...]) -> DataFrame:
@@ -77,7 +80,8 @@ class QuantileTrees:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         out = rows.withColumn("__f", F.lit(self.start))
-        for tree, values in self.rounds:
+        for i, (tree, values) in enumerate(self.rounds):
+            out = stored(out, "boosted") if i and i % STORED_EVERY == 0 else out
             out = tree.transform(out).drop("prediction")
             leaf = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v))))
             out = out.withColumn("__f", F.col("__f") + F.coalesce(F.try_element_at(leaf, F.col("__leaf")), F.lit(0.0))).drop("__leaf")
@@ -85,7 +89,8 @@ class QuantileTrees:
 
 
 def quantile_trees(train: DataFrame, q: float, rounds: int = 5, depth: int = 4, step: float = 0.5, seed: int = 0) -> QuantileTrees:
-    """train: encoded, with y. A round is two jobs: the tree, and one aggregation by leaf (at most 2 ** depth rows to the driver)."""
+    """train: encoded, with y. A round is two jobs: the tree, and one aggregation by leaf (at most 2 ** depth rows to the driver). Every
+    few rounds the sums so far are stored, so that the plan stays as short however many rounds there are."""
     start = float(train.agg(F.percentile_approx("y", q, 10_000)).first()[0])
     grown: list = []
     rows = train.select("features", "y").withColumn("__f", F.lit(start))
@@ -96,6 +101,7 @@ def quantile_trees(train: DataFrame, q: float, rounds: int = 5, depth: int = 4,
         values = {r["__leaf"]: step * float(r["v"]) for r in placed.groupBy("__leaf").agg(F.percentile_approx(F.col("y") - F.col("__f"), q, 10_000).alias("v")).collect()}
         leaf = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v))))
         rows = placed.withColumn("__f", F.col("__f") + F.coalesce(F.try_element_at(leaf, F.col("__leaf")), F.lit(0.0))).drop("__leaf")
+        rows = stored(rows.select("features", "y", "__f"), "boosting") if i % STORED_EVERY == STORED_EVERY - 1 else rows
         grown.append((tree, values))
     return QuantileTrees(q, start, grown)
 
@@ -123,6 +129,55 @@ def theta_forecast(y: np.ndarray, season: int, horizon: int) -> np.ndarray:
     return np.maximum(0.0, 0.5 * (base + slope * ahead + best[1]) + seasonal[ahead % season])
 
 
+def decomposed(y: np.ndarray, seasons: tuple[int, ...], rounds: int = 2) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """y without its seasonal parts, and each of these by place in the season. Seasons are taken out from the shortest, several
+    times over: what is left of y beside the other seasons, less its moving mean over one season, averaged by place."""
+    parts = {m: np.zeros(m) for m in seasons if len(y) >= 2 * m}
+    t = np.arange(len(y))
+    for _ in range(rounds if len(parts) > 1 else 1):
+        for m in sorted(parts):
+            rest = y - sum((v[t % k] for k, v in parts.items() if k != m), np.zeros(len(y)))
+            weights = np.ones(m + 1 - m % 2)
+            if m % 2 == 0:
+                weights[[0, -1]] = 0.5
+            reach = len(weights) // 2
+            trend = np.convolve(rest, weights / weights.sum(), "valid")
+            off = rest[reach : len(rest) - reach] - trend
+            place = t[reach : len(rest) - reach] % m
+            means = np.bincount(place, off, m) / np.maximum(np.bincount(place, minlength=m), 1)
+            parts[m] = means - means.mean()
+    return y - sum((v[t % k] for k, v in parts.items()), np.zeros(len(y))), parts
+
+
+def smoothed(y: np.ndarray, horizon: int) -> np.ndarray:
+    """Exponential smoothing with additive errors: without trend, with one, or with a damped one, whichever has the least
+    corrected information criterion over a lattice of smoothing parameters. All points of the lattice run at once."""
+    n, a = len(y), np.linspace(0.05, 0.95, 10)
+    forms = [(a, np.zeros(10), np.zeros(10), 2)]
+    for phi, count in ((1.0, 4), (0.9, 5), (0.98, 5)):
+        alpha, beta = (x.ravel() for x in np.meshgrid(a, np.linspace(0.02, 0.5, 6)))
+        forms.append((alpha, beta, np.full(len(alpha), phi), count))
+    alpha, beta, phi, count = (np.concatenate([np.broadcast_to(f[i], len(f[0])) for f in forms]) for i in range(4))
+    level, trend, error = np.full(len(alpha), y[0]), np.where(phi > 0, (y[-1] - y[0]) / max(n - 1, 1), 0.0), np.zeros(len(alpha))
+    for v in y[1:]:
+        ahead = level + phi * trend
+        e = v - ahead
+        error += e * e
+        level, trend = ahead + alpha * e, phi * trend + alpha * beta * e
+    k = count + 1.0
+    criterion = n * np.log(np.maximum(error, 1e-12) / n) + 2 * k + 2 * k * (k + 1) / max(n - k.max() - 1, 1)
+    best = int(np.argmin(criterion))
+    steps = np.cumsum(phi[best] ** np.arange(1, horizon + 1)) if phi[best] else np.zeros(horizon)
+    return level[best] + trend[best] * steps
+
+
+def mstl_ets_forecast(y: np.ndarray, season: int, horizon: int, seasons: tuple[int, ...] = (24,)) -> np.ndarray:
+    """Several seasons taken out, the rest smoothed exponentially, the seasons put back; not below 0. season is the longest of them."""
+    rest, parts = decomposed(y, (*seasons, season))
+    ahead = np.arange(len(y), len(y) + horizon)
+    return np.maximum(0.0, smoothed(rest, horizon) + sum((v[ahead % k] for k, v in parts.items()), np.zeros(horizon)))
+
+
 def per_series(grid: DataFrame, season: int, horizon: int, method=theta_forecast, context: int | None = None) -> DataFrame:
     """(series_id, origin, ts, y_hat): a forecast of every hour of the horizon from a regular grid (series_id, origin, ts, y), of which
     the last context hours are used, or all. method: any function of values, season and horizon (a pretrained model may be one,

@@ -913,6 +913,14 @@ def regular_grid_theta(spark, d):
     return made.join(og.targets(panel, grid, H.horizon).select("series_id", "origin", "ts"), ["series_id", "origin", "ts"])
 
 
+@query
+def regular_grid_mstl(spark, d):
+    """Two seasons and exponential smoothing, in place of the theta method."""
+    panel, grid = fx.hourly_pair(spark, d)
+    made = models.per_series(features.regular_grid(panel, grid), H.season, H.horizon, models.mstl_ets_forecast)
+    return made.join(og.targets(panel, grid, H.horizon).select("series_id", "origin", "ts"), ["series_id", "origin", "ts"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

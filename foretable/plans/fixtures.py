@@ -12,6 +12,7 @@ from foretable.functions.measures import break_scores
 from foretable.functions.temporal import day
 from foretable.operators.origins import daily_grid, hourly_grid
 from foretable.protocol import Daily, Grid, Hourly
+from foretable.sources.files import stored
 from foretable.sources.panels import SeriesRule, classify, hourly_panel
 
 HOURLY = Hourly(min_train_days=14, min_series_days=14)
@@ -43,12 +44,13 @@ def daily(spark: SparkSession, sf_dir: str, min_count: int = 3) -> DataFrame:
 
 
 def hourly_pair(spark: SparkSession, sf_dir: str, p: Hourly = HOURLY) -> tuple[DataFrame, Grid]:
-    panel = hourly(spark, sf_dir, p)
+    """The panel, made once and stored, as forecasts, scales and actuals all read it; and its grid of origins."""
+    panel = stored(hourly(spark, sf_dir, p), "hourly")
     return panel, hourly_grid(panel, p)
 
 
 def daily_pair(spark: SparkSession, sf_dir: str, min_count: int = 3) -> tuple[DataFrame, Grid]:
-    panel = daily(spark, sf_dir, min_count)
+    panel = stored(daily(spark, sf_dir, min_count), "daily")
     return panel, daily_grid(panel, DAILY)
 
 

@@ -232,6 +232,19 @@ def test_trees_and_theta(spark):
     assert models.theta_forecast(y, 3, 3) == pytest.approx([10, 15, 5], abs=1.0)
 
 
+def test_seasons_and_smoothing():
+    t = np.arange(24 * 7 * 5)
+    day, week = 3 * np.sin(2 * np.pi * t / 24), np.where(t % 168 >= 120, 4.0, 0.0)
+    y = 50 + 0.01 * t + day + week
+    rest, parts = models.decomposed(y, (24, 168))
+    assert set(parts) == {24, 168} and np.abs(rest - rest.mean() - 0.01 * (t - t.mean())).max() < 1.2
+    ahead = np.arange(len(t), len(t) + 168)
+    want = 50 + 0.01 * ahead + 3 * np.sin(2 * np.pi * ahead / 24) + np.where(ahead % 168 >= 120, 4.0, 0.0)
+    assert np.abs(models.mstl_ets_forecast(y, 168, 168) - want).mean() < 1.0
+    assert models.smoothed(np.full(40, 7.0), 3) == pytest.approx([7, 7, 7]) and models.smoothed(np.arange(60.0), 2) == pytest.approx([60, 61], abs=0.2)
+    assert len(models.mstl_ets_forecast(np.ones(30), 168, 5)) == 5  # shorter than two weeks: no weekly part
+
+
 def test_stream_gives_the_batch_panel(spark, tmp_path):
     rows = [("click-1", DAY0 + dt.timedelta(minutes=13 * i), float(i)) for i in range(40)] + [("click-1", DAY0 + dt.timedelta(days=2), 0.0)]
     frame = spark.createDataFrame(rows, "sid string, at timestamp_ntz, v double")
