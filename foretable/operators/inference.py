@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foretable.sources.packing import ship
+
 
 def t_two_sided(t: float, df: float) -> float:
     """The probability of a value of Student's t at least as far from 0, by the regularised incomplete beta function."""
@@ -59,6 +61,7 @@ def dm_statistic(d: np.ndarray, lag: int) -> tuple[float | None, float | None]:
 def _by_group(diffs: DataFrame, by: list[str], schema: str, work: Callable[[tuple, np.ndarray], dict]) -> DataFrame:
     """work on each group's day means in the order of days. A group has as many rows as there are origin days."""
     types = dict(diffs.dtypes)
+    ship(diffs.sparkSession)
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = work(key, frame.sort_values("day")["d"].to_numpy(float))

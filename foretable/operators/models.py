@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from foretable.functions.temporal import at
 from foretable.functions.temporal import day as day_of
 from foretable.sources.files import stored
+from foretable.sources.packing import ship
 
 HOURLY_NUMBERS = ("lead", "hour", "dow", "is_weekend", "month", "lag168", "lag336", "lag504", "lag672", "sdhr4", "last_y", "hrs_since_last", "r24h", "r7d", "r28d")
 DAILY_NUMBERS = ("lead", "dow", "is_weekend", "month", "r7", "r28", "dow8w", "lag364", "ann28")
@@ -189,6 +190,7 @@ def per_series(grid: DataFrame, season: int, horizon: int, method=theta_forecast
         ahead = method(frame["y"].to_numpy(float), season, horizon)
         return pd.DataFrame({"series_id": key[0], "origin": key[1], "ts": [key[1] + pd.Timedelta(hours=i) for i in range(horizon)], "y_hat": ahead})
 
+    ship(grid.sparkSession)
     rows = grid if context is None else truncated_context(grid, context)
     return rows.groupBy("series_id", "origin").applyInPandas(run, "series_id string, origin timestamp_ntz, ts timestamp_ntz, y_hat double")
 
