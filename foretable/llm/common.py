@@ -6,12 +6,12 @@ import re
 import string
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foretable.sources.packing import ship as ship
+
 #: The white space of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,17 +92,3 @@ def sized(keys: DataFrame, few: int = FEW) -> DataFrame:
     """keys, a stored table of short rows, as the side of a join with texts: broadcast where it has at most so many rows, which
     are counted first; else both sides of the join are exchanged."""
     return F.broadcast(keys) if keys.limit(few + 1).count() <= few else keys.hint("shuffle_merge")
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package, for operators whose tasks run its Python code. Once for each application."""
-    sc = spark.sparkContext
-    if getattr(sc, "foretable_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    bundle = Path(tempfile.mkdtemp(prefix="foretable-")) / "foretable.zip"
-    with zipfile.ZipFile(bundle, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(bundle))
-    sc.foretable_shipped = True
