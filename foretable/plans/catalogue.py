@@ -467,37 +467,41 @@ def month_weather(spark, d):
     return production.month_weather(fx.weather(spark, d), fx.daily_pair(spark, d)[1])
 
 
+def _layer_inputs(spark, d):
+    """Daily means, readings and weather, each made once and stored, and the grid."""
+    return files.stored(fx.event_days(spark, d), "days"), files.stored(fx.readings(spark, d), "readings"), files.stored(fx.weather(spark, d), "weather"), _days_grid(spark, d)
+
+
 @query
 def l1_training_frame(spark, d):
     """The 28 features and the target that each origin's first layer learns from."""
-    return production.training_frame(fx.event_days(spark, d), fx.readings(spark, d), fx.weather(spark, d), _days_grid(spark, d))
+    return production.training_frame(*_layer_inputs(spark, d))
 
 
-def _layer_goals(spark, d):
+def _layer_goals(spark, d, grid):
     """Panel hours once for each origin day with them in its daily horizon: (k, origin, series_id, park, date, ts, hour)."""
-    goal = og.targets(fx.hourly(spark, d), _days_grid(spark, d), 24 * D.horizon)
+    goal = og.targets(fx.hourly(spark, d), grid, 24 * D.horizon)
     return goal.select("k", "origin", "series_id", "park", temporal.day(F.col("ts")).alias("date"), "ts", F.hour("ts").alias("hour"))
 
 
-def _past_grid(spark, d):
-    parks = fx.event_days(spark, d).select("series_id", "park").distinct()
-    return production.observed_grid(fx.readings(spark, d), _days_grid(spark, d), 30).join(parks, "series_id")
-
-
-def _framed(spark, d, rows):
-    return production.goal_frame(rows, fx.event_days(spark, d), fx.readings(spark, d), fx.weather(spark, d), _days_grid(spark, d))
+def _past_grid(days, readings, grid):
+    return production.observed_grid(readings, grid, 30).join(days.select("series_id", "park").distinct(), "series_id")
 
 
 @query
 def l1_goal_frame(spark, d):
     """The features of what each origin forecasts."""
-    return _framed(spark, d, _layer_goals(spark, d)).select("k", "series_id", "ts", *production.FEATURES)
+    inputs = _layer_inputs(spark, d)
+    return production.goal_frame(_layer_goals(spark, d, inputs[-1]), *inputs).select("k", "series_id", "ts", *production.FEATURES)
 
 
 def _pattern_layers(spark, d):
     """All layers over the hour's mean as the first one, of all origins."""
-    first = lambda rows: _framed(spark, d, rows).withColumn("l1", calibrate.clipped(F.col("baseline")))
-    return production.layered(fx.readings(spark, d), first(_past_grid(spark, d)).select("k", "series_id", "date", "hour", "l1"), first(_layer_goals(spark, d)), _days_grid(spark, d))
+    days, readings, _, grid = _layer_inputs(spark, d)
+    by_hour, known = files.stored(production.patterns(readings, grid)[0], "hours"), production.codes(days, grid, "series_id")
+    first = lambda rows: rows.join(known.select("k", "series_id"), ["k", "series_id"], "left_semi").join(by_hour, ["k", "series_id", "hour"], "left").withColumn("l1", calibrate.clipped(F.coalesce("hour_mean", F.lit(production.NO_MEAN))))
+    past = files.stored(first(_past_grid(days, readings, grid)).select("k", "series_id", "date", "hour", "l1"), "past")
+    return production.layered(readings, past, first(_layer_goals(spark, d, grid)), grid)
 
 
 @query
@@ -515,13 +519,14 @@ def production_daily(spark, d):
 @query
 def production_trees(spark, d):
     """The layers over trees for the mean that each origin day learns from its own training frame (80 % of it)."""
+    inputs = _layer_inputs(spark, d)
+    days, readings, _, grid = inputs
     train, goal, past = (files.stored(x, "frame") for x in (
-        production.training_frame(fx.event_days(spark, d), fx.readings(spark, d), fx.weather(spark, d), _days_grid(spark, d)),
-        _framed(spark, d, _layer_goals(spark, d)), _framed(spark, d, _past_grid(spark, d)),
+        production.training_frame(*inputs), production.goal_frame(_layer_goals(spark, d, grid), *inputs), production.goal_frame(_past_grid(days, readings, grid), *inputs),
     ))
     gather = models.gathered(production.FEATURES)
     firsts = {"goal": None, "past": None}
-    for k in range(_days_grid(spark, d).count):
+    for k in range(grid.count):
         rows = gather(train.where(F.col("k") == k)).withColumnRenamed("target", "y").where(F.pmod(F.xxhash64("series_id", "date", "hour"), F.lit(5)) > 0)
         if rows.isEmpty():
             continue
@@ -530,8 +535,8 @@ def production_trees(spark, d):
             made = models.predicted(model, gather(frame.where(F.col("k") == k))).withColumn("l1", calibrate.clipped(F.col("y_hat"))).drop("y_hat", "features")
             firsts[name] = made if firsts[name] is None else firsts[name].unionByName(made)
     none = lambda frame: frame.withColumn("l1", F.lit(0.0)).limit(0)
-    goal_l1, past_l1 = (none(f) if firsts[n] is None else firsts[n] for n, f in (("goal", goal), ("past", past)))
-    out = production.layered(fx.readings(spark, d), past_l1.select("k", "series_id", "date", "hour", "l1"), goal_l1, _days_grid(spark, d))
+    goal_l1, past_l1 = (files.stored(none(f) if firsts[n] is None else firsts[n], "first") for n, f in (("goal", goal), ("past", past)))
+    out = production.layered(readings, past_l1.select("k", "series_id", "date", "hour", "l1"), goal_l1, grid)
     return out.select("k", "series_id", "ts", "l1", "l2", "l3", "y_hat")
 
 
