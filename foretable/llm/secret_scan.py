@@ -124,8 +124,9 @@ def trigram_query(pattern: str) -> list[set[frozenset[str]]]:
 
 def held_trigrams(text: Column, trigrams: list[str]) -> Column:
     """Those of the trigrams given that lower-cased text holds: a document's entries of the index."""
-    low = F.lower(text)
-    return F.filter(F.array(*map(F.lit, trigrams)).cast("array<string>"), lambda t: F.contains(low, t))
+    some = F.array(*map(F.lit, trigrams)).cast("array<string>")
+    # the lower-cased text is a variable of the outer function, so that it is made once and not for each trigram
+    return F.transform(F.array(F.lower(text)), lambda low: F.filter(some, lambda t: F.contains(low, t)))[0]
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
