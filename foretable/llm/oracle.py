@@ -146,3 +146,18 @@ k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' O
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)
 """
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13_LEXICAL_SEARCH = f"""
+WITH i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '{_TERM}')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS uses FROM i GROUP BY ALL),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_TERM}') AS ws FROM documents),
+c AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS length FROM d),
+h AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM h, c GROUP BY term),
+p AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // length))) AS score FROM h JOIN w USING (term), c),
+s AS (SELECT item_id, doc_id, sum(score * uses)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL HAVING sum(score * uses) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM s QUALIFY rank <= 20
+"""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from foretable.llm import oracle
 from foretable.llm.common import table
 from foretable.llm.exact_dedup import exact_dedup
+from foretable.llm.language_id import language_id
+from foretable.llm.lexical_search import lexical_search
 from foretable.llm.line_dedup import line_dedup
 from foretable.llm.mixing import mix_sources
 from foretable.llm.near_dedup import near_dedup
@@ -19,6 +21,7 @@ from foretable.llm.secret_scan import BASE, secret_scan, written
 from foretable.llm.substring_dedup import substring_dedup
 from foretable.llm.toxicity import held_out, toxicity
 from foretable.llm.url_filter import url_filter
+from foretable.llm.whitening import whiten
 
 #: Production parameters of the mixture: no source is repeated more than this.
 MAX_REPETITION = 2.0
@@ -74,8 +77,21 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_toxicity, op4_source_mixing, op5_secret_scan, op6_line_dedup, op7_near_dedup, op8_substring_dedup, op9_url_filter, op10_piece_encoding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_toxicity, op4_source_mixing, op5_secret_scan, op6_line_dedup, op7_near_dedup, op8_substring_dedup, op9_url_filter, op10_piece_encoding, op11_embedding_whitening, op12_language_id, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
