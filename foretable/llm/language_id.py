@@ -42,7 +42,7 @@ ORDER = 4
 #: Bounds of what is learned from, for each language, and of the languages.
 FIT_ROWS, FIT_BYTES, MOST_LANGUAGES = 2_000, 4_000_000, 200
 #: A context is kept from so many uses, and in all there are so many costs (contexts x languages x bytes).
-MIN_USES, CELLS = 24, 5_000_000
+MIN_USES, CELLS = 24, 4_000_000
 STEP = 1 << 18
 #: UTF-8 never has this byte: it stands between texts.
 BORDER = 0xFF
@@ -142,12 +142,12 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns = len(alphabet) + 2
     kept = counts.groupBy("depth", "context").agg(F.sum("n").alias("uses")).where((F.col("uses") >= min_uses) | (F.col("depth") == 0))
     kept = kept.orderBy(F.desc("uses"), "depth", "context").limit(max(1, cells // (len(languages) * columns))).select("depth", "context")
-    table = counts.join(F.broadcast(kept), ["depth", "context"]).toPandas()
+    place = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
+    table = counts.join(F.broadcast(kept), ["depth", "context"]).select(F.expr("shiftleft(bigint(depth), 56) | context").alias("key"), "byte", place.alias("lang"), "n").toArrow()
     symbols = np.full(256, columns - 2, np.int64)
     symbols[alphabet] = np.arange(len(alphabet))
     symbols[BORDER] = columns - 1
-    key = table.depth.to_numpy(np.int64) << 56 | table.context.to_numpy(np.int64)
-    contexts, at = np.unique(key, return_inverse=True)
+    contexts, at = np.unique(table.column("key").to_numpy(), return_inverse=True)
     depth, bytes_of = contexts >> 56, contexts & ((1 << 56) - 1)
     last = np.where(depth > 0, bytes_of >> (8 * np.maximum(depth - 1, 0)), 0)
     parent = np.searchsorted(contexts, np.maximum(depth - 1, 0) << 56 | np.where(depth > 0, bytes_of & ((1 << (8 * np.maximum(depth - 1, 0))) - 1), 0))
@@ -155,8 +155,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     child = np.repeat(np.arange(n, 2 * n, dtype=np.int32)[None, :], 2, axis=0).reshape(-1)[:, None].repeat(columns, axis=1) * columns
     deeper = np.flatnonzero(depth > 0)
     child[parent[deeper], symbols[last[deeper]]] = deeper * columns
-    number = {x: i for i, x in enumerate(languages)}
-    lang, byte, uses = table.lang.map(number).to_numpy(), symbols[table.byte.to_numpy(np.int64)], table.n.to_numpy(np.int64)
+    lang, byte, uses = table.column("lang").to_numpy(), symbols[table.column("byte").to_numpy()], table.column("n").to_numpy()
     bits = np.empty((len(languages), n * columns))
     for i in range(len(languages)):
         own = np.zeros((n, columns), np.int64)
