@@ -1,112 +1,19 @@
-"""Fitted models: boosted trees for the mean, the median and quantiles, and per-series decomposition.
-
-Trees are grown by MLlib over the whole sample matrix, as distributed jobs; only the rounds of boosting are a loop. They
-have no missing values, so that every feature comes with a flag that says whether it was there. Published figures of other boosting
-libraries (leaf-wise growth, own treatment of gaps) are met in kind, not digit by digit.
-"""
+"""Fitted models: which samples each evaluation day's model learns from (the trees are in boosting), and per-series decomposition."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretable.functions.temporal import at
 from foretable.functions.temporal import day as day_of
-from foretable.sources.files import stored
+from foretable.protocol import Grid
 from foretable.sources.packing import ship
 
 HOURLY_NUMBERS = ("lead", "hour", "dow", "is_weekend", "month", "lag168", "lag336", "lag504", "lag672", "sdhr4", "last_y", "hrs_since_last", "r24h", "r7d", "r28d")
 DAILY_NUMBERS = ("lead", "dow", "is_weekend", "month", "r7", "r28", "dow8w", "lag364", "ann28")
 CATEGORIES = ("series_id", "park", "regime")
-#: Rounds of boosting after which what they add up to is stored.
-STORED_EVERY = 5
-
-
-def with_gaps_flagged(samples: DataFrame, numbers: tuple[str, ...]) -> DataFrame:
-    flags = {f"no_{c}": F.col(c).isNull().cast("double") for c in numbers}
-    return samples.withColumns(flags).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in numbers})
-
-
-def encoder(samples: DataFrame, numbers: tuple[str, ...], categories: tuple[str, ...] = CATEGORIES):
-    """Fitted on all samples, so that later fits on parts of them share one coding."""
-    index = StringIndexer(inputCols=list(categories), outputCols=[f"{c}_ix" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc")
-    gather = VectorAssembler(inputCols=[*numbers, *(f"no_{c}" for c in numbers), *(f"{c}_ix" for c in categories)], outputCol="features")
-    return Pipeline(stages=[index, gather]).fit(with_gaps_flagged(samples, numbers))
-
-
-def encoded(samples: DataFrame, coding, numbers: tuple[str, ...]) -> DataFrame:
-    return coding.transform(with_gaps_flagged(samples, numbers))
-
-
-def gathered(columns: tuple[str, ...]):
-    """A function that adds the vector features, of columns without gaps, to a frame."""
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform
-
-
-def importance(model, numbers: tuple[str, ...], categories: tuple[str, ...] = CATEGORIES) -> list[tuple[str, float]]:
-    """(column, share) of a model over encoded samples, the largest first; a gap's flag counts for its column."""
-    owners, total = [*numbers, *numbers, *categories], dict.fromkeys([*numbers, *categories], 0.0)
-    for name, share in zip(owners, model.featureImportances.toArray(), strict=True):
-        total[name] += float(share)
-    return sorted(total.items(), key=lambda x: (-x[1], x[0]))
-
-
-def boosted_trees(train: DataFrame, loss: str = "absolute", trees: int = 30, depth: int = 5, step: float = 0.1, seed: int = 0):
-    """loss: absolute (the median) or squared (the mean). train: encoded, with y."""
-    return GBTRegressor(featuresCol="features", labelCol="y", lossType=loss, maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.9, seed=seed, maxBins=64).fit(train)
-
-
-def predicted(model, rows: DataFrame) -> DataFrame:
-    """rows with y_hat, not below 0."""
-    out = model.transform(rows)
-    return out.withColumn("y_hat", F.greatest(F.lit(0.0), F.col("prediction"))).drop("prediction")
-
-
-@dataclass
-class QuantileTrees:
-    """Boosting for one quantile: each round grows a tree on the signs of what is left, and gives each leaf the quantile of
-    its rows' residuals, shrunk."""
-
-    q: float
-    start: float
-    rounds: list
-
-    def predict(self, rows: DataFrame) -> DataFrame:
-        out = rows.withColumn("__f", F.lit(self.start))
-        for i, (tree, values) in enumerate(self.rounds):
-            out = stored(out, "boosted") if i and i % STORED_EVERY == 0 else out
-            out = tree.transform(out).drop("prediction")
-            leaf = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v))))
-            out = out.withColumn("__f", F.col("__f") + F.coalesce(F.try_element_at(leaf, F.col("__leaf")), F.lit(0.0))).drop("__leaf")
-        return out.withColumnRenamed("__f", f"p{round(self.q * 100)}")
-
-
-def quantile_trees(train: DataFrame, q: float, rounds: int = 5, depth: int = 4, step: float = 0.5, seed: int = 0) -> QuantileTrees:
-    """train: encoded, with y. A round is two jobs: the tree, and one aggregation by leaf (at most 2 ** depth rows to the driver). Every
-    few rounds the sums so far are stored, so that the plan stays as short however many rounds there are."""
-    start = float(train.agg(F.percentile_approx("y", q, 10_000)).first()[0])
-    grown: list = []
-    rows = train.select("features", "y").withColumn("__f", F.lit(start))
-    for i in range(rounds):
-        signed = rows.withColumn("__g", F.when(F.col("y") > F.col("__f"), F.lit(q)).otherwise(F.lit(q - 1.0)))
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol="__g", maxDepth=depth, seed=seed + i, maxBins=64, leafCol="__leaf").fit(signed)
-        placed = tree.transform(rows).drop("prediction")
-        values = {r["__leaf"]: step * float(r["v"]) for r in placed.groupBy("__leaf").agg(F.percentile_approx(F.col("y") - F.col("__f"), q, 10_000).alias("v")).collect()}
-        leaf = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v))))
-        rows = placed.withColumn("__f", F.col("__f") + F.coalesce(F.try_element_at(leaf, F.col("__leaf")), F.lit(0.0))).drop("__leaf")
-        rows = stored(rows.select("features", "y", "__f"), "boosting") if i % STORED_EVERY == STORED_EVERY - 1 else rows
-        grown.append((tree, values))
-    return QuantileTrees(q, start, grown)
-
-
 def theta_forecast(y: np.ndarray, season: int, horizon: int) -> np.ndarray:
     """The standard theta method on seasonally adjusted values: a line, and simple exponential smoothing of the doubled
     curvature, in equal parts. The seasonal part is the mean by place in the season."""
@@ -195,8 +102,21 @@ def per_series(grid: DataFrame, season: int, horizon: int, method=theta_forecast
     return rows.groupBy("series_id", "origin").applyInPandas(run, "series_id string, origin timestamp_ntz, ts timestamp_ntz, y_hat double")
 
 
-def refits(samples: DataFrame, days: list, horizon_days: int) -> Iterator[tuple[object, DataFrame, DataFrame]]:
-    """For each evaluation day: the day, the samples whose whole horizon was known by then, and those to forecast."""
-    for day in days:
-        limit = at(day)
-        yield day, samples.where(F.col("origin") + F.make_dt_interval(F.lit(horizon_days)) <= limit), samples.where(day_of(F.col("origin")) == day_of(limit))
+def later_days(rows: DataFrame, grid: Grid, known: Column) -> DataFrame:
+    """rows once for each evaluation day (one of each week of the grid) from the date known on: adds day. The weeks are found by
+    arithmetic."""
+    first = F.to_date(F.lit(grid.first.date().isoformat()))
+    week = F.greatest(F.ceil(F.datediff(known, first) / grid.spacing_days).cast("int"), F.lit(0))
+    weeks = F.when(week < grid.weeks, F.sequence(week, F.lit(max(grid.weeks - 1, 0))))
+    days = F.transform(weeks, lambda w: F.date_add(first, w * grid.spacing_days))
+    return rows.withColumn("day", F.explode(days)) if grid.weeks else rows.withColumn("day", first).limit(0)
+
+
+def known_hourly(horizon_days: int) -> Column:
+    """The date from which on a sample's whole horizon has passed at midnight."""
+    return F.date_add(day_of(F.col("origin")), horizon_days + (F.hour("origin") > 0).cast("int"))
+
+
+def named(rows: DataFrame, *parts: str | Column) -> DataFrame:
+    """rows with model, made of those columns."""
+    return rows.withColumn("model", F.concat_ws("|", *parts))

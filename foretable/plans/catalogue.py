@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretable.functions import measures, temporal
-from foretable.operators import baselines, calibrate, experiments, features, inference, models, production, score
+from foretable.operators import baselines, boosting, calibrate, experiments, features, inference, models, production, score
 from foretable.operators import origins as og
 from foretable.plans import fixtures as fx
 from foretable.plans import sql
@@ -524,18 +524,10 @@ def production_trees(spark, d):
     train, goal, past = (files.stored(x, "frame") for x in (
         production.training_frame(*inputs), production.goal_frame(_layer_goals(spark, d, grid), *inputs), production.goal_frame(_past_grid(days, readings, grid), *inputs),
     ))
-    gather = models.gathered(production.FEATURES)
-    firsts = {"goal": None, "past": None}
-    for k in range(grid.count):
-        rows = gather(train.where(F.col("k") == k)).withColumnRenamed("target", "y").where(F.pmod(F.xxhash64("series_id", "date", "hour"), F.lit(5)) > 0)
-        if rows.isEmpty():
-            continue
-        model = models.boosted_trees(rows, "squared", depth=8, step=0.1)
-        for name, frame in (("goal", goal), ("past", past)):
-            made = models.predicted(model, gather(frame.where(F.col("k") == k))).withColumn("l1", calibrate.clipped(F.col("y_hat"))).drop("y_hat", "features")
-            firsts[name] = made if firsts[name] is None else firsts[name].unionByName(made)
-    none = lambda frame: frame.withColumn("l1", F.lit(0.0)).limit(0)
-    goal_l1, past_l1 = (files.stored(none(f) if firsts[n] is None else firsts[n], "first") for n, f in (("goal", goal), ("past", past)))
+    numbers = tuple(c for c in production.FEATURES if c not in ("series_code", "park_code"))
+    learn = train.where(F.pmod(F.xxhash64("series_id", "date", "hour"), F.lit(5)) > 0).withColumnRenamed("target", "y").withColumns({"q": F.lit(None).cast("double"), "model": F.col("k").cast("string")})
+    forest = boosting.fit(learn, (*numbers, "series_code", "park_code"), (), TREES)
+    goal_l1, past_l1 = (files.stored(forest.predict(f.withColumn("model", F.col("k").cast("string"))).withColumn("l1", calibrate.clipped(F.col("y_hat"))).drop("y_hat", "model"), "first") for f in (goal, past))
     out = production.layered(readings, past_l1.select("k", "series_id", "date", "hour", "l1"), goal_l1, grid)
     return out.select("k", "series_id", "ts", "l1", "l2", "l3", "y_hat")
 
@@ -653,59 +645,61 @@ def _daily_diffs(spark, d):
     return score.day_differences(_daily_wide(spark, d), *DAILY_METHODS, ["bucket"])
 
 
-def _refitted(splits, forecast: Callable[[DataFrame, DataFrame], DataFrame], none: DataFrame) -> DataFrame:
-    """The forecasts of all evaluation days, each by a fit of its own; a day that nothing is known for has none. splits: (day, train, goal)."""
-    out = none
-    for _, train, goal in splits:
-        if not train.isEmpty():
-            out = out.unionByName(forecast(train, goal).select(*none.columns))
-    return out
-
-
 def _days(grid) -> list:
     return sorted({t.replace(hour=0) for t in grid.times()})
 
 
-def _hourly_splits(spark, d):
-    """Encoded samples of all pseudo-origins, and of each origin day those to learn from and those to forecast."""
-    panel, grid = fx.hourly_pair(spark, d)
-    rows = features.hourly_samples(panel, og.hourly_grid(panel, H, min_train_days=7), H)
-    ready = models.encoded(rows, models.encoder(rows, models.HOURLY_NUMBERS), models.HOURLY_NUMBERS)
-    ready = files.stored(ready, "encoded")
-    return ready, models.refits(ready, _days(grid), H.horizon // 24)
+#: The trees of all queries here.
+TREES = boosting.Growth()
+
+
+def _hourly_samples(panel, base=None):
+    """Samples of all pseudo-origins: a week of history is enough for one."""
+    return features.hourly_samples(panel if base is None else base, og.hourly_grid(panel, H, min_train_days=7), H)
+
+
+def _hourly_models(rows, grid, *more):
+    """What each evaluation day's model learns from, and what it forecasts: rows with model."""
+    train = models.later_days(rows, grid, models.known_hourly(H.horizon // 24))
+    return models.named(train, "day", *more), models.named(rows, temporal.day(F.col("origin")), *more)
+
+
+def _daily_models(rows, grid, *more):
+    train = models.later_days(rows, grid, F.date_add("date", 1))
+    return models.named(train, "day", *more), models.named(rows, "origin", *more)
 
 
 @query
 def gbt_l1(spark, d):
-    ready, splits = _hourly_splits(spark, d)
-    none = ready.limit(0).select("series_id", "origin", "ts", "y", F.lit(0.0).alias("y_hat"))
-    return _refitted(splits, lambda train, goal: models.predicted(models.boosted_trees(train), goal), none)
+    """Hourly forecasts of every origin by trees for the median that each origin day learned from the samples known by then."""
+    panel, grid = fx.hourly_pair(spark, d)
+    train, goal = _hourly_models(files.stored(_hourly_samples(panel), "samples"), grid)
+    made = boosting.fit(train.withColumn("q", F.lit(0.5)), models.HOURLY_NUMBERS, models.CATEGORIES, TREES).predict(goal)
+    return made.select("series_id", "origin", "ts", "y", "y_hat")
 
 
 @query
 def gbt_squared(spark, d):
-    """Daily samples: trees for the mean, on the spliced and calibrated panel, fitted for each origin on the days before it."""
-    panel, grid = fx.daily_pair(spark, d)
-    panel = calibrate.splice_calibrated(panel, calibrate.level_ratio(panel, grid).where("k = 0"))
-    rows = features.daily_samples(panel, grid, D)
-    ready = models.encoded(rows, models.encoder(rows, models.DAILY_NUMBERS), models.DAILY_NUMBERS)
-    ready = files.stored(ready, "encoded")
-    splits = ((day, ready.where(F.col("date") < temporal.day(temporal.at(day))), ready.where(F.col("origin") == temporal.day(temporal.at(day)))) for day in _days(grid))
-    none = ready.limit(0).select("series_id", "origin", "date", "y", F.lit(0.0).alias("y_hat"))
-    return _refitted(splits, lambda train, goal: models.predicted(models.boosted_trees(train, "squared"), goal), none)
+    """Daily forecasts of every origin by trees for the mean, on the spliced and calibrated panel, over origins that go back through all of it."""
+    samples = experiments.grain_samples(*fx.daily_pair(spark, d), D).where("condition = 'splice_cal'")
+    train, goal = _daily_models(files.stored(samples, "samples"), fx.daily_pair(spark, d)[1])
+    made = boosting.fit(train.withColumn("q", F.lit(None)), models.DAILY_NUMBERS, models.CATEGORIES, TREES).predict(goal)
+    return made.select("series_id", "origin", "date", "y", "y_hat")
 
 
 @query
 def gbt_quantile(spark, d):
-    def forecast(train: DataFrame, goal: DataFrame) -> DataFrame:
-        for q in (0.1, 0.5, 0.9):
-            goal = models.quantile_trees(train, q).predict(goal)
-        low, mid, high = measures.in_order([F.col("p10"), F.col("p50"), F.col("p90")])
-        return goal.select("series_id", "origin", "ts", "y", low.alias("p10"), mid.alias("p50"), high.alias("p90"))
+    """Three quantiles of every hourly target, in order, all of them and all origin days in one growth."""
+    panel, grid = fx.hourly_pair(spark, d)
+    rows = files.stored(_hourly_samples(panel), "samples").withColumn("q", F.explode(F.array(*map(F.lit, QUANTILES))))
+    train, goal = _hourly_models(rows, grid, "q")
+    made = boosting.fit(train, models.HOURLY_NUMBERS, models.CATEGORIES, TREES).predict(goal)
+    wide = made.groupBy("series_id", "origin", "ts", "y").agg(*(F.max(F.when(F.col("q") == q, F.col("y_hat"))).alias(f"q{i}") for i, q in enumerate(QUANTILES)))
+    low, mid, high = measures.in_order([F.col(f"q{i}") for i in range(len(QUANTILES))])
+    return wide.select("series_id", "origin", "ts", "y", low.alias("p10"), mid.alias("p50"), high.alias("p90"))
+
 
-    ready, splits = _hourly_splits(spark, d)
-    none = ready.limit(0).select("series_id", "origin", "ts", "y", *(F.lit(0.0).alias(p) for p in ("p10", "p50", "p90")))
-    return _refitted(splits, forecast, none)
+QUANTILES = (0.1, 0.5, 0.9)
 
 
 @query
@@ -783,92 +777,76 @@ def covariate_samples(spark, d):
     return _covariate_samples(spark, d)
 
 
-def _daily_refits(samples, grid, numbers, keep=("series_id", "origin", "date", "y")):
-    """Forecasts of each origin by trees that learned from the dates before it."""
-    ready = files.stored(models.encoded(samples, models.encoder(samples, numbers), numbers), "encoded")
-    splits = ((day, ready.where(F.col("date") < temporal.day(temporal.at(day))), ready.where(F.col("origin") == temporal.day(temporal.at(day)))) for day in _days(grid))
-    return _refitted(splits, lambda train, goal: models.predicted(models.boosted_trees(train, trees=5), goal), ready.limit(0).select(*keep, F.lit(0.0).alias("y_hat")))
-
-
 @query
 def gbt_grain(spark, d):
-    """Forecasts from the last origins of models that learned from the own era, from both as they are, and from both at one level."""
+    """Forecasts of every origin by models that learned from the own era, from both as they are, and from both at one level."""
     panel, grid = fx.daily_pair(spark, d)
-    samples, goal = files.stored(experiments.grain_samples(panel, grid, D), "grain"), experiments.last_origins(grid, 1)
-    out = None
-    for name in ("fine", "splice", "splice_cal"):
-        one = _daily_refits(samples.where(F.col("condition") == name), goal, models.DAILY_NUMBERS).withColumn("condition", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    train, goal = _daily_models(files.stored(experiments.grain_samples(panel, grid, D), "samples"), grid, "condition")
+    made = boosting.fit(train.withColumn("q", F.lit(0.5)), models.DAILY_NUMBERS, models.CATEGORIES, TREES).predict(goal)
+    return made.select("condition", "series_id", "origin", "date", "y", "y_hat")
+
+
+FEATURE_SETS = {
+    "base": (), "school": fx.SCHOOL, "events": fx.EVENTS, "weather": fx.WEATHER, "all": fx.SCHOOL + fx.EVENTS + fx.WEATHER, "no_recency": (),
+}
 
 
 @query
 def gbt_covariates(spark, d):
-    """Forecasts from the last origins by feature set: the base, without recency, and with each group of covariates and all."""
-    grid, base = experiments.last_origins(fx.daily_pair(spark, d)[1], 1), models.DAILY_NUMBERS
-    sets = {"base": base, "no_recency": tuple(c for c in base if c not in experiments.RECENCY), "school": base + fx.SCHOOL, "events": base + fx.EVENTS, "weather": base + fx.WEATHER, "all": base + fx.SCHOOL + fx.EVENTS + fx.WEATHER}
-    samples, out = files.stored(_covariate_samples(spark, d), "covariates"), None
-    for name, numbers in sets.items():
-        one = _daily_refits(samples, grid, numbers).withColumn("condition", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Forecasts of every origin by feature set: the base, without recency, with each group of covariates, and with all. A set's
+    models have the columns that they may not use empty, so that all sets are one growth."""
+    grid, samples = fx.daily_pair(spark, d)[1], files.stored(_covariate_samples(spark, d), "covariates")
+    every, rows = FEATURE_SETS["all"], None
+    for name, more in FEATURE_SETS.items():
+        hidden = [*(c for c in every if c not in more), *(experiments.RECENCY if name == "no_recency" else ())]
+        one = samples.withColumns({c: F.lit(None).cast("double") for c in hidden} | {"condition": F.lit(name)}).select(*samples.columns, "condition")
+        rows = one if rows is None else rows.unionByName(one)
+    train, goal = _daily_models(rows, grid, "condition")
+    made = boosting.fit(train.withColumn("q", F.lit(0.5)), models.DAILY_NUMBERS + every, models.CATEGORIES, TREES).predict(goal)
+    return made.select("condition", "series_id", "origin", "date", "y", "y_hat")
 
 
 @query
 def gbt_curve(spark, d):
-    """Forecasts from the last origin by window of own data, without and with the coarse era's part."""
+    """Forecasts of every origin by window of own data, without and with the coarse era's part."""
     panel, grid = fx.daily_pair(spark, d)
-    at = grid.count - 1
-    own = files.stored(experiments.curve_samples(panel, grid, D, WINDOWS).where(F.col("k") == at), "curve")
-    coarse = files.stored(experiments.scaled_coarse_samples(panel, grid, D, WINDOWS).where(F.col("k") == at), "coarse")
-    out, names = None, ["series_id", "park", "regime", "origin", "date", "y", *models.DAILY_NUMBERS]
-    for w in WINDOWS:
-        label = f"k{w:02d}" if w else "full"
-        held, more = own.where(F.col("window") == label), coarse.where(F.col("window") == label).select(*names)
-        for aug in (False, True):
-            numbers = models.DAILY_NUMBERS if aug else tuple(c for c in models.DAILY_NUMBERS if c not in ("lag364", "ann28"))
-            train = held.where("part = 'train'").select(*names)
-            train = train.unionByName(more) if aug else train
-            if train.isEmpty():
-                continue
-            coding = models.encoder(train.unionByName(held.select(*names)), numbers)
-            made = models.predicted(models.boosted_trees(models.encoded(train, coding, numbers), trees=5), models.encoded(held.where("part = 'goal'"), coding, numbers))
-            one = made.select(F.lit(f"{label}_{'aug' if aug else 'fine'}").alias("cell"), "series_id", "origin", "date", "y", "y_hat")
-            out = one if out is None else out.unionByName(one)
-    return out
+    own = files.stored(experiments.curve_samples(panel, grid, D, WINDOWS), "curve")
+    coarse = experiments.scaled_coarse_samples(panel, grid, D, WINDOWS)
+    names = ["k", "window", "series_id", "park", "regime", "origin", "date", "y", *models.DAILY_NUMBERS]
+    fine = own.withColumns({c: F.lit(None).cast("double") for c in ("lag364", "ann28")}).withColumn("kind", F.lit("fine"))
+    both = fine.unionByName(own.withColumn("kind", F.lit("aug"))).select(*names, "part", "kind")
+    some = both.where("part = 'train'").select("k", "window").distinct()  # a window without a sample of its own has no model
+    train = both.where("part = 'train'").drop("part").unionByName(coarse.join(F.broadcast(some), ["k", "window"], "left_semi").select(*names, F.lit("aug").alias("kind")))
+    train, goal = (models.named(x, "window", "kind", "k") for x in (train, both.where("part = 'goal'")))
+    made = boosting.fit(train.withColumn("q", F.lit(0.5)), models.DAILY_NUMBERS, models.CATEGORIES, TREES).predict(goal)
+    return made.select(F.concat_ws("_", "window", "kind").alias("cell"), "series_id", "origin", "date", "y", "y_hat")
 
 
 @query
 def gbt_coldstart(spark, d):
-    """Forecasts of new series from the last origin day, by weeks of own data and by whose data is learned from."""
+    """Forecasts of new series from every origin day, by weeks of own data and by whose data is learned from: the series', its park's, or all."""
     panel, grid = fx.hourly_pair(spark, d)
-    days = _days(grid)
-    day = F.lit(days[-1].date())
-    new = files.stored(experiments.coldstart_samples(panel, grid, H, "B", (1, 2, None)).where(F.col("day") == day), "new")
-    rest = features.hourly_samples(panel.where("regime <> 'B'"), og.hourly_grid(panel, H, min_train_days=7), H)
-    rest = rest.where(F.col("origin") + F.make_dt_interval(F.lit(H.horizon // 24)) <= temporal.at(days[-1]))
-    names = ["series_id", "park", "regime", "origin", "ts", "y", *models.HOURLY_NUMBERS]
-    out = None
-    for window in ("k01", "k02", "full"):
-        held = new.where(F.col("window") == window)
-        local = held.where("part = 'train'").select(*names)
-        for scope, train in (("local", local), ("global", local.unionByName(rest.select(*names)))):
-            if train.isEmpty():
-                continue
-            coding = models.encoder(train.unionByName(held.select(*names)), models.HOURLY_NUMBERS)
-            made = models.predicted(models.boosted_trees(models.encoded(train, coding, models.HOURLY_NUMBERS), trees=5), models.encoded(held.where("part = 'goal'"), coding, models.HOURLY_NUMBERS))
-            one = made.select(F.lit(f"{window}_{scope}").alias("cell"), "series_id", "origin", "ts", "y", "y_hat")
-            out = one if out is None else out.unionByName(one)
-    return out
+    new = files.stored(experiments.coldstart_samples(panel, grid, H, "B", COLD_WINDOWS), "new")
+    names = ["day", "window", "series_id", "park", "regime", "origin", "ts", "y", *models.HOURLY_NUMBERS]
+    rest = models.later_days(_hourly_samples(panel, panel.where("regime <> 'B'")), grid, models.known_hourly(H.horizon // 24))
+    some = new.where("part = 'train'").select("day", "window").distinct()
+    scopes = F.explode(F.array(*map(F.lit, ("local_series", "local_park", "global_all"))))
+    mine = new.select(*names, "part", scopes.alias("scope"))
+    train = mine.where("part = 'train'").drop("part").unionByName(rest.join(F.broadcast(some), "day").select(*names, F.lit("global_all").alias("scope")))
+    of = F.when(F.col("scope") == "local_series", F.col("series_id")).otherwise(F.lit(""))
+    train, goal = (models.named(x, "day", "window", "scope", of) for x in (train, mine.where("part = 'goal'")))
+    made = boosting.fit(train.withColumn("q", F.lit(0.5)), models.HOURLY_NUMBERS, models.CATEGORIES, TREES).predict(goal)
+    return made.select(F.concat_ws("_", "window", "scope").alias("cell"), "series_id", "origin", "ts", "y", "y_hat")
+
+
+COLD_WINDOWS = (1, 2, None)
 
 
 @query
 def feature_importance(spark, d):
-    """Each feature's share of what the trees gained, of trees over all hourly samples; a category's or a gap's part counts for its column."""
-    panel, grid = fx.hourly_pair(spark, d)
-    rows = features.hourly_samples(panel, og.hourly_grid(panel, H, min_train_days=7), H)
-    ready = files.stored(models.encoded(rows, models.encoder(rows, models.HOURLY_NUMBERS), models.HOURLY_NUMBERS), "encoded")
-    return spark.createDataFrame(models.importance(models.boosted_trees(ready), models.HOURLY_NUMBERS), "feature string, share double")
+    """Each feature's share of what the splits gained, of trees over all hourly samples."""
+    rows = _hourly_samples(fx.hourly_pair(spark, d)[0]).withColumns({"model": F.lit("all"), "q": F.lit(0.5)})
+    return boosting.fit(rows, models.HOURLY_NUMBERS, models.CATEGORIES, TREES).importance()
 
 
 @query

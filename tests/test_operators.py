@@ -275,29 +275,6 @@ def test_every_real_ratio_stays(spark, monkeypatch):
     assert {r.hour: r.ratio for r in catalogue.queries()["every_hour_ratio"](spark, "").collect()} == pytest.approx(have | {11: have[10]})
 
 
-def test_fitted_models_forecast_every_origin_with_default_rounds(spark, sf_dir, monkeypatch):
-    class Flat:
-        def __init__(self, q):
-            self.q = q
-
-        def predict(self, rows):
-            return rows.withColumn(f"p{round(self.q * 100)}", F.lit(self.q))
-
-    def trees(train, loss="absolute"):  # a number of rounds is not accepted
-        return None
-
-    monkeypatch.setattr(models, "boosted_trees", trees)
-    monkeypatch.setattr(models, "predicted", lambda model, rows: rows.withColumn("y_hat", F.lit(1.0)))
-    monkeypatch.setattr(models, "quantile_trees", lambda train, q: Flat(q))
-    d = sf_dir.replace("sf0.001", "sf0.01")
-    _, grid = fixtures.hourly_pair(spark, d)
-    for name in ("gbt_l1", "gbt_quantile"):
-        assert {r.origin for r in catalogue.queries()[name](spark, d).select("origin").distinct().collect()} == set(grid.times())
-    _, grid = fixtures.daily_pair(spark, d)
-    got = sorted(r.origin for r in catalogue.queries()["gbt_squared"](spark, d).select("origin").distinct().collect())
-    assert got == [t.date() for t in grid.times()[1:]]  # before the first origin no sample is known
-
-
 def test_per_series_methods_see_the_whole_grid(spark):
     rows = spark.range(2100).select(F.lit("a").alias("series_id"), F.lit(DAY0).cast("timestamp_ntz").alias("origin"), temporal.plus_hours(temporal.at(DAY0), -1 - F.col("id").cast("int")).alias("ts"), F.lit(1.0).alias("y"))
     count = lambda y, season, horizon: np.full(horizon, float(len(y)))
