@@ -34,6 +34,7 @@ def _op2() -> str:
 
     langs = ", ".join(f"'{k}'" for k in q.COMMON)
     classes = " UNION ALL ".join(f"SELECT doc_id, lg, n_words, 'c' AS h, {i} AS bin, len(regexp_extract_all(t, '{c.replace(chr(39), chr(39) * 2)}')) AS x FROM w" for i, c in enumerate(q.CLASSES))
+    fixed = ", ".join(f"('{k}', '{h}', {99 if i == len(v) - 1 else i}, {x}::DOUBLE)" for k, both in q.REFERENCES.items() for h, v in zip("cw", both, strict=True) for i, x in enumerate(v))
     common = ", ".join(f"('{k}', {i}, '{w}')" for k, ws in q.COMMON.items() for i, w in enumerate(ws))
     return f"""
 WITH w AS (
@@ -59,10 +60,7 @@ f AS (
          coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 p AS (SELECT *, x / sum(x) OVER (PARTITION BY doc_id, h) AS a FROM bins WHERE n_words >= {q.MIN_WORDS}),
-good AS (SELECT p.* FROM p JOIN f USING (doc_id) WHERE 100 * n_repeat_words <= 20 * f.n_words),
-r0 AS (SELECT lg, h, bin, avg(a) AS b FROM good GROUP BY lg, h, bin),
-js0 AS (SELECT doc_id, h, {_JS} AS d FROM good JOIN r0 USING (lg, h, bin) GROUP BY doc_id, h),
-r AS (SELECT lg, h, bin, sum(a / (1 + (d / {q.UNLIKE}::DOUBLE) ** 2)) / sum(1 / (1 + (d / {q.UNLIKE}::DOUBLE) ** 2)) AS b FROM good JOIN js0 USING (doc_id, h) GROUP BY lg, h, bin),
+r(lg, h, bin, b) AS (VALUES {fixed}),
 js AS (SELECT doc_id, h, round({_JS}, 6) AS d FROM p JOIN r USING (lg, h, bin) GROUP BY doc_id, h)
 SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, c.d AS chars_distance, v.d AS words_distance,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(c.d, 0) <= {q.MAX_CHARS} AND coalesce(v.d, 0) <= {q.MAX_WORDS} + {q.SLACK} / sqrt(greatest(n_words, 1)) AS kept

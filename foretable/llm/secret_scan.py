@@ -1,11 +1,15 @@
 """Scanning texts for secrets through an inverted index of trigrams, in DataFrame operations only.
 
 From the syntax tree of each rule's pattern comes a Boolean query: every match contains, for each stretch of literals,
-all trigrams of one of the stretch's alternatives. The index holds postings (trigram, document) for the trigrams that
-any query names. Intersecting a document's postings with the queries gives candidates, which are then verified with
-the pattern itself; a rule whose pattern forces no trigram (a run of hexadecimal digits) scans every text. Positions of
-all matches come from the lengths of what lies between them. Trigrams are looked up in lower-cased text, which can only
-add candidates.
+all trigrams of one of the stretch's alternatives. The index is a table of postings (trigram, document) for the trigrams that
+any query names: one pass over each lower-cased text reads off, at every place, the trigram that begins there. Lists of
+postings are intersected by document, those of a query's rarest trigrams first, as they are the shortest; that gives
+candidates, which are then verified with the pattern itself. A rule whose pattern forces no trigram (a run of hexadecimal
+digits) scans every text. Lower case can only add candidates.
+
+Positions of matches are running sums of the lengths of matches and of what lies between them. They are added up in
+stretches of STRETCH, and stretches are then moved by the sums before them, so that the work grows with the number of
+matches in a text, however many there are.
 
 Texts are read twice and are not exchanged as long as the candidates are few (common.sized counts them): the first pass
 finds which of the queries' trigrams a text holds, and the spans of the rules that scan fully; the second verifies the
@@ -19,6 +23,7 @@ row's own text. Columns of the input other than id and text are dropped. An empt
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -29,6 +34,8 @@ from foretable.llm.common import Scratch, sized, text_or_empty
 
 #: A stretch of literals is cut where it would have more alternatives than this.
 ALTERNATIVES = 64
+#: Lengths that are added up at a time.
+STRETCH = 128
 
 
 @dataclass(frozen=True)
@@ -123,15 +130,21 @@ def trigram_query(pattern: str) -> list[set[frozenset[str]]]:
 
 
 def held_trigrams(text: Column, trigrams: list[str]) -> Column:
-    """Those of the trigrams given that lower-cased text holds: a document's entries of the index."""
-    some = F.array(*map(F.lit, trigrams)).cast("array<string>")
-    # the lower-cased text is a variable of the outer function, so that it is made once and not for each trigram
-    return F.transform(F.array(F.lower(text)), lambda low: F.filter(some, lambda t: F.contains(low, t)))[0]
+    """Those of the trigrams given that lower-cased text holds: a document's entries of the index. One scan: a look-ahead, so
+    that trigrams may overlap, with one branch for each first character."""
+    first = lambda c: "|".join(re.escape(t[1:]) for t in trigrams if t[0] == c)
+    branches = "|".join(f"{re.escape(c)}(?:{first(c)})" for c in sorted({t[0] for t in trigrams}))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?=({branches}))"), F.lit(1)))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(id, print, rules): the kinds whose query a document's postings meet, for documents that meet any."""
-    held = postings.groupBy("id", "print").agg(F.collect_set("trigram").alias("held"))
+    """(id, print, rules): the kinds whose query a document's postings meet, for documents that meet any. postings: trigram, id,
+    print. Documents without any of the rarest trigrams of an alternative need no intersection."""
+    length = {r["trigram"]: r["count"] for r in postings.groupBy("trigram").count().collect()}  # as many as the queries name
+    rarest = {min(sorted(need), key=lambda t: length.get(t, 0)) for r in rules for options in trigram_query(r.pattern) for need in options}
+    short = postings.where(F.col("trigram").isin(sorted(rarest))).select("id", "print").distinct()
+    held = postings.join(short.select(F.col("id").alias("of"), F.col("print").alias("as")), F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as")), "left_semi")
+    held = held.groupBy("id", "print").agg(F.collect_set("trigram").alias("held"))
     has_all = lambda need: F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(need))))) == len(need)
 
     def meets(rule: Rule) -> Column:
@@ -146,21 +159,32 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return held.select("id", "print", F.array_compact(F.array(*(F.when(meets(r), F.lit(r.kind)) for r in rules))).alias("rules")).where(F.size("rules") > 0)
 
 
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is made once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(lengths: Column) -> Column:
+    """Of an array of numbers that isn't empty, the sum up to each: array<int>."""
+    none, last = F.array().cast("array<int>"), lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
+    added = lambda xs: F.aggregate(xs, none, lambda done, x: F.array_append(done, last(done) + x))
+    in_stretches = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STRETCH).cast("int")), lambda k: added(F.slice(v, k * STRETCH + 1, F.lit(STRETCH))))
+    before = lambda parts: F.concat(F.array(F.lit(0)), added(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), last)))
+    moved = lambda parts: F.flatten(F.zip_with(parts, before(parts), lambda part, off: F.transform(part, lambda x: x + off)))
+    return with_value(lengths, lambda v: with_value(in_stretches(v), moved))
+
+
 def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> of the leftmost matches that do not overlap, without those that are too short; start
+    """array<struct<start, end, counted>> of the leftmost matches that do not overlap, without those that are too short; start
     and end in code points."""
     regex = F.lit(rule.regex)
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     counted = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else whole
-    gaps = F.slice(F.split(text, rule.regex, -1), F.lit(1), F.size(whole))
-    sizes = F.zip_with(gaps, F.zip_with(whole, counted, lambda w, c: F.struct(F.length(w).alias("w"), F.length(c).alias("c"))), lambda g, m: F.struct(F.length(g).alias("gap"), m["w"].alias("whole"), m["c"].alias("counted")))
+    sizes = F.zip_with(whole, counted, lambda w, c: F.struct(F.length(w).alias("whole"), F.length(c).alias("counted")))
+    steps = lambda s: F.zip_with(F.transform(F.slice(F.split(text, rule.regex, -1), F.lit(1), F.size(s)), F.length), s, lambda gap, m: gap + m["whole"])
+    placed = lambda s: F.zip_with(s, running_sums(steps(s)), lambda m, end: F.struct((end - m["whole"]).alias("start"), end.alias("end"), m["counted"].alias("counted")))
     none = F.array().cast("array<struct<start:int,end:int,counted:int>>")
-
-    def place(done: Column, x: Column) -> Column:
-        at = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + x["gap"]
-        return F.array_append(done, F.struct(at.alias("start"), (at + x["whole"]).alias("end"), x["counted"].alias("counted")))
-
-    return F.filter(F.aggregate(sizes, none, place), lambda s: s["counted"] >= rule.least)
+    return F.filter(with_value(sizes, lambda s: F.when(F.size(s) > 0, placed(s)).otherwise(none)), lambda s: s["counted"] >= rule.least)
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[Rule, ...] = MORE) -> DataFrame:
@@ -182,12 +206,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     full = F.concat(none, *(found(r, F.lit(True)) for r in rules if r not in indexed))
     scanned = scratch.store(rows.select("id", "print", held_trigrams(F.col("text"), trigrams).alias("trigrams"), full.alias("full")), "scanned")
-    postings = scanned.select("id", "print", F.explode("trigrams").alias("trigram"))
+    postings = scratch.store(scanned.select("id", "print", F.explode("trigrams").alias("trigram")), "postings")
     chosen = scratch.store(candidates(postings, indexed).select(F.col("id").alias("of"), F.col("print").alias("as"), "rules"), "candidates")
     pair = F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as"))
     verified = rows.join(sized(chosen), pair).select("of", "as", F.concat(none, *(found(r, F.array_contains("rules", r.kind)) for r in indexed)).alias("more"))
     verified = scratch.store(verified.where(F.size("more") > 0).dropDuplicates(["of", "as"]), "verified")
-    scratch.drop("candidates")
+    scratch.drop("candidates", "postings")
     out = scanned.join(verified, pair, "left")
     return out.select(F.col("id").alias(id_col), F.sort_array(F.concat("full", F.coalesce("more", none))).alias("found"))
 

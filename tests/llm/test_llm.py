@@ -23,7 +23,7 @@ from foretable.llm.line_dedup import line_bitmaps, line_dedup
 from foretable.llm.mixing import mix_sources
 from foretable.llm.near_dedup import near_dedup, signatures
 from foretable.llm.piece_encoding import Decoder, MergeModel, WordEncoder, encode_text, piece_encode, public_model
-from foretable.llm.quality import quality_rules
+from foretable.llm.quality import quality_features, quality_rules, references
 from foretable.llm.substring_dedup import substring_dedup
 from foretable.llm.secret_scan import Rule, secret_scan, trigram_query
 from foretable.llm.url_filter import UrlRule, url_filter
@@ -222,7 +222,8 @@ def test_quality_rejects_what_is_unlike_its_language(spark):
     common = "the of and to in a is that it for on was with as".split()
     prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.5 else "w" + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120))
     rows = [(i, prose(), "en", "a") for i in range(40)] + [(40, " ".join(w + "%%%$$$" for w in prose().split()), "en", "a"), (41, prose().upper(), "en", "a"), (42, "too short", "en", "a"), (43, "again and again we say it " * 30, "en", "a")]
-    out = {r.doc_id: r for r in quality_rules(frame(spark, rows)).collect()}
+    docs = frame(spark, rows)  # in a made-up language, whose references are learned from the texts themselves
+    out = {r.doc_id: r for r in quality_rules(docs, known=references(quality_features(docs))).collect()}
     assert all(out[i].kept for i in range(40))
     assert not any(out[i].kept for i in range(40, 44)) and out[42].base_failed and out[43].base_failed and not out[40].base_failed
 
