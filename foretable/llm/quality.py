@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretable.llm.common import text_or_empty, words
+from foretable.llm.common import stored, text_or_empty, words
 
 #: Common words of each language.
 COMMON = {
@@ -100,6 +100,7 @@ def shares(histogram: Column) -> Column:
 def references(features: DataFrame, min_words: int = MIN_WORDS, unlike: float = UNLIKE) -> DataFrame:
     """(lang, ref_chars, ref_common): the reference of each language, shares by bin; at most one row for each language of
     COMMON and one more."""
+    features = stored(features, "quality")
     rows = features.where((F.col("n_words") >= min_words) & ~base_failed()).select("lang", shares(F.col("chars")).alias("chars"), shares(F.col("common")).alias("common"))
     sizes = {"chars": len(CLASSES) + 1, "common": max(map(len, COMMON.values())) + 1}
 
@@ -125,7 +126,7 @@ def quality_rules(
 ) -> DataFrame:
     """One row for each row of docs: id, the base counts, base_failed, chars_distance, words_distance, kept. known: references of
     a corpus that is known to be clean, as references() gives them; by default the fixed ones."""
-    rows = quality_features(docs, id_col, text_col, lang_col)
+    rows = stored(quality_features(docs, id_col, text_col, lang_col), "quality")  # so that no filter of a caller is pushed into the counts
     if known is None:
         fixed = lambda i: F.create_map(*(x for k, v in REFERENCES.items() for x in (F.lit(k), F.array(*map(F.lit, v[i])).cast("array<double>"))))
         judged = rows.withColumns({"ref_chars": F.try_element_at(fixed(0), F.col("lang")), "ref_common": F.try_element_at(fixed(1), F.col("lang"))})
