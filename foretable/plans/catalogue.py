@@ -220,10 +220,14 @@ def history_windows(spark, d):
     return rows.select("series_id", temporal.day(F.col("origin")).alias("origin"), "weeks", "date", "y")
 
 
+#: Days of history from which on an origin is forecast, to be learned from or to fill the pool.
+WARM_UP_FROM = 7
+
+
 def _pool(spark, d):
-    """Scored hourly averages as the pools of later origins."""
+    """Scored hourly averages of every midnight origin, warm-up days before the first evaluation origin too, as the pools of later origins."""
     panel, grid = fx.hourly_pair(spark, d)
-    made = baselines.hourly_average(panel, grid, H).where(F.hour("origin") == 0).join(panel.select("series_id", "ts", "y"), ["series_id", "ts"])
+    made = baselines.hourly_average(panel, og.hourly_grid(panel, H, min_train_days=WARM_UP_FROM), H).where(F.hour("origin") == 0).join(panel.select("series_id", "ts", "y"), ["series_id", "ts"])
     return panel, grid, calibrate.pool_before(made, grid, 30)
 
 
@@ -655,7 +659,7 @@ TREES = boosting.Growth()
 
 def _hourly_samples(panel, base=None):
     """Samples of all pseudo-origins: a week of history is enough for one."""
-    return features.hourly_samples(panel if base is None else base, og.hourly_grid(panel, H, min_train_days=7), H)
+    return features.hourly_samples(panel if base is None else base, og.hourly_grid(panel, H, min_train_days=WARM_UP_FROM), H)
 
 
 def _hourly_models(rows, grid, *more):
@@ -678,6 +682,34 @@ def gbt_l1(spark, d):
     return made.select("series_id", "origin", "ts", "y", "y_hat")
 
 
+#: What the base that knows the calendar alone may use.
+CALENDAR_BASE = ("hour", "dow", "is_weekend", "month")
+
+
+@query
+def calibration_cells(spark, d):
+    """Two bases (calendar features alone, and all) without layers, with one and with two: forecasts of every evaluation origin. Every
+    origin day, warm-up days included, has a model of its own that learned from what was known by then; what it forecast at midnight is
+    stored, and is the pool that the layers of later origins read."""
+    panel, grid = fx.hourly_pair(spark, d)
+    # the panel is short: its first day is an origin too, so that a model is known a week before the first evaluation
+    past = og.hourly_grid(panel, H, min_train_days=0)
+    samples = files.stored(features.hourly_samples(panel, past, H), "samples")
+    hidden = {c: F.lit(None).cast("double") for c in models.HOURLY_NUMBERS if c not in CALENDAR_BASE}
+    rows = samples.withColumn("base", F.lit("rec")).unionByName(samples.withColumns(hidden | {"base": F.lit("cal")}).select(*samples.columns, "base"))
+    train, goal = _hourly_models(rows, past, "base")
+    made = boosting.fit(train.withColumn("q", F.lit(0.5)), models.HOURLY_NUMBERS, models.CATEGORIES, TREES).predict(goal)
+    made = files.stored(made.select("base", "series_id", "origin", "ts", "y", "y_hat"), "forecasts")
+    asked, out = og.origins(spark, grid).select("origin"), None
+    for base in ("cal", "rec"):
+        own = made.where(F.col("base") == base)
+        pool = calibrate.pool_before(own.where(F.hour("origin") == 0).drop("base"), grid, 30)
+        one = calibrate.two_layers(own.join(F.broadcast(asked), "origin", "left_semi").withColumn("hour", F.hour("ts")), pool)
+        one = one.select("base", "series_id", "origin", "ts", "y", F.col("y_hat").alias("none"), "l2", "l2l3")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def gbt_squared(spark, d):
     """Daily forecasts of every origin by trees for the mean, on the spliced and calibrated panel, over origins that go back through all of it."""

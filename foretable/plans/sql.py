@@ -98,8 +98,11 @@ an AS (
   SELECT a.series_id, a.date + 364 AS date, a.y AS lag364,
          (SELECT CASE WHEN count(*) >= 7 THEN avg(b.y) END FROM d b WHERE b.series_id = a.series_id AND b.date BETWEEN a.date - 14 AND a.date + 14) AS ann28
   FROM d a)"""
-POOL = f"""{H}, {T}, {AVERAGE},
-made AS (SELECT ha.*, h.y FROM ha JOIN h USING (series_id, ts) WHERE hour(origin) = 0),
+POOL = f"""{H}, {T}, {AVERAGE}, {_origins(7, "ow")},
+tw AS (SELECT series_id, ts, y, origin FROM h JOIN ow ON hour(origin) = 0 AND ts >= origin AND ts < origin + INTERVAL 168 HOUR),
+made AS (
+  SELECT tw.series_id, origin, tw.ts, any_value(tw.y) AS y, avg(p.y) AS y_hat
+  FROM tw JOIN h p ON p.series_id = tw.series_id AND isodow(p.ts) = isodow(tw.ts) AND hour(p.ts) = hour(tw.ts) AND p.ts < origin GROUP BY ALL),
 pool AS (SELECT m.series_id, o.origin AS at_, m.ts, m.y, m.y_hat, hour(m.ts)::INT AS hour FROM made m JOIN o ON m.ts >= o.origin - INTERVAL 30 DAY AND m.ts < o.origin AND m.origin < o.origin),
 l2 AS (SELECT at_ AS origin, series_id, hour, least(3, greatest(0.3, avg(y) / greatest(avg(y_hat), 1))) AS ratio FROM pool GROUP BY ALL)"""
 _HOURS = "(SELECT unnest(range(0, 24))::INT AS hour)"

@@ -146,3 +146,13 @@ def test_importance_and_production_run(spark, short):
     made = catalogue.queries()["production_trees"](spark, short).toPandas()
     layers = catalogue.queries()["production_layers"](spark, short).toPandas()
     assert len(made) and set(made.k) <= set(layers.k) and made.l1.between(5, 300).all() and made.y_hat.between(5, 300).all()
+
+
+def test_calibration_cells_have_a_pool_from_the_first_origin_on(spark, short):
+    rows = catalogue.queries()["calibration_cells"](spark, short).toPandas()
+    _, grid = fixtures.hourly_pair(spark, short)
+    assert set(rows.base) == {"cal", "rec"} and set(rows.origin) == set(grid.times())
+    first = rows[rows.origin == grid.times()[0]]
+    assert (first.l2 != first.none).mean() > 0.9 and ((rows.l2 >= 0.3 * rows.none - 1e-6) & (rows.l2 <= 3 * rows.none + 1e-6)).all()
+    pool = catalogue._pool(spark, short)[2]
+    assert set(pool.select("at").distinct().toPandas()["at"]) == set(grid.times())
