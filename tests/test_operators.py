@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foretable.functions import measures, temporal
-from foretable.operators import baselines, calibrate, experiments, features, inference, models, origins, score
+from foretable.operators import baselines, boosting, calibrate, experiments, features, inference, models, origins, score
 from foretable.plans import catalogue, fixtures
 from foretable.protocol import Daily, Grid, Hourly
 from foretable.sources import files, panels
@@ -223,11 +223,11 @@ def test_trees_and_theta(spark):
     rng = np.random.default_rng(0)
     data = [("s", "P", "A", float(x), float(3 * x + rng.normal())) for x in rng.uniform(0, 10, 300)]
     frame = spark.createDataFrame(data, "series_id string, park string, regime string, lead double, y double")
-    ready = models.encoded(frame, models.encoder(frame, ("lead",)), ("lead",)).cache()
-    out = models.predicted(models.boosted_trees(ready, trees=5), ready)
-    assert out.select(F.avg(F.abs(F.col("y") - F.col("y_hat")))).first()[0] < 3
-    low, high = (models.quantile_trees(ready, q, rounds=4).predict(ready) for q in (0.1, 0.9))
-    assert low.select(F.avg((F.col("y") < F.col("p10")).cast("double"))).first()[0] < 0.3 < 0.7 < high.select(F.avg((F.col("y") < F.col("p90")).cast("double"))).first()[0]
+    train = frame.withColumn("q", F.explode(F.array(*map(F.lit, (0.1, 0.5, 0.9))))).withColumn("model", F.col("q").cast("string"))
+    out = boosting.fit(train, ("lead",), models.CATEGORIES, boosting.Growth(rounds=40)).predict(train)
+    assert out.where("q = 0.5").select(F.avg(F.abs(F.col("y") - F.col("y_hat")))).first()[0] < 3
+    below = {r.q: r.part for r in out.groupBy("q").agg(F.avg((F.col("y") < F.col("y_hat")).cast("double")).alias("part")).collect()}
+    assert below[0.1] < 0.3 < 0.7 < below[0.9]
     y = 10 + np.tile([0.0, 5.0, -5.0], 20)
     assert models.theta_forecast(y, 3, 3) == pytest.approx([10, 15, 5], abs=1.0)
 
