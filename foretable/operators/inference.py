@@ -1,102 +1,92 @@
-"""Tests and intervals over a few dozen day means: Spark brings the rows down to one a day, a grouped function does the rest."""
+"""Tests and intervals over day means, as relations: windows over the days of a group, column functions for tails, and draws that a
+hash of their place decides, so that every engine and every partitioning draws the same days."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foretable.sources.packing import ship
-
-
-def t_two_sided(t: float, df: float) -> float:
-    """The probability of a value of Student's t at least as far from 0, by the regularised incomplete beta function."""
-    x = df / (df + t * t)
-    return _incomplete_beta(df / 2, 0.5, x)
-
-
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _incomplete_beta(b, a, 1 - x)
-    # continued fraction, evaluated from the front (Lentz)
-    tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, 400):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + top * d
-            c = 1 + top / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            value *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return front * value / a
-
-
-def dm_statistic(d: np.ndarray, lag: int) -> tuple[float | None, float | None]:
-    """Diebold-Mariano with a Bartlett long-run variance and the small-sample correction: statistic and p, null below 5 days or
-    without variance. d: day means of the loss difference, in order."""
-    t = len(d)
-    if t < 5:
-        return None, None
-    lag = min(lag, t - 2)
-    e = d - d.mean()
-    variance = e @ e / t + sum(2 * (1 - k / (lag + 1)) * (e[k:] @ e[:-k]) / t for k in range(1, lag + 1))
-    if variance <= 0:
-        return None, None
-    h = lag + 1
-    stat = d.mean() / math.sqrt(variance / t) * math.sqrt((t + 1 - 2 * h + h * (h - 1) / t) / t)
-    return float(stat), t_two_sided(stat, t - 1)
-
-
-def _by_group(diffs: DataFrame, by: list[str], schema: str, work: Callable[[tuple, np.ndarray], dict]) -> DataFrame:
-    """work on each group's day means in the order of days. A group has as many rows as there are origin days."""
-    types = dict(diffs.dtypes)
-    ship(diffs.sparkSession)
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = work(key, frame.sort_values("day")["d"].to_numpy(float))
-        return pd.DataFrame([dict(zip(by, key, strict=True)) | out])
-
-    return diffs.groupBy(*by).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in by) + ", " + schema)
+from foretable.functions.measures import share
 
+#: Terms of the continued fraction; about the root of the degrees of freedom is enough.
+TERMS = 300
 
-def dm_test(diffs: DataFrame, by: list[str], lag: int = 1) -> DataFrame:
-    """(by, days, mean_diff, stat, p) from day differences (by, day, d)."""
 
-    def work(_: tuple, d: np.ndarray) -> dict:
-        stat, p = dm_statistic(d, lag)
-        return {"days": len(d), "mean_diff": d.mean(), "stat": stat, "p": p}
+def t_two_sided(t: Column, df: Column) -> Column:
+    """The probability of a value of Student's t at least as far from 0 (df: whole, 1 or more): the regularised incomplete beta
+    function I_x(df / 2, 1 / 2) at x = df / (df + t * t), as a continued fraction on the side where it converges fast."""
+    a, b, x = df / 2, F.lit(0.5), df / (df + t * t)
+    # gamma((n + 1) / 2) / gamma(n / 2), from n = 1 on: one value and the next multiply to n / 2
+    first = F.lit(1 / math.sqrt(math.pi))
+    ratio = F.when(df > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(df - 1, F.lit(1)).cast("int")), first, lambda r, n: n / 2 / r)).otherwise(first)
+    front = F.pow(x, a) * F.sqrt(1 - x) * ratio / math.sqrt(math.pi)
+    near = front / (a * _fraction(a, b, x))
+    far = 1 - front / (b * _fraction(b, a, 1 - x))
+    return F.when(x >= 1, 1.0).when(x < (a + 1) / (a + b + 2), near).otherwise(far)
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """1 + d1 / (1 + d2 / (1 + ...)) of the incomplete beta function, from its last term to its first."""
+
+    def term(j: Column) -> Column:
+        m = F.floor(j / 2)
+        return F.when(j % 2 == 0, m * (b - m) * x).otherwise(-(a + m) * (a + b + m) * x) / ((a + j - 1) * (a + j))
 
-    return _by_group(diffs, by, "days long, mean_diff double, stat double, p double", work)
+    return F.aggregate(F.sequence(F.lit(TERMS), F.lit(1)), F.lit(1.0), lambda acc, j: 1 + term(j) / acc)
+
+
+def dm_test(diffs: DataFrame, by: list[str], lag: int = 1) -> DataFrame:
+    """(by, days, mean_diff, stat, p) from day differences (by, day, d): Diebold-Mariano with a Bartlett long-run variance of at most
+    lag days (never more than days - 2) and the small-sample correction. stat and p are null below 5 days or without variance."""
+    group = Window.partitionBy(*by)
+    days = diffs.withColumn("__e", F.col("d") - F.avg("d").over(group))
+    days = days.withColumns({f"__e{k}": F.col("__e") * F.lag("__e", k).over(group.orderBy("day")) for k in range(1, lag + 1)})
+    sums = days.groupBy(*by).agg(
+        F.count("*").alias("days"), F.avg("d").alias("mean_diff"), F.sum(F.col("__e") * F.col("__e")).alias("__e0"), *(F.sum(f"__e{k}").alias(f"__e{k}") for k in range(1, lag + 1)),
+    )
+    t = F.col("days")
+    used = F.least(F.lit(lag), t - 2)
+    later = (F.when(used >= k, 2 * (1 - k / (used + 1)) * F.col(f"__e{k}")).otherwise(0.0) for k in range(1, lag + 1))
+    variance, h = reduce(lambda x, y: x + y, later, F.col("__e0")) / t, used + 1
+    sums = sums.withColumn("__v", variance)
+    stat = F.col("mean_diff") / F.sqrt(F.col("__v") / t) * F.sqrt((t + 1 - 2 * h + h * (h - 1) / t) / t)
+    out = sums.withColumn("stat", F.when((t >= 5) & (F.col("__v") > 0), stat)).withColumn("p", t_two_sided(F.col("stat"), t - 1))
+    return out.select(*by, "days", "mean_diff", "stat", "p")
+
+
+def block_bootstrap(diffs: DataFrame, by: list[str], blocks: tuple[int, ...] = (1, 2, 3, 4), draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """(by, block, days, mean_diff, low, high, p_sign): the 95 % interval of the mean over a group's days, drawn as moving blocks (1: days
+    alone), and twice the smaller part of the draws at or beyond 0. diffs: (by, day, d), one row a day.
+
+    Where block q of a draw begins is the first 15 hexadecimal digits of md5("seed|keys|block|draw|q") modulo the places where a
+    block can begin; the last block of a draw is cut to the group's number of days. Draws meet days by an equi-join on group and
+    place, so neither a group's days nor its draws are held in one task."""
+    ordered = Window.partitionBy(*by).orderBy("day")
+    days = diffs.select(*(F.col(c).alias(f"__{c}") for c in by), "d", (F.row_number().over(ordered) - 1).alias("__i"))
+    groups = diffs.groupBy(*by).agg(F.count("*").alias("days"), F.avg("d").alias("mean_diff"))
+    wanted = groups.withColumn("block", F.explode(F.array(*map(F.lit, blocks)))).withColumn("__size", F.least("block", F.col("days")).cast("long"))
+    drawn = wanted.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(*by, "block", "__draw")
+    drawn = drawn.withColumn("__q", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("days") - 1) / F.col("__size")))))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in by), "block", "__draw", "__q").cast("binary")), 1, 15)
+    start = F.pmod(F.conv(digits, 16, 10).cast("long"), F.col("days") - F.col("__size") + 1)
+    held = F.least(F.col("__size"), F.col("days") - F.col("__q") * F.col("__size"))  # days of the block that the draw holds
+    drawn = drawn.select(*by, "block", "days", "mean_diff", "__draw", F.explode(F.sequence(start, start + held - 1)).alias("__i"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [drawn["__i"] == days["__i"]]
+    means = drawn.join(days, same).groupBy(*by, "block", "days", "mean_diff", "__draw").agg(F.avg("d").alias("m"))
+    return means.groupBy(*by, "block", "days", "mean_diff").agg(
+        F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"),
+        F.least(F.lit(1.0), 2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))).alias("p_sign"),
+    )
 
 
 def bootstrap_ci(diffs: DataFrame, by: list[str], block: int = 1, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """(by, days, mean_diff, low, high, p_sign): the 95 % interval of the mean over days, drawn alone (block 1) or as moving blocks,
-    and twice the smaller part of the draws at or beyond 0. Each group has a seed of its own, so that no result depends on the
-    order of groups."""
-
-    def work(key: tuple, d: np.ndarray) -> dict:
-        t = len(d)
-        size = min(block, t)
-        rng = np.random.default_rng([seed, *repr(key).encode()])
-        starts = rng.integers(0, t - size + 1, (draws, -(-t // size)))
-        picks = (starts[:, :, None] + np.arange(size)).reshape(draws, -1)[:, :t]
-        means = d[picks].mean(axis=1)
-        low, high = np.percentile(means, [2.5, 97.5])
-        p_sign = min(1.0, 2 * min((means <= 0).mean(), (means >= 0).mean()))
-        return {"days": t, "mean_diff": d.mean(), "low": low, "high": high, "p_sign": p_sign}
-
-    return _by_group(diffs, by, "days long, mean_diff double, low double, high double, p_sign double", work)
+    """block_bootstrap with one length of blocks: (by, days, mean_diff, low, high, p_sign)."""
+    return block_bootstrap(diffs, by, (block,), draws, seed).drop("block")
 
 
 def range_quantile(k: int, level: float = 0.95) -> float:

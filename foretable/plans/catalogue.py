@@ -600,7 +600,8 @@ def dm_statistics(spark, d):
 
 @query
 def dm_test(spark, d):
-    return inference.dm_test(_daily_diffs(spark, d), ["bucket"])
+    """With four lags, as horizons of up to sixteen weeks overlap from one origin to the next."""
+    return inference.dm_test(_daily_diffs(spark, d), ["bucket"], DAILY_LAG)
 
 
 @query
@@ -611,7 +612,7 @@ def mcb_cd(spark, d):
 @query
 def bootstrap_ci(spark, d):
     """Intervals of the mean difference, and the part of draws on the other side of 0."""
-    return inference.bootstrap_ci(_daily_diffs(spark, d), ["bucket"])
+    return inference.bootstrap_ci(files.stored(_daily_diffs(spark, d), "diffs"), ["bucket"])
 
 
 @query
@@ -622,20 +623,17 @@ def bootstrap_methods(spark, d):
     for m in DAILY_METHODS:
         one = score.day_means(wide, m, ["bucket"]).withColumn("method", F.lit(m))
         losses = one if losses is None else losses.unionByName(one)
-    return inference.bootstrap_ci(losses, ["method", "bucket"])
+    return inference.bootstrap_ci(files.stored(losses, "losses"), ["method", "bucket"])
 
 
 @query
 def block_bootstrap(spark, d):
     """Intervals by moving blocks of 1 to 4 origin days."""
-    diffs, out = _daily_diffs(spark, d), None
-    for block in (1, 2, 3, 4):
-        one = inference.bootstrap_ci(diffs, ["bucket"], block=block).withColumn("block", F.lit(block))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return inference.block_bootstrap(files.stored(_daily_diffs(spark, d), "diffs"), ["bucket"])
 
 
 DAILY_METHODS = ["snaive7_ext", "dow_mean_8w"]
+DAILY_LAG = 4
 
 
 def _daily_wide(spark, d):

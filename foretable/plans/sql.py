@@ -290,7 +290,37 @@ def _mcb() -> str:
 DAILY_WIDE = ORACLE["daily_scores"].replace("SELECT method, bucket, " + _METRICS + " FROM s JOIN dsc USING (series_id) WHERE bucket IS NOT NULL GROUP BY ALL", "").rstrip() + """,
 dw AS (SELECT series_id, origin, date, bucket, max(e / scale) FILTER (method = 'snaive7_ext') AS a, max(e / scale) FILTER (method = 'dow_mean_8w') AS b FROM s JOIN dsc USING (series_id) WHERE bucket IS NOT NULL AND method IN ('snaive7_ext', 'dow_mean_8w') GROUP BY ALL),
 dd AS (SELECT bucket, origin AS day, avg(a - b) AS d FROM dw WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL)"""
+
+
+def _drawn(days: str, by: str, blocks: str = "1") -> str:
+    """Intervals by blocks of days(by, day, d), draws as in inference.block_bootstrap."""
+    names = [c.strip() for c in by.split(",")]
+    key = ", ".join(f"g.{c}" for c in names)
+    return f"""bi AS (SELECT {by}, d, row_number() OVER (PARTITION BY {by} ORDER BY day) - 1 AS i FROM {days}),
+g AS (SELECT {by}, count(*) AS days, avg(d) AS mean_diff FROM {days} GROUP BY ALL),
+dr AS (SELECT {key}, g.days, mean_diff, block, draw, q, off, ('0x' || substr(md5(concat_ws('|', '0', {key}, block, draw, q)), 1, 15))::BIGINT % (g.days - size + 1) + off AS i
+  FROM (SELECT g.*, block, least(block, g.days) AS size, draw, j // least(block, g.days) AS q, j % least(block, g.days) AS off
+    FROM g, (SELECT unnest([{blocks}]) AS block), (SELECT unnest(range(0, 10000)) AS draw), LATERAL (SELECT unnest(range(0, g.days)) AS j)) g),
+dm AS (SELECT {", ".join(f"dr.{c}" for c in names)}, block, days, mean_diff, draw, avg(d) AS m FROM dr JOIN bi ON dr.i = bi.i AND {" AND ".join(f"dr.{c} = bi.{c}" for c in names)} GROUP BY ALL),
+ci AS (SELECT {by}, block, days, round(mean_diff, 6) AS mean_diff, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high,
+  round(least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6) AS p_sign FROM dm GROUP BY {by}, block, days, dm.mean_diff)"""
+
+
 ORACLE |= {
+    "bootstrap_ci": f"{DAILY_WIDE}, {_drawn('dd', 'bucket')} SELECT bucket, days, mean_diff, low, high, p_sign FROM ci",
+    "block_bootstrap": f"{DAILY_WIDE}, {_drawn('dd', 'bucket', '1, 2, 3, 4')} SELECT * FROM ci",
+    "bootstrap_methods": f"""{DAILY_WIDE}, ml AS (SELECT 'snaive7_ext' AS method, bucket, origin AS day, avg(a) AS d FROM dw WHERE a IS NOT NULL GROUP BY ALL UNION ALL SELECT 'dow_mean_8w', bucket, origin, avg(b) FROM dw WHERE b IS NOT NULL GROUP BY ALL),
+{_drawn('ml', 'method, bucket')} SELECT method, bucket, days, mean_diff, low, high, p_sign FROM ci""",
+    # p by the finite sums in the angle that whole degrees of freedom have, not by the beta function
+    "dm_test": f"""{DAILY_WIDE},
+e1 AS (SELECT bucket, day, d, d - avg(d) OVER (PARTITION BY bucket) AS e, row_number() OVER (PARTITION BY bucket ORDER BY day) AS i FROM dd),
+n1 AS (SELECT bucket, count(*) AS t, avg(d) AS m, least(4, count(*) - 2) AS used FROM e1 GROUP BY bucket),
+v AS (SELECT bucket, t, m, used, (SELECT sum(e * e) FROM e1 WHERE e1.bucket = n1.bucket) / t + coalesce((SELECT sum(2 * (1 - (x.i - y.i) / (used + 1)) * x.e * y.e) FROM e1 x JOIN e1 y ON x.bucket = y.bucket AND x.i - y.i BETWEEN 1 AND 4 WHERE x.bucket = n1.bucket AND x.i - y.i <= used), 0) / t AS lrv FROM n1),
+st AS (SELECT bucket, t, m, CASE WHEN t >= 5 AND lrv > 0 THEN m / sqrt(lrv / t) * sqrt((t + 1 - 2 * (used + 1) + (used + 1) * used / t) / t) END AS stat, atan(abs(stat) / sqrt(t - 1)) AS th, (t - 1)::INT AS df FROM v),
+pt AS (SELECT *, CASE WHEN df % 2 = 1
+  THEN 2 / pi() * (th + sin(th) * list_sum(list_transform(range(0, (df - 1) // 2), lambda j: exp(lgamma(j + 1.0) + lgamma(1.5) - lgamma(j + 1.5)) * cos(th) ** (2 * j + 1))))
+  ELSE sin(th) * list_sum(list_transform(range(0, df // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0)) * cos(th) ** (2 * j))) END AS within FROM st)
+SELECT bucket, t AS days, round(m, 6) AS mean_diff, round(stat, 6) AS stat, round(1 - within, 6) AS p FROM pt""",
     "regular_grid": f"{H}, s AS (SELECT series_id, origin, min(ts) AS s FROM h JOIN o ON ts < origin GROUP BY ALL), g AS (SELECT series_id, origin, unnest(generate_series(s, origin - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts FROM s WHERE date_diff('hour', s, origin) >= 336) SELECT g.series_id, g.origin, g.ts, round(coalesce(y, 0), 6) AS y FROM g LEFT JOIN h USING (series_id, ts)",
     "truncated_context": f"{H} SELECT series_id, origin, ts, round(y, 6) AS y FROM h JOIN o ON ts >= origin - INTERVAL 28 DAY AND ts < origin QUALIFY row_number() OVER (PARTITION BY series_id, origin ORDER BY ts DESC) <= 100",
     "history_windows": f"{D} SELECT series_id, origin, weeks, date, round(y, 6) AS y FROM d, q, (VALUES (2), (4), (8)) v(weeks) WHERE source = 'own' AND date >= origin - 7 * weeks AND date < origin",

@@ -137,28 +137,10 @@ def test_empty_panels_give_empty_results(spark):
     assert score.hourly_scales(none, grid, Hourly()).count() == 0
 
 
-def test_dm_statistic():
-    assert inference.dm_statistic(np.ones(4), 1) == (None, None)
-    assert inference.dm_statistic(np.full(10, 0.5), 1) == (None, None)
-    d = np.array([0.3, -0.1, 0.4, 0.2, 0.1, 0.5])
-    stat, p = inference.dm_statistic(d, 0)
-    assert stat == pytest.approx(d.mean() / math.sqrt(d.var() / 6) * math.sqrt(5 / 6))
-    assert 0 < p < 0.1
-
-
-def test_student_and_range_quantiles():
-    assert inference.t_two_sided(2.228139, 10) == pytest.approx(0.05, abs=1e-5)
-    assert inference.t_two_sided(0.0, 5) == pytest.approx(1.0)
+def test_range_quantile():
     assert inference.range_quantile(6) / math.sqrt(2) * math.sqrt(6 * 7 / (6 * 1910)) == pytest.approx(0.17, abs=0.005)
 
 
-def test_bootstrap_of_blocks_and_days(spark):
-    diffs = spark.createDataFrame([("g", DAY0.date() + dt.timedelta(days=i), float(i % 3)) for i in range(30)], "g string, day date, d double")
-    one, same = (inference.bootstrap_ci(diffs, ["g"], draws=2000).first() for _ in range(2))
-    assert one == same and one.low < one.mean_diff < one.high
-    assert inference.bootstrap_ci(diffs, ["g"], block=4, draws=2000).first().low < one.mean_diff
-
-
 def test_widening_finds_the_least_factor(spark):
     rows = [("g", 10.0 + e, 9.0, 10.0, 11.0) for e in (0.0, 0.5, 1.0, 1.1, 1.2)]
     frame = spark.createDataFrame(rows, "g string, y double, p10 double, p50 double, p90 double")
