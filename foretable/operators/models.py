@@ -2,88 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretable.functions.temporal import day as day_of
+from foretable.operators.smoothing import theta_forecast
 from foretable.protocol import Grid
 from foretable.sources.packing import ship
 
 HOURLY_NUMBERS = ("lead", "hour", "dow", "is_weekend", "month", "lag168", "lag336", "lag504", "lag672", "sdhr4", "last_y", "hrs_since_last", "r24h", "r7d", "r28d")
 DAILY_NUMBERS = ("lead", "dow", "is_weekend", "month", "r7", "r28", "dow8w", "lag364", "ann28")
 CATEGORIES = ("series_id", "park", "regime")
-def theta_forecast(y: np.ndarray, season: int, horizon: int) -> np.ndarray:
-    """The standard theta method on seasonally adjusted values: a line, and simple exponential smoothing of the doubled
-    curvature, in equal parts. The seasonal part is the mean by place in the season."""
-    n = len(y)
-    place = np.arange(n) % season
-    level = y.mean()
-    seasonal = np.array([y[place == s].mean() if (place == s).any() else level for s in range(season)]) - level
-    adjusted = y - seasonal[place]
-    t = np.arange(n)
-    slope, base = np.polyfit(t, adjusted, 1)
-    curve = 2 * adjusted - (base + slope * t)
-    best = None
-    for alpha in np.linspace(0.05, 0.95, 10):
-        s, error = curve[0], 0.0
-        for v in curve[1:]:
-            error += (v - s) ** 2
-            s += alpha * (v - s)
-        if best is None or error < best[0]:
-            best = (error, s)
-    ahead = np.arange(n, n + horizon)
-    return np.maximum(0.0, 0.5 * (base + slope * ahead + best[1]) + seasonal[ahead % season])
-
-
-def decomposed(y: np.ndarray, seasons: tuple[int, ...], rounds: int = 2) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """y without its seasonal parts, and each of these by place in the season. Seasons are taken out from the shortest, several
-    times over: what is left of y beside the other seasons, less its moving mean over one season, averaged by place."""
-    parts = {m: np.zeros(m) for m in seasons if len(y) >= 2 * m}
-    t = np.arange(len(y))
-    for _ in range(rounds if len(parts) > 1 else 1):
-        for m in sorted(parts):
-            rest = y - sum((v[t % k] for k, v in parts.items() if k != m), np.zeros(len(y)))
-            weights = np.ones(m + 1 - m % 2)
-            if m % 2 == 0:
-                weights[[0, -1]] = 0.5
-            reach = len(weights) // 2
-            trend = np.convolve(rest, weights / weights.sum(), "valid")
-            off = rest[reach : len(rest) - reach] - trend
-            place = t[reach : len(rest) - reach] % m
-            means = np.bincount(place, off, m) / np.maximum(np.bincount(place, minlength=m), 1)
-            parts[m] = means - means.mean()
-    return y - sum((v[t % k] for k, v in parts.items()), np.zeros(len(y))), parts
-
-
-def smoothed(y: np.ndarray, horizon: int) -> np.ndarray:
-    """Exponential smoothing with additive errors: without trend, with one, or with a damped one, whichever has the least
-    corrected information criterion over a lattice of smoothing parameters. All points of the lattice run at once."""
-    n, a = len(y), np.linspace(0.05, 0.95, 10)
-    forms = [(a, np.zeros(10), np.zeros(10), 2)]
-    for phi, count in ((1.0, 4), (0.9, 5), (0.98, 5)):
-        alpha, beta = (x.ravel() for x in np.meshgrid(a, np.linspace(0.02, 0.5, 6)))
-        forms.append((alpha, beta, np.full(len(alpha), phi), count))
-    alpha, beta, phi, count = (np.concatenate([np.broadcast_to(f[i], len(f[0])) for f in forms]) for i in range(4))
-    level, trend, error = np.full(len(alpha), y[0]), np.where(phi > 0, (y[-1] - y[0]) / max(n - 1, 1), 0.0), np.zeros(len(alpha))
-    for v in y[1:]:
-        ahead = level + phi * trend
-        e = v - ahead
-        error += e * e
-        level, trend = ahead + alpha * e, phi * trend + alpha * beta * e
-    k = count + 1.0
-    criterion = n * np.log(np.maximum(error, 1e-12) / n) + 2 * k + 2 * k * (k + 1) / max(n - k.max() - 1, 1)
-    best = int(np.argmin(criterion))
-    steps = np.cumsum(phi[best] ** np.arange(1, horizon + 1)) if phi[best] else np.zeros(horizon)
-    return level[best] + trend[best] * steps
-
-
-def mstl_ets_forecast(y: np.ndarray, season: int, horizon: int, seasons: tuple[int, ...] = (24,)) -> np.ndarray:
-    """Several seasons taken out, the rest smoothed exponentially, the seasons put back; not below 0. season is the longest of them."""
-    rest, parts = decomposed(y, (*seasons, season))
-    ahead = np.arange(len(y), len(y) + horizon)
-    return np.maximum(0.0, smoothed(rest, horizon) + sum((v[ahead % k] for k, v in parts.items()), np.zeros(horizon)))
 
 
 def per_series(grid: DataFrame, season: int, horizon: int, method=theta_forecast, context: int | None = None) -> DataFrame:
@@ -102,6 +35,23 @@ def per_series(grid: DataFrame, season: int, horizon: int, method=theta_forecast
     return rows.groupBy("series_id", "origin").applyInPandas(run, "series_id string, origin timestamp_ntz, ts timestamp_ntz, y_hat double")
 
 
+def context_curve(grid: DataFrame, season: int, horizon: int, contexts: tuple[int | None, ...], method: Callable[[np.ndarray, int, int], np.ndarray] = theta_forecast) -> DataFrame:
+    """(series_id, origin, context, ts, y_hat): what method forecasts from the last so many hours of a regular grid, for each of contexts
+    (None: all hours, in the result null). A series comes to its task once and is cut there, however many contexts there are;
+    contexts longer than it are left out, as they would repeat the whole."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        y = frame.sort_values("ts")["y"].to_numpy(float)
+        held = [c for c in contexts if c is None or c <= len(y)]
+        ts = [key[1] + pd.Timedelta(hours=i) for i in range(horizon)]
+        parts = [pd.DataFrame({"series_id": key[0], "origin": key[1], "context": pd.array([c] * horizon, "Int32"), "ts": ts, "y_hat": method(y if c is None else y[len(y) - c :], season, horizon)}) for c in held]
+        empty = frame.head(0).rename(columns={"y": "y_hat"}).assign(context=pd.array([], "Int32"))
+        return pd.concat(parts) if parts else empty
+
+    ship(grid.sparkSession)
+    return grid.groupBy("series_id", "origin").applyInPandas(run, "series_id string, origin timestamp_ntz, context int, ts timestamp_ntz, y_hat double")
+
+
 def later_days(rows: DataFrame, grid: Grid, known: Column) -> DataFrame:
     """rows once for each evaluation day (one of each week of the grid) from the date known on: adds day. The weeks are found by
     arithmetic."""

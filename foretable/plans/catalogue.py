@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretable.functions import measures, temporal
-from foretable.operators import baselines, boosting, calibrate, experiments, features, inference, models, production, score
+from foretable.operators import baselines, boosting, calibrate, experiments, features, inference, models, production, score, smoothing
 from foretable.operators import origins as og
 from foretable.plans import fixtures as fx
 from foretable.plans import sql
@@ -928,12 +928,24 @@ def regular_grid_theta(spark, d):
 
 @query
 def regular_grid_mstl(spark, d):
-    """Two seasons and exponential smoothing, in place of the theta method."""
+    """Two seasons by loess and exponential smoothing, in place of the theta method."""
     panel, grid = fx.hourly_pair(spark, d)
-    made = models.per_series(features.regular_grid(panel, grid), H.season, H.horizon, models.mstl_ets_forecast)
+    made = models.per_series(features.regular_grid(panel, grid), H.season, H.horizon, smoothing.mstl_ets_forecast)
     return made.join(og.targets(panel, grid, H.horizon).select("series_id", "origin", "ts"), ["series_id", "origin", "ts"])
 
 
+#: Two, four and eight weeks, and all hours.
+CONTEXTS = (2 * 168, 4 * 168, 8 * 168, None)
+
+
+@query
+def theta_context_curve(spark, d):
+    """How theta's scores grow with the hours it knows: by context (null: all) and bucket."""
+    panel, grid = fx.hourly_pair(spark, d)
+    made = models.context_curve(features.regular_grid(panel, grid), H.season, H.horizon, CONTEXTS)
+    return score.summarize(score.evaluate_hourly(made, panel, H), score.mean_scales(score.hourly_scales(panel, grid, H)), ["context", "bucket"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -201,7 +201,7 @@ def test_jdbc(spark, tmp_path):
     assert whole == {(5, 14), (6, 14)} == {(r.v, r.n) for r in parts.collect()} and parts.rdd.getNumPartitions() == 2
 
 
-def test_trees_and_theta(spark):
+def test_trees(spark):
     rng = np.random.default_rng(0)
     data = [("s", "P", "A", float(x), float(3 * x + rng.normal())) for x in rng.uniform(0, 10, 300)]
     frame = spark.createDataFrame(data, "series_id string, park string, regime string, lead double, y double")
@@ -210,21 +210,6 @@ def test_trees_and_theta(spark):
     assert out.where("q = 0.5").select(F.avg(F.abs(F.col("y") - F.col("y_hat")))).first()[0] < 3
     below = {r.q: r.part for r in out.groupBy("q").agg(F.avg((F.col("y") < F.col("y_hat")).cast("double")).alias("part")).collect()}
     assert below[0.1] < 0.3 < 0.7 < below[0.9]
-    y = 10 + np.tile([0.0, 5.0, -5.0], 20)
-    assert models.theta_forecast(y, 3, 3) == pytest.approx([10, 15, 5], abs=1.0)
-
-
-def test_seasons_and_smoothing():
-    t = np.arange(24 * 7 * 5)
-    day, week = 3 * np.sin(2 * np.pi * t / 24), np.where(t % 168 >= 120, 4.0, 0.0)
-    y = 50 + 0.01 * t + day + week
-    rest, parts = models.decomposed(y, (24, 168))
-    assert set(parts) == {24, 168} and np.abs(rest - rest.mean() - 0.01 * (t - t.mean())).max() < 1.2
-    ahead = np.arange(len(t), len(t) + 168)
-    want = 50 + 0.01 * ahead + 3 * np.sin(2 * np.pi * ahead / 24) + np.where(ahead % 168 >= 120, 4.0, 0.0)
-    assert np.abs(models.mstl_ets_forecast(y, 168, 168) - want).mean() < 1.0
-    assert models.smoothed(np.full(40, 7.0), 3) == pytest.approx([7, 7, 7]) and models.smoothed(np.arange(60.0), 2) == pytest.approx([60, 61], abs=0.2)
-    assert len(models.mstl_ets_forecast(np.ones(30), 168, 5)) == 5  # shorter than two weeks: no weekly part
 
 
 def test_stream_gives_the_batch_panel(spark, tmp_path):
