@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretable.functions import measures, temporal
-from foretable.operators import baselines, boosting, calibrate, experiments, features, inference, models, production, score, smoothing
+from foretable.operators import baselines, boosting, calibrate, experiments, features, fidelity, inference, models, production, score, smoothing
 from foretable.operators import origins as og
 from foretable.plans import fixtures as fx
 from foretable.plans import sql
@@ -545,6 +545,54 @@ def stored_forecast_scan(spark, d):
     return rows.groupBy("made", "target").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"))
 
 
+#: How long before its target a stored forecast must have been made.
+CUTOFF_DAYS = (1, 3, 6)
+
+
+def _stored_layers(spark, d):
+    """The layers' forecasts as a store of forecasts: (series_id, ts, made, deployed, first_layer)."""
+    out = _pattern_layers(spark, d)
+    return out.select("series_id", "ts", F.col("origin").alias("made"), F.col("y_hat").alias("deployed"), F.col("l1").alias("first_layer"))
+
+
+def _asked(spark, d):
+    panel = fx.hourly(spark, d).withColumn("days", F.explode(F.array(*map(F.lit, CUTOFF_DAYS))))
+    return panel.select("series_id", "regime", "ts", "y", "days", temporal.plus_hours(F.col("ts"), -24 * F.col("days")).alias("cutoff"))
+
+
+@query
+def stored_as_of(spark, d):
+    """For each observed hour and cutoff before it, the newest stored forecast made until then."""
+    return fidelity.as_of(_asked(spark, d), _stored_layers(spark, d), ["series_id", "ts"], "cutoff", "made", ["deployed", "first_layer"])
+
+
+def _as_of_both(spark, d):
+    """Those with, from another store made three times a day, the newest mean of the hour and weekday until the same cutoff."""
+    panel, grid = fx.hourly_pair(spark, d)
+    other = baselines.hourly_average(panel, grid, H).select("series_id", "ts", F.col("origin").alias("averaged"), F.col("y_hat").alias("average"))
+    return fidelity.as_of(stored_as_of(spark, d), other, ["series_id", "ts"], "cutoff", "averaged", ["average"])
+
+
+@query
+def same_target_accuracy(spark, d):
+    """Scores of what was deployed, of its first layer alone and of the mean, on targets that all of them forecast by the cutoff."""
+    return fidelity.same_targets(_as_of_both(spark, d), ["deployed", "first_layer", "average"], ["days"])
+
+
+@query
+def same_target_agreement(spark, d):
+    return fidelity.same_target_agreement(_as_of_both(spark, d), "deployed", "average", ["days"])
+
+
+@query
+def frozen_daily_scores(spark, d):
+    """The first stored forecast, averaged over the observed hours of each day, by the daily protocol."""
+    panel = panels.daily_from_hourly(fx.hourly(spark, d), D.min_hours)
+    hours = _pattern_layers(spark, d).where("k = 0")
+    frozen = hours.groupBy("series_id", temporal.day(F.col("origin")).alias("origin"), "date").agg(F.avg("y_hat").alias("y_hat"))
+    return score.evaluate_daily(frozen, panel, D).groupBy("regime", "bucket").agg(F.count("*").alias("n"), F.avg("abs_err").alias("mae"), F.sqrt(F.avg("sq_err")).alias("rmse"))
+
+
 @query
 def label_encoding(spark, d):
     parts = fx.table(spark, d, "part")
@@ -779,9 +827,8 @@ def curve_samples(spark, d):
 
 @query
 def scaled_coarse_samples(spark, d):
-    """Of the last two origins: each has all coarse samples once for each window."""
-    panel, grid = fx.daily_pair(spark, d)
-    return experiments.scaled_coarse_samples(panel, grid, D, (8, None)).where(F.col("k") >= grid.count - 2)
+    """Of every origin and window: each has all coarse samples whose series has a ratio there."""
+    return experiments.scaled_coarse_samples(*fx.daily_pair(spark, d), D, WINDOWS)
 
 
 @query

@@ -249,6 +249,13 @@ n3 AS ({_near("r3", "k, series_id")}),
 lay AS (
   SELECT l1.k, l1.series_id, ts, l1, coalesce(n2.ratio, 1) AS l2, coalesce(n3.ratio, 1) AS l3, least(300, greatest(5, l1 * coalesce(n2.ratio, 1) * coalesce(n3.ratio, 1))) AS y_hat
   FROM l1 LEFT JOIN n2 USING (k, series_id, hour) LEFT JOIN n3 USING (k, series_id, hour))"""
+ASKED = f"""{STACK},
+ask AS (SELECT series_id, regime, ts, y, days, ts - to_days(days) AS cutoff FROM h, (VALUES (1), (3), (6)) v(days)),
+sa AS (SELECT ask.series_id, ask.ts, days, max(origin)::TIMESTAMP AS made, arg_max(lay.y_hat, origin) AS deployed, arg_max(lay.l1, origin) AS first_layer
+  FROM ask JOIN lay ON lay.series_id = ask.series_id AND lay.ts = ask.ts JOIN g ON g.k = lay.k AND origin::TIMESTAMP <= cutoff GROUP BY ALL)"""
+AS_OF = f"""{ASKED}, {ORIGINS}, {T}, {AVERAGE},
+sb AS (SELECT ask.series_id, ask.ts, days, arg_max(ha.y_hat, origin) AS average FROM ask JOIN ha ON ha.series_id = ask.series_id AND ha.ts = ask.ts AND origin <= cutoff GROUP BY ALL),
+ab AS (SELECT days, y, deployed, first_layer, average FROM ask JOIN sa USING (series_id, ts, days) JOIN sb USING (series_id, ts, days))"""
 GRAINS = f"""{D}, {LEVEL},
 p_fine AS (SELECT * FROM d WHERE source = 'own'), p_splice AS (SELECT * FROM d),
 p_splice_cal AS (SELECT d.* EXCLUDE (y), CASE WHEN source = 'coarse' THEN y * ratio ELSE y END AS y FROM d LEFT JOIN (SELECT series_id, ratio FROM lr WHERE k = 0) r USING (series_id) WHERE source = 'own' OR ratio IS NOT NULL)"""
@@ -357,6 +364,15 @@ FROM tr JOIN mo m ON m.k = tr.k AND m.month = month(tr.date) LEFT JOIN scd ON sc
 gl AS (SELECT k, h.series_id, park, ts, ts::DATE AS date, hour(ts)::INT AS hour FROM h JOIN g ON ts >= origin AND ts < origin + 112)
 SELECT gl.k, gl.series_id, ts, {_L1.replace(", hour, ", ", gl.hour, ", 1).replace("(hour ", "(gl.hour ")}, round(coalesce(hour_mean, 30), 6) AS baseline
 FROM gl JOIN mo m ON m.k = gl.k AND m.month = month(gl.date) JOIN scd ON scd.k = gl.k AND scd.series_id = gl.series_id LEFT JOIN pcd ON pcd.k = gl.k AND pcd.park = gl.park LEFT JOIN hp ON hp.k = gl.k AND hp.series_id = gl.series_id AND hp.hour = gl.hour""",
+    "stored_as_of": f"{ASKED} SELECT series_id, regime, ts, round(y, 6) AS y, days, cutoff, made, round(deployed, 6) AS deployed, round(first_layer, 6) AS first_layer FROM ask LEFT JOIN sa USING (series_id, ts, days)",
+    "same_target_accuracy": f"""{AS_OF}
+SELECT days, method, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg((abs(e) <= 5)::INT), 6) AS w5, round(avg((abs(e) <= 10)::INT), 6) AS w10, round(avg(e), 6) AS bias
+FROM (SELECT days, 'deployed' AS method, deployed - y AS e FROM ab UNION ALL SELECT days, 'first_layer', first_layer - y FROM ab UNION ALL SELECT days, 'average', average - y FROM ab) GROUP BY days, method""",
+    "same_target_agreement": f"{AS_OF} SELECT days, count(*) AS n, round(corr(deployed, average), 6) AS corr, round(avg(abs(deployed - average)), 6) AS mean_abs_diff, round(avg(deployed), 6) AS mean_a, round(avg(average), 6) AS mean_b FROM ab GROUP BY days",
+    "frozen_daily_scores": f"""{STACK}, f AS (SELECT series_id, origin::DATE AS origin, ts::DATE AS date, avg(y_hat) AS y_hat FROM lay JOIN g USING (k) WHERE k = 0 GROUP BY ALL),
+dy AS (SELECT series_id, regime, ts::DATE AS date, avg(y) AS y FROM h GROUP BY ALL HAVING count(*) >= 4),
+s AS (SELECT regime, date - origin + 1 AS lead, {_DBUCKET} AS bucket, y - y_hat AS e FROM f JOIN dy USING (series_id, date))
+SELECT regime, bucket, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse FROM s WHERE bucket IS NOT NULL GROUP BY ALL""",
     "production_layers": f"{STACK} SELECT k, series_id, ts, round(l1, 6) AS l1, round(l2, 6) AS l2, round(l3, 6) AS l3, round(y_hat, 6) AS y_hat FROM lay",
     "production_daily": f"{STACK} SELECT k, series_id, ts::DATE AS date, round(avg(l1), 6) AS l1, round(avg(y_hat), 6) AS y_hat FROM lay GROUP BY ALL",
     "dm_statistics": f"""{DAILY_WIDE},
@@ -382,7 +398,7 @@ rx AS (SELECT *, (isodow(date) - 1)::INT AS dow FROM rw)
 SELECT win AS "window", k, part, series_id, park, regime, rx.origin, date, round(y, 6) AS y, (date - rx.origin + 1)::INT AS lead, dow, (dow >= 5)::INT AS is_weekend, month(date)::INT AS month, round(r7, 6) AS r7, round(r28, 6) AS r28, round(dow8w, 6) AS dow8w, round(lag364 * ratio, 6) AS lag364, round(ann28 * ratio, 6) AS ann28
 FROM rx LEFT JOIN rec USING (win, k, part, origin, series_id) LEFT JOIN bd USING (win, k, part, origin, series_id, dow) LEFT JOIN can USING (series_id, date) LEFT JOIN (SELECT win, k, series_id, ratio FROM rs) r USING (win, k, series_id)""",
     "scaled_coarse_samples": f"""{D}, {WINDOWS}, p_coarse AS (SELECT * FROM d WHERE source = 'coarse'), {_backward("b_coarse", "p_coarse", only_past=True)}, {_daily_samples("s_coarse", "p_coarse", "b_coarse")}
-SELECT win AS "window", rs.k, s.series_id, park, regime, s.origin, date, lead, dow, is_weekend, month, """ + ", ".join(f"round({c} * ratio, 6) AS {c}" for c in ("y", "r7", "r28", "dow8w", "lag364", "ann28")) + " FROM s_coarse s JOIN rs ON rs.series_id = s.series_id WHERE win IN ('k08', 'full') AND rs.k >= (SELECT max(k) - 1 FROM q)",
+SELECT win AS "window", rs.k, s.series_id, park, regime, s.origin, date, lead, dow, is_weekend, month, """ + ", ".join(f"round({c} * ratio, 6) AS {c}" for c in ("y", "r7", "r28", "dow8w", "lag364", "ann28")) + " FROM s_coarse s JOIN rs ON rs.series_id = s.series_id",
     "coldstart_samples": f"""WITH {HOURLY},
 g AS (SELECT d0 + w * 7 AS day FROM (SELECT min(ts)::DATE + 14 AS d0, max(ts)::DATE - 7 AS d1 FROM h), (SELECT unnest(range(0, 100))::INT AS w) WHERE d0 + w * 7 <= d1),
 hh AS (SELECT win, day, h.* FROM h, g, (VALUES ('k01', 1), ('k02', 2), ('full', NULL)) v(win, n) WHERE regime = 'B' AND (n IS NULL OR ts >= day - 7 * n)),
