@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import datetime, time, timedelta
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretable.functions.temporal import at, day, lead_days, midnight, weekday
+from foretable.functions.temporal import day, lead_days, midnight, seconds, weekday
 from foretable.operators import features
 from foretable.operators.calibrate import level_ratio, splice_calibrated, window_ratios
 from foretable.operators.origins import daily_targets, trailing
@@ -128,20 +129,42 @@ def coldstart_samples(panel: DataFrame, grid: Grid, p: Hourly, regime: str, week
     """Hourly samples of the new series (those of one regime) as each evaluation day knows them: window, day, part (train or goal), and the
     hourly features, all of them from no more than the window's rows before each sample's origin. Training samples are those of
     weekly origins within the window, of times before the day."""
-    new, out = panel.where(F.col("regime") == regime), None
-    for d in sorted({t.replace(hour=0) for t in grid.times()}):
-        for w in weeks:
-            held = new if w is None else new.where(F.col("ts") >= at(d - timedelta(weeks=w)))
-            low = held.agg(F.min(day(F.col("ts")))).first()[0]
-            if low is None:
-                continue
-            steps = max(0, (d - datetime.combine(low, time())).days // 7 - 1)
-            own = Grid(d - timedelta(weeks=steps), steps + 1, grid.hours)
-            rows = features.hourly_samples(held, own, p)
-            part = F.when(day(F.col("origin")) == day(at(d)), F.lit("goal")).when(F.col("ts") < at(d), F.lit("train"))
-            one = rows.select(F.lit(f"k{w:02d}" if w else "full").alias("window"), day(at(d)).alias("day"), part.alias("part"), *rows.columns).where("part IS NOT NULL")
-            out = one if out is None else out.unionByName(one)
-    if out is None:
+    if grid.spacing_days % 7:
+        raise ValueError("evaluation days must lie whole weeks apart")
+    new = panel.where(F.col("regime") == regime)
+    low = new.agg(F.min(day(F.col("ts")))).first()[0]
+    if low is None or not grid.count:
         out = features.hourly_samples(new, grid, p)
-        out = out.select(F.lit("").alias("window"), day(F.col("origin")).alias("day"), F.lit("").alias("part"), *out.columns).limit(0)
-    return out
+        return out.select(F.lit("").alias("window"), day(F.col("origin")).alias("day"), F.lit("").alias("part"), *out.columns).limit(0)
+    first = grid.first.replace(hour=0)
+    back = max(0, (first - datetime.combine(low, time())).days // 7)
+    own = Grid(first - timedelta(weeks=back), back + (grid.weeks - 1) * grid.spacing_days // 7 + 1, grid.hours)
+    # a series as one day's window knows it is a series of its own, so that all of them pass the features together
+    held = _known(new, grid, first, p.horizon, weeks)
+    starts = held.groupBy("series_id.window", "series_id.day").agg(F.min(day(F.col("ts"))).alias("low"))
+    rows = features.hourly_samples(held, own, p)
+    rows = rows.select("series_id.window", "series_id.day", F.col("series_id.series_id").alias("series_id"), *(c for c in rows.columns if c != "series_id")).join(starts, ["window", "day"])
+    steps = F.datediff("day", "origin") / 7
+    part = F.when(steps == 0, F.lit("goal")).when(F.col("ts") < midnight(F.col("day")), F.lit("train"))
+    rows = rows.where((steps >= 0) & (steps <= F.greatest(F.lit(0), F.floor(F.datediff("day", "low") / 7) - 1))).withColumn("part", part).where("part IS NOT NULL")
+    return rows.select("window", "day", "part", *(c for c in rows.columns if c not in ("window", "day", "part", "low")))
+
+
+def _asked(name: Column, first: Column, spacing: int, i: Column) -> Column:
+    return F.struct(name, F.date_add(first, i * spacing).alias("day"))
+
+
+def _known(rows: DataFrame, grid: Grid, first: datetime, horizon: int, weeks: tuple[int | None, ...]) -> DataFrame:
+    """rows once for each window and evaluation day that need them, found by arithmetic: those from the window's start to the end of the
+    day's last horizon. series_id becomes (window, day, series_id)."""
+    step = 86400 * grid.spacing_days
+    off = seconds(F.col("ts")) - int((first - datetime(1970, 1, 1)).total_seconds())
+    since = F.greatest(F.floor((off - 86400 - 3600 * horizon) / step) + 1, F.lit(0)).cast("int")
+    spans = []
+    for w in weeks:
+        until = F.lit(grid.weeks - 1) if w is None else F.least(F.floor((off + 604800 * w) / step), F.lit(grid.weeks - 1)).cast("int")
+        numbers = F.when(since <= until, F.sequence(since, until)).otherwise(F.array().cast("array<int>"))
+        name = F.lit(f"k{w:02d}" if w else "full").alias("window")
+        spans.append(F.transform(numbers, partial(_asked, name, F.lit(first.date()), grid.spacing_days)))
+    found = rows.withColumn("__at", F.explode(F.concat(*spans)))
+    return found.withColumn("series_id", F.struct("__at.window", "__at.day", "series_id")).drop("__at")

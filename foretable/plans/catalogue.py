@@ -827,8 +827,10 @@ def curve_samples(spark, d):
 
 @query
 def scaled_coarse_samples(spark, d):
-    """Of every origin and window: each has all coarse samples whose series has a ratio there."""
-    return experiments.scaled_coarse_samples(*fx.daily_pair(spark, d), D, WINDOWS)
+    """Of every evaluation origin and window (each has all coarse samples whose series has a ratio there): means of the scaled columns over
+    the targets of each sample origin."""
+    rows = experiments.scaled_coarse_samples(*fx.daily_pair(spark, d), D, WINDOWS)
+    return rows.groupBy("window", "k", "series_id", "origin").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("lead").alias("last_lead"), *(F.avg(c).alias(c) for c in experiments.LEVELS))
 
 
 @query

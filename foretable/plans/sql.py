@@ -398,7 +398,7 @@ rx AS (SELECT *, (isodow(date) - 1)::INT AS dow FROM rw)
 SELECT win AS "window", k, part, series_id, park, regime, rx.origin, date, round(y, 6) AS y, (date - rx.origin + 1)::INT AS lead, dow, (dow >= 5)::INT AS is_weekend, month(date)::INT AS month, round(r7, 6) AS r7, round(r28, 6) AS r28, round(dow8w, 6) AS dow8w, round(lag364 * ratio, 6) AS lag364, round(ann28 * ratio, 6) AS ann28
 FROM rx LEFT JOIN rec USING (win, k, part, origin, series_id) LEFT JOIN bd USING (win, k, part, origin, series_id, dow) LEFT JOIN can USING (series_id, date) LEFT JOIN (SELECT win, k, series_id, ratio FROM rs) r USING (win, k, series_id)""",
     "scaled_coarse_samples": f"""{D}, {WINDOWS}, p_coarse AS (SELECT * FROM d WHERE source = 'coarse'), {_backward("b_coarse", "p_coarse", only_past=True)}, {_daily_samples("s_coarse", "p_coarse", "b_coarse")}
-SELECT win AS "window", rs.k, s.series_id, park, regime, s.origin, date, lead, dow, is_weekend, month, """ + ", ".join(f"round({c} * ratio, 6) AS {c}" for c in ("y", "r7", "r28", "dow8w", "lag364", "ann28")) + " FROM s_coarse s JOIN rs ON rs.series_id = s.series_id",
+SELECT win AS "window", rs.k, s.series_id, s.origin, count(*) AS n, min(date) AS first, max(lead)::INT AS last_lead, """ + ", ".join(f"round(avg({c} * ratio), 6) AS {c}" for c in ("y", "r7", "r28", "dow8w", "lag364", "ann28")) + " FROM s_coarse s JOIN rs ON rs.series_id = s.series_id GROUP BY ALL",
     "coldstart_samples": f"""WITH {HOURLY},
 g AS (SELECT d0 + w * 7 AS day FROM (SELECT min(ts)::DATE + 14 AS d0, max(ts)::DATE - 7 AS d1 FROM h), (SELECT unnest(range(0, 100))::INT AS w) WHERE d0 + w * 7 <= d1),
 hh AS (SELECT win, day, h.* FROM h, g, (VALUES ('k01', 1), ('k02', 2), ('full', NULL)) v(win, n) WHERE regime = 'B' AND (n IS NULL OR ts >= day - 7 * n)),
