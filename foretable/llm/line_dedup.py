@@ -48,7 +48,9 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     id_, print_ = _prints(id_col, text_col)
-    lines = docs.select(id_.alias("id"), print_.alias("print"), F.posexplode(lines_of(text_or_empty(text_col))).alias("pos", "line")).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
+    # the print comes before the lines: beside posexplode it would be made, and the text carried, once for each line
+    texts = docs.select(id_.alias("id"), print_.alias("print"), lines_of(text_or_empty(text_col)).alias("lines"))
+    lines = texts.select("id", "print", F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
     lines = scratch.store(lines.select(F.unhex(F.md5("key")).alias("hash"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.struct(F.col("id").isNull().alias("last"), "id").alias("doc"), "print", "pos"), "lines")
     runs = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "hash", "slice")
     # the range partitions already hold each run together: this adds a sort, and no exchange
@@ -72,10 +74,12 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     id_, print_ = _prints(id_col, text_col)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     rows = docs.select(F.struct(*dict.fromkeys([*names, text_col])).alias("row"), id_.alias("id"), print_.alias("print"))
-    marks = bitmaps.select(F.col("id").alias("of"), F.col("print").alias("as"), F.map_from_entries("kept").alias("bits"))
+    # words in their places up to the last one named, so that a line finds its word by position however many are named
+    placed = F.flatten(F.expr("transform(kept, (x, i) -> concat(array_repeat(-1L, x.word - 1 - if(i = 0, -1, kept[i - 1].word)), array(x.bits)))"))
+    marks = bitmaps.select(F.col("id").alias("of"), F.col("print").alias("as"), placed.alias("bits"))
     # nothing bounds the bitmaps of all documents, so they are never broadcast
     rows = rows.join(marks.hint("shuffle_merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("as")), "left").withColumn("lines", lines_of(text_or_empty(F.col("row")[text_col])))
-    kept = F.expr("filter(lines, (line, i) -> coalesce(shiftright(try_element_at(bits, int(i div 64)), i % 64) & 1L, 1L) = 1L)")
+    kept = F.expr("filter(lines, (line, i) -> coalesce(shiftright(get(bits, int(i div 64)), i % 64) & 1L, 1L) = 1L)")
     rows = rows.withColumn("kept", F.when(F.col("bits").isNull(), F.col("lines")).otherwise(kept))
     n, k = F.size("lines").cast("long"), F.size("kept").cast("long")
     return rows.select(*(F.col("row")[c].alias(c) for c in names), n.alias("n_lines"), (n - k).alias("n_dropped"), F.concat_ws("\n", "kept").alias("kept_text"))
