@@ -3,9 +3,9 @@
 Lines become (key hash, document, position). They are range-partitioned by hash and sorted within the partitions by
 document and position, and a window that only looks back streams through each line's run: its first occurrence names
 the document that keeps the line, every later document in the run loses it. A line may occur in a third of all
-documents: the range key therefore also holds a slice number taken from the document, which cuts every run into at most
-SLICES pieces; the first occurrences of the pieces (at most SLICES documents a line) are then compared, and the others
-never leave their partition. What comes back is no text but, for each document that loses lines, a compressed bitmap of
+documents: the range key therefore also holds a slice number taken from the document, which cuts every run into pieces.
+There are as many slices as keep a piece to about SLICE_ROWS lines even if one line were all there is (counted, and at
+least SLICES); the first occurrences of the pieces are then compared, and the others never leave their partition. What comes back is no text but, for each document that loses lines, a compressed bitmap of
 the lines that it keeps: (word number, 64 bits) for those 64-line stretches only that lose something. Applying it to the
 text is a separate step. Texts are read twice: for the lines' keys, which are stored (a row of some 50 bytes a line), and
 to apply.
@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 
 from foretable.llm.common import SPACE, Scratch, ascii_lower, text_or_empty
 
-#: Pieces into which the run of one line is cut at most.
-SLICES = 64
+#: Pieces into which the run of one line is cut at least, and lines from which there are more pieces.
+SLICES, SLICE_ROWS = 64, 1_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -51,8 +51,10 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the print comes before the lines: beside posexplode it would be made, and the text carried, once for each line
     texts = docs.select(id_.alias("id"), print_.alias("print"), lines_of(text_or_empty(text_col)).alias("lines"))
     lines = texts.select("id", "print", F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-    lines = scratch.store(lines.select(F.unhex(F.md5("key")).alias("hash"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.struct(F.col("id").isNull().alias("last"), "id").alias("doc"), "print", "pos"), "lines")
-    runs = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "hash", "slice")
+    lines = scratch.store(lines.select(F.unhex(F.md5("key")).alias("hash"), F.struct(F.col("id").isNull().alias("last"), "id").alias("doc"), "print", "pos"), "lines")
+    slices = max(slices, lines.count() // SLICE_ROWS)
+    runs = lines.withColumn("slice", F.pmod(F.xxhash64("doc.id"), F.lit(slices)))
+    runs = runs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "hash", "slice")
     # the range partitions already hold each run together: this adds a sort, and no exchange
     run = Window.partitionBy("hash", "slice").orderBy("doc", "pos", "print")
     runs = runs.withColumns({"head": F.first("doc").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "no": F.row_number().over(run)})
