@@ -13,7 +13,8 @@ sources are repeated.
 
 Token counts are of words unless a column of counts is named. Sources are counted in one aggregation that combines
 before the exchange. Each step of the bisection tries TRIES exponents at once in one aggregation over the sources, of
-which only sums reach the driver. The documents of a hot source go to as many tasks as it has blocks.
+which only sums reach the driver. The passes over blocks are a table whose rows are counted: where they are few they go to
+the documents, and no text is exchanged; else the documents of a hot source go to as many tasks as it has blocks.
 
 Edge cases: null text has no tokens; such documents belong to blocks like others and come along with them. A null
 source is a source of its own. A null id is dealt by its text; rows that repeat an id and text go to the same block.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foretable.llm.common import WORD, Scratch, text_or_empty
+from foretable.llm.common import WORD, Scratch, sized, text_or_empty
 
 BLOCKS = 4096
 TRIES = 16
@@ -125,9 +126,9 @@ def mix_sources(
     turns = turns.withColumn("size", size).withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0.0)))
     due = F.least(F.col("passes") - F.col("epoch"), F.lit(1.0))
     turns = turns.where((due >= 1 - 1e-9) | (F.col("start") + F.col("size") / 2 <= due)).where("passes > 0")
-    uses = scratch.store(turns.groupBy("source", "block", "passes").agg(F.collect_list(F.struct("epoch", "start", "size")).alias("uses")), "uses")
+    uses = scratch.store(turns.select("source", "block", "passes", "epoch", "start", "size"), "uses")
     scratch.drop("blocks", "sources")
-    at = F.pmod(F.xxhash64(F.col("lot"), F.col("use.epoch")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    mixed = rows.drop("tokens").join(uses.hint("shuffle_merge"), F.col("of_source").eqNullSafe(F.col("source")) & (F.col("of_block") == F.col("block"))).withColumn("use", F.explode("uses"))
-    position = F.least(F.round((F.col("use.epoch") + F.col("use.start") + at * F.col("use.size")) / F.greatest(F.col("passes"), F.lit(1e-12)), 12), F.lit(1.0))
-    return mixed.select(*(F.col("row")[c].alias(c) for c in names), F.col("use.epoch").cast("int").alias("mix_epoch"), position.alias("mix_position"))
+    at = F.pmod(F.xxhash64(F.col("lot"), F.col("epoch")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    mixed = rows.drop("tokens").join(sized(uses), F.col("of_source").eqNullSafe(F.col("source")) & (F.col("of_block") == F.col("block")))
+    position = F.least(F.round((F.col("epoch") + F.col("start") + at * F.col("size")) / F.greatest(F.col("passes"), F.lit(1e-12)), 12), F.lit(1.0))
+    return mixed.select(*(F.col("row")[c].alias(c) for c in names), F.col("epoch").cast("int").alias("mix_epoch"), position.alias("mix_position"))
