@@ -17,6 +17,9 @@ The work is a mapInArrow stage: rows do not depend on each other, nothing is exc
 the word table, and a lost task is simply run again. The model reaches executors as a small table (its size is that of
 the vocabulary) made on the driver from the model file, whose path is a parameter.
 
+Models that change texts (other forms of characters, fewer spaces, no leading mark) are refused by a probe. Pieces of a
+user's own, which the library takes before any merging, can't be told from others by its interface: a model must have none.
+
 Edge cases: null text is the empty text, which has the begin and end ids only. Existing columns named n_tokens, ids or
 decoded are replaced. An empty table gives an empty result.
 """
@@ -35,6 +38,8 @@ from pyspark.sql import types as T
 from foretable.llm.common import ship
 
 MARK = "▁"
+#: What a model that changes texts would change: compatibility forms, letters in capitals, combining marks, several and last spaces.
+PROBE = "  Ａ  ﬁ Z\u0065\u0301\t\n ½  "
 #: Words, and pairs of neighbours, that one worker remembers before it starts over; longer words than LONGEST it never remembers.
 REMEMBERED, LONGEST = 500_000, 64
 
@@ -52,6 +57,8 @@ class MergeModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if sp.normalize(PROBE) != MARK + PROBE.replace(" ", MARK):
+            raise ValueError(f"{path}: a model that leaves texts as they are, but for one leading space mark, is needed")
         ids = range(sp.get_piece_size())
         special = {i for i in ids if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         self.bytes = {int(sp.id_to_piece(i)[1:-1], 16): i for i in ids if sp.is_byte(i)}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from foretable.llm import queries as q
 from foretable.llm import secret_scan as secrets
 from foretable.llm import toxicity as tox
-from foretable.llm.common import Scratch
+from foretable.llm.common import Scratch, sized
 from foretable.llm.components import connected_components
 from foretable.llm.exact_dedup import exact_dedup
 from foretable.llm.line_dedup import line_bitmaps, line_dedup
@@ -255,6 +255,32 @@ def test_mixing_meets_its_targets(spark):
     assert sorted(map(tuple, mixed)) == sorted(map(tuple, mix_sources(docs.repartition(7), target_entropy=goal, budget_tokens=budget).collect()))
 
 
+def test_mixing_gives_the_same_however_its_passes_travel(spark, monkeypatch):
+    docs = frame(spark, [(i, "w " * (1 + i % 5), "en", None if i % 9 == 0 else "big" if i % 4 else "small") for i in range(500)])
+    few = mix_sources(docs, max_repetition=3.0)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr("foretable.llm.mixing.sized", lambda keys: sized(keys, 1))
+    many = mix_sources(docs, max_repetition=3.0)
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+
+
+def test_lines_give_the_same_in_more_slices(spark, monkeypatch):
+    docs = frame(spark, [(i, f"a line that all have\nline of pair {i // 2}\nonly of {i}", "", "") for i in range(300)])
+    once = sorted(map(tuple, line_dedup(docs).collect()))
+    monkeypatch.setattr("foretable.llm.line_dedup.SLICE_ROWS", 5)
+    assert sorted(map(tuple, line_dedup(docs).collect())) == once
+    assert sum(r[-2] for r in once) == 299 + 150
+
+
+def test_models_that_change_texts_are_refused(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, text: " ".join(text.split()))
+    with pytest.raises(ValueError, match="leaves texts as they are"):
+        MergeModel(public_model())
+
+
 def test_encoding_equals_the_library(spark):
     import sentencepiece
 
