@@ -60,7 +60,13 @@ f AS (
          coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 p AS (SELECT *, x / sum(x) OVER (PARTITION BY doc_id, h) AS a FROM bins WHERE n_words >= {q.MIN_WORDS}),
-r(lg, h, bin, b) AS (VALUES {fixed}),
+good AS (SELECT p.* FROM p JOIN f USING (doc_id) WHERE 100 * n_repeat_words <= 20 * f.n_words),
+r0 AS (SELECT lg, h, bin, avg(a) AS b FROM good GROUP BY lg, h, bin),
+js0 AS (SELECT doc_id, h, {_JS} AS d FROM good JOIN r0 USING (lg, h, bin) GROUP BY doc_id, h),
+learned AS (SELECT lg, h, bin, sum(a / (1 + (d / {q.UNLIKE}::DOUBLE) ** 2)) / sum(1 / (1 + (d / {q.UNLIKE}::DOUBLE) ** 2)) AS a FROM good JOIN js0 USING (doc_id, h) GROUP BY lg, h, bin),
+fixed(lg, h, bin, b) AS (VALUES {fixed}),
+believed AS (SELECT lg, h FROM learned JOIN fixed USING (lg, h, bin) GROUP BY lg, h HAVING round({_JS}, 6) <= {q.UNLIKE}),
+r AS (SELECT lg, h, bin, CASE WHEN k.lg IS NULL THEN x.b ELSE l.a END AS b FROM fixed x LEFT JOIN believed k USING (lg, h) LEFT JOIN learned l USING (lg, h, bin)),
 js AS (SELECT doc_id, h, round({_JS}, 6) AS d FROM p JOIN r USING (lg, h, bin) GROUP BY doc_id, h)
 SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, c.d AS chars_distance, v.d AS words_distance,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(c.d, 0) <= {q.MAX_CHARS} AND coalesce(v.d, 0) <= {q.MAX_WORDS} + {q.SLACK} / sqrt(greatest(n_words, 1)) AS kept

@@ -314,3 +314,39 @@ def test_quality_with_references_given(spark):
     assert {r.lang for r in known.collect()} <= {*REFERENCES}
     assert all(len(c) == 7 and len(w) in (0, 13) for c, w in REFERENCES.values())
     assert quality_rules(docs, known=known).count() == docs.count()
+
+
+def brute_distances(features):
+    """(distance of characters, of words) by id, and the languages whose learned reference is believed, by histogram."""
+    part = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+    js = lambda p, q: math.sqrt(max(sum(part(a, (a + b) / 2) + part(b, (a + b) / 2) for a, b in zip(p, q, strict=True)) / 2, 0.0))
+    mean = lambda rows, weights: [sum(w * r[i] for r, w in zip(rows, weights, strict=True)) / sum(weights) for i in range(len(rows[0]))]
+    out, believed = defaultdict(lambda: [None, None]), [set(), set()]
+    for h, name in enumerate(("chars", "common")):
+        for lang in {f.lang for f in features}:
+            shares = {f.id: [x / sum(f[name]) for x in f[name]] for f in features if f.lang == lang and f.n_words >= 50 and f[name]}
+            good = [shares[f.id] for f in features if f.id in shares and 100 * f.n_repeat_words <= 20 * f.n_words]
+            ref = REFERENCES[lang][h]
+            if good:
+                first = mean(good, [1.0] * len(good))
+                second = mean(good, [1 / (1 + (js(r, first) / 0.1) ** 2) for r in good])
+                if js(second, ref) <= 0.1:
+                    ref = second
+                    believed[h].add(lang)
+            for i, p in shares.items():
+                out[i][h] = js(p, ref)
+    return out, believed
+
+
+@pytest.mark.parametrize("n_junk", [0, 60])
+def test_quality_references_are_learned_from_every_text(spark, n_junk):
+    docs = documents(spark, f"{DATA}/sf0.01").select("doc_id", "text", F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("lang"))
+    if n_junk:
+        docs = docs.where("lang = 'en'").orderBy("doc_id").limit(40)
+    junk = spark.range(n_junk).select((F.col("id") + 10_000).alias("doc_id"), F.expr("array_join(transform(sequence(1, 120), i -> concat('zq', i * 7 + id, '%%')), ' ')").alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(junk)
+    want, believed = brute_distances(quality_features(docs).collect())
+    assert believed == ([set(), set()] if n_junk else [{"", "en", "de", "fr", "es"}, {"en", "de", "fr", "es"}])
+    for r in quality_rules(docs).collect():
+        for ours, theirs in zip((r.chars_distance, r.words_distance), want[r.doc_id], strict=True):
+            assert (ours is None) == (theirs is None) and (ours is None or abs(ours - theirs) < 2e-6)
